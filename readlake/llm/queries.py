@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import simhash, simhash_neardup, url_filter
+from readlake.llm import packing, simhash, simhash_neardup, token_store, url_filter
 from readlake.llm.common import table
 
 
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.store_path(spark)
+    token_store.write(table(spark, sf_dir, "documents"), store, tokenizer_path(), end_id=1)
+    return token_store.read(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 #: The fixed rules of the URL query: (rule, host, path, verdict).
 URL_RULES = [
     ("org/", "org", "/", "allow"),
