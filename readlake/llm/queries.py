@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import inverted_index, packing, simhash, simhash_neardup, token_store, url_filter
-from readlake.llm.common import table
+from readlake.llm import inverted_index, langid, packing, simhash, simhash_neardup, token_store, toxicity, url_filter
+from readlake.llm.common import learning, table
 
 
 
@@ -71,6 +71,13 @@ FROM r
 """
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = learning("doc_id", 4, 2)
+    model = langid.fit(docs, learn)
+    return langid.predict(docs, model, [F.col("doc_id"), (~learn).alias("held_out")])
+
+
 def op6_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inverted_index.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, one_in=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -102,6 +109,13 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = learning("doc_id", 5, 0)
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn)
+    return toxicity.score(docs, scorer, [F.col("doc_id"), (~learn).alias("held_out")])
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.edits(table(spark, sf_dir, "documents"))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
