@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import inverted_index, langid, packing, simhash, simhash_neardup, token_store, toxicity, url_filter
+from readlake.llm import inverted_index, langid, packing, resharding, simhash, simhash_neardup, token_store, toxicity, url_filter
 from readlake.llm.common import learning, table
 
 
@@ -116,6 +116,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, scorer, [F.col("doc_id"), (~learn).alias("held_out")])
 
 
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = resharding.reshard(table(spark, sf_dir, "documents"), shards=24)
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return rows.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.edits(table(spark, sf_dir, "documents"))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
