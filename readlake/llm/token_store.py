@@ -3,8 +3,9 @@
 Layout below a folder, all written by Spark so that any file system it can write will do:
 
     dictionary/  one row: hash, content
-    blocks/      block, payload: frames of consecutive documents, one after the other
-    index/       doc_id, block, at, size (the frame within the payload), start (ids before the document), n_tokens, dict_hash
+    blocks/      part, nth, payload: frames of consecutive documents, one after the other; their ids, sizes and lengths
+    heads/       part, nth (the block), before (ids of all blocks before it), dict_hash
+    index/       per document: its block, at, size (the frame within the payload), start (ids before it), n_tokens, dict_hash
 
 Rows are in ascending id order over the blocks. A frame holds a document's ids as little-endian uint32. A reader needs the
 index row, its block and the dictionary, so a short document costs one block read and one small decompression.
@@ -37,7 +38,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
 
     Too few documents to train on give an empty dictionary, which means none.
     """
-    sample = docs.where(F.length("text").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS)
+    fit = docs.where(F.length("text").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("doc_id", "text"))
+    most = fit.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = fit.where(F.col("h") <= F.lit(most)).dropDuplicates(["h"]).select("doc_id", "text")
     ids = [x.ids for x in sample.mapInArrow(lambda it: _encode(it, tokenizer, end_id), "doc_id long, ids binary").select("ids").toLocalIterator()]
     if len(ids) < 8:
         return b""
@@ -118,23 +121,36 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str =
     totals = blocks.select("part", "nth", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     parts_before = totals.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("parts_before"))
     starts = totals.select("part", "nth", F.sum("n").over(Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)).alias("nth_before")).join(parts_before, "part")
-    starts = starts.select("part", "nth", (F.coalesce("nth_before", F.lit(0)) + F.coalesce("parts_before", F.lit(0))).alias("before"))
-    listed = blocks.select("part", "nth", "ids", "sizes", "counts").join(hinted(starts, totals.count()), ["part", "nth"])
-    index = listed.mapInArrow(_index, "doc_id long, part int, nth int, at long, size long, start long, n_tokens long").withColumn("dict_hash", F.lit(digest))
-    index.write.option("compression", "zstd").parquet(f"{out}/index")
+    starts.select("part", "nth", (F.coalesce("nth_before", F.lit(0)) + F.coalesce("parts_before", F.lit(0))).alias("before"), F.lit(digest).alias("dict_hash")).write.parquet(f"{out}/heads")
+    _listed(spark, out, ["ids", "sizes", "counts"]).mapInArrow(_index, INDEX).write.option("compression", "zstd").parquet(f"{out}/index")
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document: running sums within its block."""
+INDEX = "part int, nth int, before long, dict_hash string, doc_id long, at long, size long, start long, n_tokens long"
+
+
+def _listed(spark: SparkSession, store: str, columns: list[str]) -> DataFrame:
+    """The blocks with their heads: part, nth, before, dict_hash, columns."""
+    heads = spark.read.parquet(f"{store}/heads")
+    return spark.read.parquet(f"{store}/blocks").join(hinted(heads, heads.count()), ["part", "nth"]).select("part", "nth", "before", "dict_hash", *columns)
+
+
+def _places(batch: pa.RecordBatch, k: int, ids: int) -> list:
+    """Of one block: doc ids, offsets, sizes, first ids and counts of its documents; ids: the column of the first list."""
     import numpy as np
 
-    names = ["doc_id", "part", "nth", "at", "size", "start", "n_tokens"]
+    before = batch.column("before")[k].as_py()
+    docs, sizes, counts = (batch.column(c)[k].values for c in range(ids, ids + 3))
+    s, c = np.asarray(sizes), np.asarray(counts)
+    return [docs, np.cumsum(s) - s, s, np.cumsum(c) - c + before, c]
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document: running sums within its block."""
+    names = ["part", "nth", "before", "dict_hash", "doc_id", "at", "size", "start", "n_tokens"]
     for batch in batches:
         for k in range(batch.num_rows):
-            part, nth, before = batch.column(0)[k], batch.column(1)[k], batch.column(5)[k].as_py()
-            ids, sizes, counts = (batch.column(c)[k].values for c in (2, 3, 4))
-            s, c = np.asarray(sizes), np.asarray(counts)
-            yield pa.RecordBatch.from_arrays([ids, pa.repeat(part, len(s)), pa.repeat(nth, len(s)), pa.array(np.cumsum(s) - s), sizes, pa.array(np.cumsum(c) - c + before), counts], names)
+            docs, *places = _places(batch, k, 4)
+            yield pa.RecordBatch.from_arrays([*[pa.repeat(batch.column(c)[k], len(docs)) for c in range(4)], docs, *map(pa.array, places)], names)
 
 
 def dictionary(spark: SparkSession, store: str) -> bytes:
@@ -147,43 +163,54 @@ def dictionary(spark: SparkSession, store: str) -> bytes:
 
 
 def _read(batches: Iterator[pa.RecordBatch], content: bytes) -> Iterator[pa.RecordBatch]:
+    """Documents of whole blocks, or of those that the columns `rows` name."""
     press = zstandard.ZstdDecompressor(dict_data=_dictionary(content))
     digest = dict_hash(content)
-    names = ["doc_id", "start", "n_tokens", "ids"]
     for batch in batches:
         for k in range(batch.num_rows):
-            payload = memoryview(batch.column(0)[k].as_buffer())
-            rows = batch.column(1)[k].as_py()
+            payload = memoryview(batch.column("payload")[k].as_buffer())
+            if "rows" in batch.schema.names:
+                rows = [(r["doc_id"], r["at"], r["size"], r["start"], r["n_tokens"]) for r in batch.column("rows")[k].as_py()]
+            else:
+                docs, *places = _places(batch, k, 4)
+                rows = zip(docs.to_pylist(), *(x.tolist() for x in places), strict=True)
+            if batch.column("dict_hash")[k].as_py() != digest:
+                raise ValueError("a block names another dictionary")
             done: list[tuple] = []
             held = 0
-            for r in rows:
-                if r["dict_hash"] != digest:
-                    raise ValueError("a document names another dictionary")
-                ids = press.decompress(payload[r["at"] : r["at"] + r["size"]])
-                if len(ids) != 4 * r["n_tokens"]:
+            for doc, at, size, start, n in rows:
+                ids = press.decompress(payload[at : at + size])
+                if len(ids) != 4 * n:
                     raise ValueError("a document's length differs from the index")
-                done.append((r["doc_id"], r["start"], r["n_tokens"], ids))
+                done.append((doc, start, n, ids))
                 held += len(ids)
                 if held > BLOCK_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+                    yield _documents(done)
                     done, held = [], 0
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names)
+                yield _documents(done)
+
+
+def _documents(done: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], ["doc_id", "start", "n_tokens", "ids"])
 
 
 def read(spark: SparkSession, store: str, where: str | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the documents that the index condition `where` selects, or of all.
 
-    Only blocks that hold a selected document are read; ids are the little-endian uint32 of a document with its end id.
+    ids are the little-endian uint32 of a document with its end id. With a condition only blocks that hold a selected
+    document are read, and only its frames are decompressed.
     """
-    content = dictionary(spark, store)
-    index = spark.read.parquet(f"{store}/index")
-    index = index.where(where) if where else index
-    asked = index.groupBy("part", "nth").agg(F.sort_array(F.collect_list(F.struct("at", "size", "doc_id", "start", "n_tokens", "dict_hash"))).alias("rows"))
+    content, schema = dictionary(spark, store), "doc_id long, start long, n_tokens long, ids binary"
+    if not where:
+        return _listed(spark, store, ["ids", "sizes", "counts", "payload"]).mapInArrow(lambda it: _read(it, content), schema)
+    rows = F.sort_array(F.collect_list(F.struct("at", "size", "doc_id", "start", "n_tokens")))
+    asked = spark.read.parquet(f"{store}/index").where(where).groupBy("part", "nth", "dict_hash").agg(rows.alias("rows"))
     blocks = spark.read.parquet(f"{store}/blocks").select("part", "nth", "payload")
-    if where and len(few := asked.select("part", "nth").limit(SEEKS + 1).collect()) <= SEEKS:  # the scan skips all other blocks
+    if len(few := asked.select("part", "nth").limit(SEEKS + 1).collect()) <= SEEKS:  # the scan skips all other blocks
         blocks = blocks.where(F.col("part").isin([r["part"] for r in few]) & F.col("nth").isin([r["nth"] for r in few]))
-    return blocks.join(asked, ["part", "nth"]).select("payload", "rows").mapInArrow(lambda it: _read(it, content), "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(asked, ["part", "nth"]).select("payload", "rows", "dict_hash").mapInArrow(lambda it: _read(it, content), schema)
 
 
 def store_path(spark: SparkSession) -> str:

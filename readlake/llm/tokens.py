@@ -9,13 +9,15 @@ import zlib
 import numpy as np
 import regex
 
-#: Entries that a worker keeps of texts' pieces, and of the tokenizer's own words.
-MOST_PIECES, MOST_WORDS = 500_000, 500_000
+#: Entries that a worker keeps of texts' pieces, and of the tokenizer's own words; the first ones seen are the frequent ones.
+MOST_PIECES, MOST_WORDS = 700_000, 700_000
 #: Bytes of a text that are looked up at once.
 SLICE = 1 << 22
 # Printable ASCII and the precomposed Latin letters: lower-casing and composing them is the same one by one, so a piece of
 # them is the same as its words.
 _PLAIN = re.compile("[!-~À-ɏ]+")
+# The commonest of these: one word, with one mark after it or none.
+_MARKED = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,;:!?]?)")
 # The tokenizer's own pattern of words, over lower-cased text.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -31,8 +33,8 @@ class WordEncoder:
     """encode(text) gives the little-endian uint32 ids that the tokenizer gives for the whole text.
 
     The tokenizer drops white space, so a text's ids are those of its pieces between ASCII white space. Pieces are kept in
-    a dictionary; unknown ones are cut into the tokenizer's words, and unknown words go to its model in one batch. Pieces
-    with anything but plain letters and signs go through the whole tokenizer.
+    a dictionary; unknown ones are cut into the tokenizer's words, and unknown words go to its model together, as one line
+    that the words' last ids cut again. Pieces with anything but plain letters and signs go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -43,30 +45,47 @@ class WordEncoder:
         self.model = Tokenizer(self.whole.model)  # the model alone: words are given ready
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = _byte_letters()
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.pieces: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, unknown: set[bytes]) -> None:
-        if len(self.pieces) + len(unknown) > MOST_PIECES:
-            self.pieces.clear()
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        cut, odd, new = {}, [], {}
+        self.words: dict[bytes, bytes] = {}
+
+    def _words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of lower-cased words of plain letters or signs."""
+        shown = [w.decode() if w.isascii() else "".join(map(self.letters.__getitem__, w)) for w in words]
+        ids = np.array(self.model.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(words):
+            flat, cut = ids.tobytes(), (ends * 4).tolist()
+            return {w: flat[a:b] for w, a, b in zip(words, [0, *cut], cut, strict=False)}
+        found = self.model.encode_batch_fast(shown, add_special_tokens=False)
+        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, found, strict=True)}
+
+    def _learn(self, unknown: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces that the dictionary does not hold."""
+        cut, odd, known = {}, [], self.words
         for piece in unknown:
-            text = piece.decode()
-            if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                cut[piece] = words = _WORDS.findall(text.lower())
-                new.update((w, None) for w in words if w not in self.words)
+            if piece.isalpha():
+                cut[piece] = (piece.lower(),)
+            elif m := _MARKED.fullmatch(text := piece.decode()):
+                cut[piece] = (m[1].lower().encode(), m[2].encode()) if m[2] else (m[1].lower().encode(),)
+            elif _PLAIN.fullmatch(text) and not any(s in piece for s in self.special):
+                cut[piece] = [w.encode() for w in _WORDS.findall(text.lower())]
             else:
                 odd.append(piece)
-        shown = ["".join(map(self.letters.__getitem__, w.encode())) for w in new]
-        for word, found in zip(new, self.model.encode_batch_fast(shown, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, "<u4").tobytes()
-        for piece, words in cut.items():
-            self.pieces[piece] = b"".join(map(self.words.__getitem__, words))
-        for piece, found in zip(odd, self.whole.encode_batch_fast([p.decode() for p in odd], add_special_tokens=False), strict=True):
-            self.pieces[piece] = np.array(found.ids, "<u4").tobytes()
+        new = {w for words in cut.values() for w in words if w not in known}
+        if new:
+            found = self._words(list(new))
+            if len(known) + len(new) <= MOST_WORDS:
+                known.update(found)
+            else:
+                known = _Two(known, found)
+        out = {piece: known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words)) for piece, words in cut.items()}
+        for piece, x in zip(odd, self.whole.encode_batch_fast([p.decode() for p in odd], add_special_tokens=False), strict=True):
+            out[piece] = np.array(x.ids, "<u4").tobytes()
+        return out
 
     def encode(self, text: bytes | None) -> bytes:
         if not text:
@@ -83,16 +102,24 @@ class WordEncoder:
         return b"".join(out)
 
     def _encode(self, parts: list[bytes]) -> bytes:
-        try:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        except KeyError:
-            known = self.pieces
-            self._learn({p for p in parts if p not in known})
-        try:
-            return b"".join(map(self.pieces.__getitem__, parts))
-        except KeyError:  # the dictionary was emptied to make room
-            self._learn({p for p in parts if p not in self.pieces})
-            return b"".join(map(self.pieces.__getitem__, parts))
+        found = list(map(self.pieces.get, parts))
+        if None in found:
+            new = self._learn(list({p for p, x in zip(parts, found, strict=True) if x is None}))
+            if len(self.pieces) + len(new) <= MOST_PIECES:
+                self.pieces.update(new)
+            found = [new[p] if x is None else x for p, x in zip(parts, found, strict=True)]
+        return b"".join(found)
+
+
+class _Two:
+    """Look-up in one dictionary, then another."""
+
+    def __init__(self, first: dict, second: dict):
+        self.first, self.second = first, second
+
+    def __getitem__(self, key: bytes) -> bytes:
+        found = self.first.get(key)
+        return self.second[key] if found is None else found
 
 
 _encoders: dict[str, WordEncoder] = {}
