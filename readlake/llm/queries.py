@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import inverted_index, langid, packing, resharding, simhash, simhash_neardup, token_store, toxicity, url_filter
+from readlake.llm import inverted_index, langid, packing, resharding, simhash, simhash_neardup, suffix_tree, token_store, toxicity, url_filter
 from readlake.llm.common import learning, table
 
 
@@ -19,6 +19,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"), learning("doc_id", 5, 1))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_store.store_path(spark)
     token_store.write(table(spark, sf_dir, "documents"), store, tokenizer_path(), end_id=1)
