@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +57,23 @@ def learning(column: str, modulus: int, held: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus != held, F.lit(True))
 
 
+_slot: list = [None, None]
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing at a time, so that stages do not add up in its memory."""
+    if _slot[0] != key:
+        _slot[:] = [None, None]
+        gc.collect()
+        _slot[:] = [key, make()]
+    return _slot[1]
+
+
+def release() -> None:
+    """Give up what the worker keeps."""
+    held(None, lambda: None)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased."""
     return text.translate(LOWER).split() if text else []
