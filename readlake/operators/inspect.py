@@ -34,9 +34,13 @@ def line_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def windows(df: DataFrame, seq: str, size: int) -> DataFrame:
-    """(window): every stretch of `size` characters."""
-    places = F.expr(f"IF(length({seq}) >= {size}, sequence(1, length({seq}) - {size} + 1), cast(array() as array<int>))")
-    return df.select(F.explode(F.transform(places, lambda i: F.substring(F.col(seq), i, F.lit(size)))).alias("window"))
+    """(window): every stretch of `size` bytes of a sequence, so of characters where it is ASCII.
+
+    Bytes are cut in constant time, characters would be counted from the start each time.
+    """
+    raw = F.col("__raw")
+    places = F.when(F.length(raw) >= size, F.sequence(F.lit(1), F.length(raw) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return df.select(F.col(seq).cast("binary").alias("__raw")).select(F.explode(F.transform(places, lambda i: F.substring(raw, i, F.lit(size)))).alias("window"))
 
 
 def distinct_windows(df: DataFrame, seq: str, size: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlake.functions.columns import DEFAULT_QUALITY, base_codes, imputed, quality
+from readlake.operators.inspect import windows
 from readlake.operators.ordered import running_sum
 
 # Fixed value: the 2-bit codes that stand before every record's first base.
@@ -52,10 +53,10 @@ def base_ordinals(df: DataFrame, seq: str = "seq", order: str = "rec") -> DataFr
 
 def base_contexts(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """(ctx, sym, n): how often each base follows the k bases before it, counted over all records; unknown counts as 0."""
-    d = df.select(letters(F.concat(F.lit(first_context(k)), imputed(base_codes(F.col(seq))))).alias("a"))
-    pairs = F.expr(f"transform(slice(a, {k + 1}, size(a)), (x, i) -> concat(array_join(slice(a, i + 1, {k}), ''), x))")
-    grams = d.select(F.explode(pairs).alias("g"))
-    return grams.groupBy("g").agg(F.count("*").alias("n")).select(F.substring("g", 1, k).alias("ctx"), F.substring("g", k + 1, 1).alias("sym"), "n")
+    codes = df.select(F.concat(F.lit(first_context(k)), imputed(base_codes(F.col(seq)))).alias("s"))
+    grams = windows(codes, "s", k + 1).groupBy("window").agg(F.count("*").alias("n"))
+    gram = F.col("window").cast("string")
+    return grams.select(F.substring(gram, 1, k).alias("ctx"), F.substring(gram, k + 1, 1).alias("sym"), "n")
 
 
 def qualities(df: DataFrame, qual: str = "qual", order: str = "rec") -> DataFrame:
