@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import written
+from readlake.llm.common import release, written
 
 #: Words of a block (a longer document is a block of its own), and words of test items that one pass looks for.
 BLOCK_WORDS, PASS_WORDS = 2_000_000, 2_000_000
@@ -36,6 +36,7 @@ BLOCK = "rids array<long>, ends array<long>, sizes array<long>, terms array<int>
 
 def _index(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
     """Blocks of the posting lists of documents (rid, text); terms outside the vocabulary only take their places."""
+    release()
     rids: list[int] = []
     sizes: list[int] = []
     found: list[np.ndarray] = []

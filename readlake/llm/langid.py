@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readlake.llm.common import written
+from readlake.llm.common import release, written
 
 #: Feature buckets, n-gram lengths, code points of a text taken at once.
 FEATURES, ORDERS, SLICE = 1 << 16, (1, 2, 3), 1 << 20
@@ -65,6 +65,7 @@ def _has_letter(text: str) -> bool:
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of the task that hold each feature, and their number as feature -1."""
+    release()
     counts, docs, seen = np.zeros(FEATURES, np.int64), 0, np.zeros(FEATURES, bool)
     for batch in batches:
         for text in batch.column(0):
@@ -218,6 +219,7 @@ def predict(docs: DataFrame, model: Model | None, columns: list[Column], text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         m = shared.value
         for batch in batches:
             found = [m.predict(t) if m is not None and t and _has_letter(t) else ("und", 0.0) for t in batch["__text"]]

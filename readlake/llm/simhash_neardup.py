@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import hinted, words_of, written
+from readlake.llm.common import hinted, release, words_of, written
 from readlake.llm.components import components
 
 BITS, SEED = 64, 42
@@ -48,6 +48,7 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         texts = batch.column(2).cast(pa.binary())
         out = np.fromiter((fingerprint(x.as_py(), shingle) for x in texts), np.uint64, len(texts)).view(np.int64)

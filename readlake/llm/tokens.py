@@ -9,8 +9,10 @@ import zlib
 import numpy as np
 import regex
 
+from readlake.llm.common import LOWER, held
+
 #: Entries that a worker keeps of texts' pieces, and of the tokenizer's own words; the first ones seen are the frequent ones.
-MOST_PIECES, MOST_WORDS = 700_000, 700_000
+MOST_PIECES, MOST_WORDS = 600_000, 600_000
 #: Bytes of a text that are looked up at once.
 SLICE = 1 << 22
 # Printable ASCII and the precomposed Latin letters: lower-casing and composing them is the same one by one, so a piece of
@@ -90,6 +92,8 @@ class WordEncoder:
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
+        if b"<|" not in text:  # the tokenizer lower-cases too; only its special tokens mind case
+            text = text.translate(LOWER)
         if len(text) <= SLICE:
             return self._encode(text.split())
         out, start = [], 0
@@ -122,14 +126,9 @@ class _Two:
         return self.second[key] if found is None else found
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return held(("tokens", path), lambda: WordEncoder(path))
 
 
 def crc32(ids: bytes) -> int:
