@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A-Z to a-z on UTF-8 bytes; every other byte stays.
@@ -52,6 +52,20 @@ def hinted(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def least_hashed(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Of each value of `by` the `most` rows of least 64-bit hash `h`; rows must be distinct, the values of `by` few and not null.
+
+    Each value's count gives a hash under which a little over `most` of its rows lie, so only those are ranked together,
+    however many rows the value has.
+    """
+    over = most + 6 * most**0.5 + 50
+    cut = F.when(F.col("n") <= over, F.lit((1 << 63) - 1)).otherwise((F.lit(2.0**64) * over / F.col("n") - 2.0**63).cast("long"))
+    cuts = written(rows.groupBy(F.col(by).alias("of")).agg(F.count("*").alias("n")).select("of", cut.alias("cut")), "cuts")
+    near = rows.join(hinted(cuts, cuts.count()), (F.col(by) == F.col("of")) & (F.col("h") <= F.col("cut"))).drop("of", "cut")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*(["h"] + [c for c in rows.columns if c not in (by, "h")])))
+    return near.withColumn("r", rank).where(F.col("r") <= most).drop("r")
+
+
 def learning(column: str, modulus: int, held: int) -> F.Column:
     """True where the row may be learned from: crc32(id as text) mod modulus is not held. A null id is learned from."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus != held, F.lit(True))
