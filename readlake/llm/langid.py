@@ -12,10 +12,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import release, written
+from readlake.llm.common import least_hashed, release, written
 
 #: Feature buckets, n-gram lengths, code points of a text taken at once.
 FEATURES, ORDERS, SLICE = 1 << 16, (1, 2, 3), 1 << 20
@@ -184,12 +184,11 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     idf = idf_of(rows, "text")
     # thin rows are ranked, then their texts are fetched: at most PER_LANGUAGE of each language
     lettered = rows.where(F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = lettered.select("lang", F.xxhash64("id", "text").alias("h")).withColumn("r", rank).where(F.col("r") <= PER_LANGUAGE).select("lang", "h").distinct()
-    chosen = written(chosen, "language-sample")
-    found = chosen.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    thin = written(lettered.select("lang", F.xxhash64("id", "text").alias("h")).distinct(), "language-rows")
+    found = thin.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
     if found > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    chosen = written(least_hashed(thin, "lang", PER_LANGUAGE), "language-sample")
     sample = lettered.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("text", "lang")
     got = sample.mapInArrow(_features, "lang string, at binary, tf binary").toPandas()
     if got.empty:
