@@ -172,7 +172,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     spark = docs.sparkSession
     queues = spark.createDataFrame([(s, i) for i, s in enumerate(largest)], "source string, queue int")
     named = by_task.join(F.broadcast(queues.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "part", "n", F.coalesce("queue", F.lit(len(largest))).alias("queue"))
-    placed = named.withColumn("base", F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    # a queue's order is by task, then source: one row per task, then the sources of one task, so no window holds more
+    before = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    tasks = named.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", before(Window.partitionBy("queue").orderBy("part")).alias("task_base"))
+    placed = named.join(tasks, ["queue", "part"]).withColumn("base", F.col("task_base") + before(Window.partitionBy("queue", "part").orderBy("source")))
     sums = {r["queue"]: r["n"] for r in named.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     totals = tuple(sums.get(q, 0) for q in range(max(sums, default=-1) + 1))
     base = hinted(placed.select(F.col("source").alias("of"), F.col("part").alias("of_part"), "queue", "base"), by_task.count())
