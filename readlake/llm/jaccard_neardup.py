@@ -1,0 +1,116 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands give candidates, whole shingle sets decide.
+
+A text is the set of its shingles' XXH64. Equal sets are one node. Nodes that agree in a band of MinHashes share a bucket.
+Every member is first verified against the least of its bucket; only pairs of a bucket that those links leave in different
+components are verified after that, so a large cluster of near copies costs one comparison a member, not one a pair.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from readlake.llm.common import hinted, release, words_of, written
+from readlake.llm.components import components
+
+#: Bands of ROWS MinHashes: a pair of similarity s shares one with 1 - (1 - s^5)^28, which is 0.99998 at 0.8 and more above.
+BANDS, ROWS, SEED = 28, 5, 42
+#: Shingles that are permuted at once, and members of a bucket that one unit of the join holds on one side.
+SLICE, TILE = 2048, 4096
+
+_random = np.random.default_rng(SEED)
+_FLIP = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_TIMES = _random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's shingles; fewer words than a shingle are one shingle, no words none."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    total = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), SEED) for i in range(total)), np.uint64, total))
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """One signed 64-bit key a band; none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for start in range(0, len(shingles), SLICE):
+        part = shingles[start : start + SLICE]
+        least = np.minimum(least, ((part[None, :] ^ _FLIP[:, None]) * _TIMES[:, None]).min(axis=1))
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            part = batch.slice(start, 1000)
+            sets = [shingle_set(x.as_py(), shingle) for x in part.column(2).cast(pa.binary())]
+            nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["rid", "id", "node", "n", "keys", "shingles"],
+            )
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for a, b in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both * least[1] >= (len(x) + len(y) - both) * least[0])
+        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def links(sets: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(u, v): enough pairs of nodes whose sets' Jaccard similarity is at least the fraction to connect all candidates so linked."""
+    nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    bucket = Window.partitionBy("key")
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key")).select("*", F.count("*").over(bucket).alias("size"), F.min(F.struct("node", "n")).over(bucket).alias("least"))
+    members = written(keyed.where("size > 1").select("key", "node", "n", "size", F.col("least.node").alias("first"), F.col("least.n").alias("first_n")), "bands")
+    named = written(members.select(F.col("node").alias("of")).distinct(), "candidates")
+    whole = written(sets.join(hinted(named, named.count()), F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "candidate-sets")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        a, b = (whole.select(F.col("node").alias(c), F.col("shingles").alias(c + "_set")) for c in "uv")
+        return written(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set").mapInArrow(lambda it: _alike(it, least), "u long, v long"), name)
+
+    near = lambda x, y: F.least(x, y) * least[1] >= F.greatest(x, y) * least[0]
+    stars = written(members.where("node <> first").where(near(F.col("n"), F.col("first_n"))).select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    first = verified(stars, "star-links")
+    found = components(first).select(F.col("node").alias("of"), "root")
+    rooted = members.join(found, F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = written(rooted.join(mixed, "key").withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)")), "open")
+    left = open_.select("key", F.explode(F.expr("sequence(0, tiles - 1)")).alias("tile"), F.col("node").alias("u"), F.col("n").alias("u_n"), F.col("root").alias("u_root"))
+    right = open_.select("key", "tile", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("root").alias("v_root"))
+    rest = left.join(right, ["key", "tile"]).where("u < v and u_root <> v_root").where(near(F.col("u_n"), F.col("v_n"))).select("u", "v").distinct()
+    return first.unionByName(verified(rest.join(stars, ["u", "v"], "left_anti"), "rest-links"))
+
+
+def deduplicate(docs: DataFrame, least: tuple[int, int] = (4, 5), shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of links: that of the smallest id (null last), one of repeated rows; all columns stay.
+
+    Texts are linked if the Jaccard similarity of their sets of `shingle` words is at least the fraction `least`; texts
+    without words (and nulls) are all alike. Rows are numbered once, in a written table.
+    """
+    numbered = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    slim = numbered.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = written(slim.mapInArrow(lambda it: _sets(it, shingle), "rid long, id long, node long, n long, keys array<long>, shingles binary"), "shingles")
+    found = components(links(sets, least)).select(F.col("node").alias("of"), "root")
+    rooted = sets.select("rid", "id", "node").join(found, F.col("node") == F.col("of"), "left").select("rid", "id", F.coalesce("root", "node").alias("root"))
+    rooted = written(rooted, "roots")
+    kept = rooted.groupBy("root").agg(F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("kept"))
+    others = written(rooted.join(kept, "root").where("rid <> kept").select(F.col("rid").alias("__rid")), "others")
+    return numbered.join(hinted(others, others.count()), "__rid", "left_anti").drop("__rid")
