@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import release, written
+from readlake.llm.common import hinted, release, written
 
 #: Words of a block (a longer document is a block of its own), and words of test items that one pass looks for.
 BLOCK_WORDS, PASS_WORDS = 2_000_000, 2_000_000
@@ -196,8 +196,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
     item ids are no item; other columns are not read. An empty benchmark hits nothing. The benchmark is read in passes of
     PASS_WORDS words, so its size bounds the number of passes, not a task's memory.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    slim = written(docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "numbered")
+    judged = _judged(slim, benchmark, size, one_in, item_col, item_text)
+    return judged.join(slim.select("rid", "id"), "rid").select("rid", "id", "n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated")
+
+
+def _judged(slim: DataFrame, benchmark: DataFrame, size: int, one_in: int, item_col: str, item_text: str) -> DataFrame:
+    """What `contaminated` finds for each rid of a written table (rid, text), which keeps its numbers however often it is read."""
+    spark = slim.sparkSession
     found: DataFrame | None = None
     for names, texts in _passes(benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(item_text))):
         vocabulary = sorted({w for t in texts for w in t})
@@ -213,8 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in:
         passes = 1 if found is part else 2
     if passes > 1:
         found = found.groupBy("rid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    judged = found.mapInArrow(lambda it: _judge(it, one_in), "rid long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<a: long, b: long>>, contaminated boolean")
-    return judged.join(slim.select("rid", "id"), "rid").select("rid", "id", "n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated")
+    return found.mapInArrow(lambda it: _judge(it, one_in), "rid long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<a: long, b: long>>, contaminated boolean")
 
 
 def _passes(benchmark: DataFrame) -> Iterator[tuple[list[str], list[list[bytes]]]]:
@@ -254,7 +259,10 @@ def _judge(batches: Iterator[pa.RecordBatch], one_in: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], ["rid", "n_words", "n_hit", "n_items", "items_sha256", "spans", "contaminated"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, **columns: str) -> DataFrame:
-    """docs without the contaminated rows; all columns stay."""
-    bad = contaminated(docs, benchmark, size, one_in, **columns).where("contaminated").select(F.col("rid").alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(bad, "__rid", "left_anti").drop("__rid")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, one_in: int = 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the contaminated rows; all columns stay. Rows are numbered once, in a written table."""
+    numbered = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    slim = numbered.select(F.col("__rid").alias("rid"), F.col(text_col).alias("text"))
+    bad = _judged(slim, benchmark, size, one_in, item_col, item_text).where("contaminated").select(F.col("rid").alias("__rid"))
+    bad = written(bad, "contaminated")
+    return numbered.join(hinted(bad, bad.count()), "__rid", "left_anti").drop("__rid")

@@ -232,7 +232,17 @@ def predict(docs: DataFrame, model: Model | None, columns: list[Column], text_co
 
 
 def keep_identified(docs: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs whose language is identified with a score of at least `least`; all columns stay."""
-    rid = F.monotonically_increasing_id()
-    bad = predict(docs, model, [rid.alias("__rid")], text_col).where((F.col("lang_pred") == "und") | (F.col("score") < least)).select("__rid")
-    return docs.withColumn("__rid", rid).join(bad, "__rid", "left_anti").drop("__rid")
+    """docs whose language is identified with a score of at least `least`, judged in the pass that hands on the whole row; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def identified(m: Model | None, text: str | None) -> bool:
+        label, score = m.predict(text) if m is not None and text and _has_letter(text) else ("und", 0.0)
+        return label != "und" and score >= least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([identified(m, t.as_py()) for t in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

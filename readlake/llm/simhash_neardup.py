@@ -55,9 +55,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["rid", "id", "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(rid, id, fp), one row per row of docs, as a written table; rid tells repeated rows apart."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, rid_col: str | None = None) -> DataFrame:
+    """(rid, id, fp), one row per row of docs, as a written table; rid (rid_col, else a new number) tells repeated rows apart."""
+    rid = F.col(rid_col) if rid_col else F.monotonically_increasing_id()
+    rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return written(rows.mapInArrow(lambda it: _fingerprints(it, shingle), "rid long, id long, fp long"), "simhash")
 
 
@@ -262,14 +263,14 @@ def links(distinct: DataFrame, radius: int = 4, blocks: int | None = None) -> Da
     return dealt.mapInArrow(lambda it: _compare(it, masks, radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, rid_col: str | None = None) -> DataFrame:
     """(rid, id, fp, component): component is the smallest id reachable over links of at most `radius` differing bits.
 
     Null texts and texts without words have fingerprint 0 and are linked like any other; null ids take part and get the
     component of their fingerprint (null if it has no other id); repeated rows stay, one result each; other columns are
     not read, so their names don't matter; an empty table gives an empty result.
     """
-    prints = fingerprints(docs, id_col, text_col, shingle)
+    prints = fingerprints(docs, id_col, text_col, shingle, rid_col)
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     found = components(links(distinct, radius))
     rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -279,9 +280,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (null last), one of repeated rows; all columns stay."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius)
+    """docs with one row of each component: that of the smallest id (null last), one of repeated rows; all columns stay.
+
+    Rows are numbered once, in a written table.
+    """
+    numbered = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, id_col, text_col, shingle, radius, "__rid")
     # rows without any id share a component by fingerprint only
     group = [F.col("component"), F.when(F.col("component").isNull(), F.col("fp"))]
     kept = found.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(F.min_by("rid", F.struct(F.col("id").isNull(), "id", "rid")).alias("__rid"))
-    return docs.withColumn("__rid", F.monotonically_increasing_id()).join(kept.select("__rid"), "__rid", "left_semi").drop("__rid")
+    return numbered.join(kept.select("__rid"), "__rid", "left_semi").drop("__rid")

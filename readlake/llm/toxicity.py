@@ -283,7 +283,12 @@ def score(docs: DataFrame, scorer: Scorer, columns: list[Column], text_col: str
 
 
 def reject(docs: DataFrame, scorer: Scorer, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs that score below `least`; all columns stay."""
-    rid = F.monotonically_increasing_id()
-    bad = score(docs, scorer, [rid.alias("__rid")], text_col).where(F.col("score") >= least).select("__rid")
-    return docs.withColumn("__rid", rid).join(bad, "__rid", "left_anti").drop("__rid")
+    """docs that score below `least`, judged in the pass that hands on the whole row; all columns stay."""
+    shared, name = docs.sparkSession.sparkContext.broadcast((scorer.restorer.model, scorer.words, scorer.bias)), scorer.name
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = held(("toxicity", name), lambda: Scorer(*shared.value))
+        for batch in batches:
+            yield batch.filter(pa.array([s.score(t.as_py()) < least for t in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
