@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ from readlake.llm.common import held, least_hashed, release, written
 
 #: Labelled rows of each class that are learned from at most; words that the model may weigh; distinct tokens that a worker keeps.
 PER_CLASS, MOST_WORDS, MOST_TOKENS = 4_000, 1_000, 200_000
-#: Code points taken at once; characters of one lattice (longer tokens, as keys and hashes, are left as they are).
-SLICE, LONGEST = 1 << 20, 48
+#: Code points taken at once; length of tokens whose reading a worker keeps; steps of a lattice between two flushes; length that runs are folded to.
+SLICE, LONGEST, FLUSH, RUN = 1 << 20, 48, 64, 8
 
 # Signs and the letters that they stand for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -80,6 +81,7 @@ def smoothed(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
 _EDGES = re.compile(r"^[^\w@$!|+(€£]+|[.,;:!?)\]}'\"]+$|^([^\w])\1+|([^\w])\2+$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _ODD = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(rf"([^\W_])\1{{{RUN},}}")
 _APART = re.compile(r"(?<![^\s])[^\W_](?:[ .\-_*][^\W_]){2,}(?![^\s.,;:!?])")
 
 
@@ -88,10 +90,24 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.word = lru_cache(maxsize=50_000)(self._word)
+        self.kept = lru_cache(maxsize=50_000)(self._word)
+
+    def word(self, token: str) -> tuple[str, ...]:
+        """The restored words of one lower-cased token."""
+        return self.kept(token) if len(token) <= LONGEST else self._word(token)
+
+    def _fold(self, m: re.Match) -> str:
+        """A run that no best reading keeps more than a few of, cut to RUN: each more costs a REPEAT, less than to keep it."""
+        c = m[1]
+        s = _NUMBER.get(c, SYMBOLS - 1)
+        return c * RUN if (c in STANDS_FOR if not c.isalpha() else self.model[s, s, s] < -REPEAT) else m[0]
 
     def decode(self, segment: str) -> str:
-        """The best reading of a segment: Viterbi over states of the last two symbols."""
+        """The best reading of a segment of any length: Viterbi over states of the last two symbols.
+
+        What all states' readings begin with is settled and given out, so only the part in doubt is held.
+        """
+        segment, settled = _RUN.sub(self._fold, segment), []
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for k, c in enumerate(segment):
             options: list[tuple[str, float]] = []
@@ -113,26 +129,28 @@ class Restorer:
                     if state not in after or new > after[state][0]:
                         after[state] = (new, out + x)
             best = after
-        return max(((s + float(self.model[a, b, 0]), out) for (a, b), (s, out) in best.items()), default=(0.0, ""))[1]
+            if k % FLUSH == FLUSH - 1 and (sure := len(commonprefix([out for _, out in best.values()]))):
+                settled.append(next(iter(best.values()))[1][:sure])
+                best = {state: (score, out[sure:]) for state, (score, out) in best.items()}
+        return "".join(settled) + max(((s + float(self.model[a, b, 0]), out) for (a, b), (s, out) in best.items()), default=(0.0, ""))[1]
 
     def _word(self, token: str) -> tuple[str, ...]:
-        """The restored words of one lower-cased token."""
         while (core := _EDGES.sub("", token)) != token:
             token = core
         if _PLAIN.fullmatch(token) and not _ODD.search(token):
             return (token,)
         letters = sum(map(str.isalpha, token))
-        if not letters or len(token) > LONGEST or (not _ODD.search(token) and not any(c in STANDS_FOR for c in token)):
+        if not letters or (not _ODD.search(token) and not any(c in STANDS_FOR for c in token)):
             return tuple(_PLAIN.findall(token))
         return tuple(self.decode(token).split())
 
     def apart(self, text: str) -> list[str]:
         """Restored words of the runs of single letters in a lower-cased text."""
-        return [w for m in _APART.finditer(text) if len(m[0]) <= 4 * LONGEST for w in self.decode(m[0]).split()]
+        return [w for m in _APART.finditer(text) for w in self.decode(m[0]).split()]
 
     def restore(self, text: str) -> str:
         """The whole text, lower-cased, with its suspicious segments restored and words set one space apart."""
-        text = _APART.sub(lambda m: self.decode(m[0]) if len(m[0]) <= 4 * LONGEST else m[0], text.lower())
+        text = _APART.sub(lambda m: self.decode(m[0]), text.lower())
         return " ".join(w for t in text.split() for w in self.word(t))
 
 
@@ -159,7 +177,7 @@ class Scorer:
                 w = self.known.get(t)
                 if w is None:
                     w = tuple(x for r in self.restorer.word(t) for x in traits(r) if x in self.words)
-                    if len(self.known) < MOST_TOKENS:  # the first ones seen are the frequent ones
+                    if len(t) <= LONGEST and len(self.known) < MOST_TOKENS:  # the first ones seen are the frequent ones
                         self.known[t] = w
                 out.update(w)
             out.update(x for r in self.restorer.apart(part) for x in traits(r) if x in self.words)
@@ -171,11 +189,11 @@ class Scorer:
 
 
 def _slices(text: str) -> Iterator[tuple[int, int]]:
-    """Cuts of a text at white space, of about SLICE code points."""
+    """Cuts of a text at white space that is not inside a run of single letters, of about SLICE code points."""
     start = 0
     while start < len(text):
         end = min(start + SLICE, len(text))
-        while end < len(text) and not text[end].isspace():
+        while end < len(text) and not (text[end].isspace() and text[end - 2] not in " .-_*"):
             end += 1
         yield start, end
         start = end
