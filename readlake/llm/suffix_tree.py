@@ -1,86 +1,80 @@
 """A probabilistic suffix tree of words: learned by counting, kept where the next word's distribution diverges, used for scoring.
 
-A context of d words is a node if it makes up at least P_MIN of the learned tokens and tells more about the next word than
-the context one word shorter does (a divergence test in bits). A node lists the next words whose sequence with it also
-reaches P_MIN, discounted; what is left over goes to the next shorter context, at the end to the words' own frequencies, so
-every node's distribution sums to one. A token is scored in the longest node that the words before it end with.
-
-P_MIN bounds the model: no depth has more than 1 / P_MIN nodes or listed words, whatever the corpus, so its tables may be
-broadcast. Words outside the HEAD most frequent are never part of a node; their counts come by a join on the word.
+A context is the last 1 to DEPTH words. It lists the words that follow it at least LEAST times, discounted; what is left over
+goes to the context one word shorter, at the end to the words' own frequencies, so every distribution sums to one. A context
+is retained if its own distribution tells more about the words after it than the shorter one's (a divergence in bits).
+A token is scored in the longest retained contexts that the words before it end with.
+
+The tree grows with the corpus, so no machine holds it: it is cut into parts by the last word of the context. Every token is
+dealt, with the words before it, to the part of its contexts; a part counts, tests and scores, and what it found goes back to
+the documents. Tokens travel in packed blobs of a chunk of documents and a part. A last word that is too frequent for a part
+is spread over several by the words before it; the counts of its short contexts, which these parts share, are summed first.
 """
 
 from __future__ import annotations
 
-import math
-import uuid
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import held, words_of, written
-
-#: Words numbered for the tree at most (the most frequent), least share of the learned tokens, words of a context at most.
-HEAD, P_MIN, DEPTH = 1 << 19, 2.0**-20, 3
-#: Bits that a context must save on the tokens after it, for each word that it lists; the discount of a listed word's count.
-GAIN, DISCOUNT = 2.0, 0.75
-#: Parts that n-gram counts are dealt to, and tokens of a task counted at once.
-PARTS, CHUNK = 256, 2_000_000
-#: Number of the end of a text.
+from readlake.llm.common import held, hinted, release, scratch_path, words_of, written
+
+#: Words of a context at most, times that a listed word follows its context at least, discount of its count.
+DEPTH, LEAST, DISCOUNT = 3, 2, 0.75
+#: Bits that a context must save on the tokens after it, for each word that it lists.
+GAIN = 2.0
+#: Most frequent words that are numbered; all others are known by their hash, and their counts come by a join.
+HEAD = 1 << 19
+#: Tokens that a task packs at once, and tokens of a part. A chunk must number its words in BITS bits.
+CHUNK, PART_TOKENS, BITS = 1_500_000, 2_000_000, 21
+#: Number of the end of a text; among the words before a token it means none.
 END = 0
 
 
 @dataclass
-class Tree:
-    """Numbered words (0 is the end), and for each depth the nodes' keys with log10 of what they leave over, and listed n-grams."""
+class Head:
+    """Counts of the corpus, and the numbered words (0 is the end)."""
 
     words: list[bytes]
-    counts: np.ndarray  # of the numbered words
+    counts: np.ndarray
     total: int  # N
     distinct: int  # V
-    node_keys: list[np.ndarray] = field(default_factory=list)  # depth d at [d - 1]; sorted
-    node_rest: list[np.ndarray] = field(default_factory=list)
-    gram_keys: list[np.ndarray] = field(default_factory=list)
-    gram_logp: list[np.ndarray] = field(default_factory=list)
-    tables: list[np.ndarray] = field(default_factory=list)  # counted n-grams of 2, 3, ... words: what places refer to
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    spread: dict[int, int]  # parts of each word that is too frequent for one
+    parts: int
+    name: str
 
     def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
-
-
-def _tokens(text: bytes | None, number: dict[bytes, int]) -> np.ndarray:
-    """Numbers of the words of a text, -1 for words that have none, and the end."""
-    w = words_of(text)
-    out = np.fromiter(map(number.get, w, _none()), np.int64, len(w)) if w else np.empty(0, np.int64)
-    return np.append(out, END)
-
+        return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-def _none() -> Iterator[int]:
-    while True:
-        yield -1
+    @property
+    def unnumbered(self) -> int:
+        """The count that words without a number have at most."""
+        return int(self.counts[1:].min()) if len(self.counts) > 1 else self.total
 
 
+# ---- counts of words -------------------------------------------------------------------------------------------------
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words; the end has the empty word."""
-    from collections import Counter
-
+    release()
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()):
             counts.update(words_of(text.as_py()))
             counts[b""] += 1
-        if len(counts) > 1_000_000:
-            yield _counted(counts)
-            counts.clear()
+            if len(counts) > 500_000:
+                yield _counted(counts)
+                counts.clear()
     yield _counted(counts)
 
 
-def _counted(counts) -> pa.RecordBatch:
+def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
 
@@ -89,348 +83,521 @@ def unigrams(texts: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(_unigrams, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
 
 
-def _grams(tokens: np.ndarray, tree: Tree, depth: int, listed: list[np.ndarray], least: int) -> np.ndarray:
-    """Keys of the n-grams of depth + 1 words whose first and last `depth` words both occur often enough.
-
-    tokens: texts laid end to end, each led by -1. A key is (place of the context in its table) * HEAD + word.
-    """
-    ends = endings(tokens, depth, listed)
-    at = np.flatnonzero((ends[-1][:-1] >= 0) & (tokens[1:] >= 0)) + 1
-    context, word = ends[-1][at - 1], tokens[at]
-    if depth == 1:
-        often = tree.counts >= least
-        good = often[context] & often[word]
-    else:
-        good = find(listed[depth - 2], ends[-2][at - 1] * HEAD + word) >= 0
-    return context[good] * HEAD + word[good]
-
-
-def endings(tokens: np.ndarray, depth: int, tables: list[np.ndarray]) -> list[np.ndarray]:
-    """For 1 to depth words: place, in the table of contexts, of the words that end with each token, else -1."""
-    out = [np.where(tokens > 0, tokens, -1)]
-    for d in range(2, depth + 1):
-        key = np.full(len(tokens), -1, np.int64)
-        at = np.flatnonzero((out[-1][:-1] >= 0) & (tokens[1:] > 0)) + 1
-        key[at] = out[-1][at - 1] * HEAD + tokens[at]
-        out.append(find(tables[d - 2], key))
-    return out
-
-
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in the sorted table, or -1."""
-    out = np.full(len(keys), -1, np.int64)
-    asked = np.flatnonzero(keys >= 0)
-    if len(table) and len(asked):
-        k = keys[asked]
-        i = np.minimum(np.searchsorted(table, k), len(table) - 1)
-        hit = table[i] == k
-        out[asked[hit]] = i[hit]
-    return out
-
-
-def _number_of(tree: Tree) -> dict[bytes, int]:
-    """The worker's numbers of the tree's words."""
-    return held(("tree", tree.name), lambda: {w: i for i, w in enumerate(tree.words)})
-
-
-def _laid(batches: Iterator[pa.RecordBatch], number: dict[bytes, int]) -> Iterator[np.ndarray]:
-    """Texts laid end to end, each led by DEPTH times -1, about CHUNK tokens at a time."""
-    held, size, gap = [], 0, np.full(DEPTH, -1, np.int64)
-    for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            t = _tokens(text.as_py(), number)
-            held += [gap, t]
-            size += len(t) + DEPTH
-            if size >= CHUNK:
-                yield np.concatenate(held)
-                held, size = [], 0
-    if held:
-        yield np.concatenate(held)
-
-
-def _pressed(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Sorted keys and counts by part, as differences and small numbers."""
-    part = (((keys // HEAD).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % PARTS
-    order = np.argsort(part, kind="stable")
-    keys, counts, part = keys[order], counts[order], part[order]
-    cut = np.searchsorted(part, np.arange(PARTS + 1))
-    press = zstandard.ZstdCompressor(level=1)
-    for p in np.flatnonzero(np.diff(cut)):
-        a, b = cut[p], cut[p + 1]
-        steps = np.diff(keys[a:b], prepend=0)
-        yield int(p), press.compress(np.array([b - a], "<i8").tobytes() + steps.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + counts[a:b].astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unpressed(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw[:8], "<i8")[0])
-    steps = np.frombuffer(raw[8 : 8 + 8 * n], np.uint8).reshape(8, n).T.copy().view("<i8").ravel()
-    return np.cumsum(steps), np.frombuffer(raw[8 + 8 * n :], np.uint8).reshape(4, n).T.copy().view("<i4").ravel().astype(np.int64)
-
-
-def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
-
-
-def count_grams(texts: DataFrame, shared, tables: list[np.ndarray], depth: int, least: int) -> DataFrame:
-    """(key, n): n-grams of depth + 1 words that occur at least `least` times."""
-    listed = texts.sparkSession.sparkContext.broadcast(tables)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = _number_of(shared.value)
-        keys, counts, size = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            rows = list(_pressed(*summed(keys, counts)))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["part", "blob"])
-
-        for laid in _laid(batches, number):
-            k, c = np.unique(_grams(laid, shared.value, depth, listed.value, least), return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            size += len(k)
-            if size > 6 * CHUNK:
-                yield out()
-                keys, counts, size = [], [], 0
-        if keys:
-            yield out()
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blobs of whole parts, sorted by part."""
-        part, keys, counts = None, [], []
-
-        def out() -> pa.RecordBatch:
-            k, c = summed(keys, counts)
-            k, c = k[c >= least], c[c >= least]
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["key", "n"])
-
-        for batch in batches:
-            for p, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if p != part and keys:
-                    yield out()
-                    keys, counts = [], []
-                part = p
-                k, c = _unpressed(blob.as_py())
-                keys.append(k)
-                counts.append(c)
-                if sum(map(len, keys)) > 6 * CHUNK and len(keys) > 1:
-                    k, c = summed(keys, counts)
-                    keys, counts = [k], [c]
-        if keys:
-            yield out()
-
-    dealt = texts.mapInArrow(count, "part int, blob binary").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(total, "key long, n long")
-
-
-def learn(texts: DataFrame, depth: int = DEPTH, p_min: float = P_MIN, head: int = HEAD) -> tuple[Tree, DataFrame]:
-    """The tree of texts (one column), and the written table of all word counts.
-
-    A null text counts as empty; a table without rows gives a tree without nodes.
-    """
-    spark = texts.sparkSession
-    counted = unigrams(texts)
+def head_of(counted: DataFrame, tokens: int, head: int = HEAD, part_tokens: int = PART_TOKENS) -> Head:
+    """The numbered words of a table of counts: all over the count that at most head - 1 words exceed. tokens: of all texts."""
+    spark = counted.sparkSession
     total, distinct = (x or 0 for x in counted.agg(F.sum("n"), F.count("*")).first())
     ends = (counted.where(F.col("word") == F.lit(b"")).agg(F.sum("n")).first()[0]) or 0
-    # the most frequent words, HEAD - 1 of them at most: those over the count that so few exceed
-    sizes = counted.where(F.col("word") != F.lit(b"")).groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n"))
+    plain = counted.where(F.col("word") != F.lit(b""))
     floor, so_far = total + 1, 0
-    for row in sizes.limit(head).toLocalIterator():
+    for row in plain.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(head).toLocalIterator():
         if so_far + row["k"] >= head:
             break
         so_far, floor = so_far + row["k"], row["n"]
-    top = counted.where((F.col("word") != F.lit(b"")) & (F.col("n") >= floor)).orderBy(F.desc("n"), "word").limit(head - 1).toArrow()
+    top = plain.where(F.col("n") >= floor).orderBy(F.desc("n"), "word").limit(head - 1).toArrow()
     words = [b"", *(bytes(w) for w in top.column("word").to_pylist())]
     counts = np.concatenate([[ends], top.column("n").to_numpy()]).astype(np.int64)
-    tree = Tree(words, counts, int(total), int(distinct))
-    least = max(2, math.ceil(p_min * total))
-    # depth by depth: only n-grams whose context and whose shorter form are frequent can be frequent
-    shared = spark.sparkContext.broadcast(tree)
-    tables: list[np.ndarray] = []  # of contexts of 2, 3, ... words, sorted keys
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-    for d in range(1, depth + 1):
-        found = count_grams(texts, shared, tables, d, least).toArrow()
-        keys, n = found.column("key").to_numpy().astype(np.int64), found.column("n").to_numpy().astype(np.int64)
-        order = np.argsort(keys)
-        grams.append((keys[order], n[order]))
-        tables.append(keys[order])
-        if not len(keys):
-            break
-    _retain(tree, grams, tables)
-    return tree, counted
-
-
-def _retain(tree: Tree, grams: list[tuple[np.ndarray, np.ndarray]], tables: list[np.ndarray]) -> None:
-    """Test every context for divergence from the next shorter one, shortest first; a kept context keeps its suffixes."""
-    logs = tree.base(tree.counts)
-    # P(word | suffix) of a listed n-gram comes from the longest listed shorter form
-    below_p = 10.0**logs
-    lists = []
-    for d, (keys, n) in enumerate(grams, 1):
-        context, word = keys // HEAD, keys % HEAD
-        whole = tree.counts if d == 1 else grams[d - 2][1]
-        seen = whole[context].astype(float)
-        if d == 1:
-            suffix, short = np.zeros(len(keys), np.int64), word
-            p_short = below_p[word]
-        else:
-            suffix = _suffix(context, d, tables)  # place of the context without its first word
-            short = find(grams[d - 2][0], np.where(suffix >= 0, suffix * HEAD + word, -1))
-            prior = lists[-1]
-            rest = np.where(suffix >= 0, prior["rest"][np.maximum(suffix, 0)], 1.0)
-            p_short = np.where(short >= 0, prior["p"][np.maximum(short, 0)], rest * _deeper(suffix, word, d - 1, tables, lists, below_p))
-        mass = (n - DISCOUNT) / seen
-        rest = np.ones(len(whole))
-        np.subtract.at(rest, context, mass)
-        rest = np.maximum(rest, 1e-9)
-        p = mass + rest[context] * p_short
-        gain = np.zeros(len(whole))
-        np.add.at(gain, context, n * np.log2(p / p_short))
-        many = np.bincount(context, minlength=len(whole))
-        listed_n = np.bincount(context, weights=n, minlength=len(whole))
-        gain += (whole - listed_n) * np.log2(rest)
-        lists.append({"rest": rest, "p": p, "keep": (many > 0) & (gain >= GAIN * many), "suffix": suffix, "context": context})
-    # a node's suffixes are nodes
-    for d in range(len(grams), 1, -1):
-        keep = np.flatnonzero(lists[d - 1]["keep"])
-        up = _suffix(keep, d, tables)
-        lists[d - 2]["keep"][up[up >= 0]] = True
-    # what a node passes over, and the final probabilities over kept nodes only
-    for d, (keys, n) in enumerate(grams, 1):
-        x = lists[d - 1]
-        nodes = np.flatnonzero(x["keep"])
-        context, word = keys // HEAD, keys % HEAD
-        rows = np.flatnonzero(x["keep"][context])
-        rest = x["rest"][nodes]
-        if d == 1:
-            p_short = below_p[word[rows]]
-        else:
-            p_short = 10.0 ** _score_suffix(tree, _suffix(context[rows], d, tables), word[rows], d - 1, tables, logs)
-        whole = tree.counts if d == 1 else grams[d - 2][1]
-        mass = (n[rows] - DISCOUNT) / whole[context[rows]]
-        tree.node_keys.append(nodes.astype(np.int64))
-        tree.node_rest.append(np.log10(rest))
-        tree.gram_keys.append(keys[rows])
-        tree.gram_logp.append(np.log10(mass + x["rest"][context[rows]] * p_short))
-    tree.tables = tables
-
-
-def _suffix(context: np.ndarray, depth: int, tables: list[np.ndarray]) -> np.ndarray:
-    """Place, among contexts of depth - 1 words, of contexts of depth words without their first word."""
-    last = []
-    at = context
-    for d in range(depth, 1, -1):  # words from the last to the second
-        key = tables[d - 2][at]
-        last.append(key % HEAD)
-        at = key // HEAD
-    at = last.pop()
-    for d in range(2, depth):
-        at = find(tables[d - 2], np.where(at >= 0, at * HEAD + last.pop(), -1))
-    return at
-
-
-def _deeper(suffix: np.ndarray, word: np.ndarray, depth: int, tables: list[np.ndarray], lists: list[dict], p: np.ndarray) -> np.ndarray:
-    """P(word | suffix of a context of `depth` words), for words that the context does not list."""
-    if depth <= 1:
-        return p[word]
-    up = _suffix(np.maximum(suffix, 0), depth, tables)
-    at = find(tables[depth - 2], np.where(up >= 0, up * HEAD + word, -1))
-    x = lists[depth - 2]
-    return np.where(at >= 0, x["p"][np.maximum(at, 0)], np.where(up >= 0, x["rest"][np.maximum(up, 0)], 1.0) * _deeper(up, word, depth - 1, tables, lists, p))
-
-
-def _score_suffix(tree: Tree, context: np.ndarray, word: np.ndarray, depth: int, tables: list[np.ndarray], logs: np.ndarray) -> np.ndarray:
-    """log10 P(word | context of `depth` words) in the kept tree; context: places, -1 for none."""
-    out, at, open_ = np.zeros(len(word)), context, np.ones(len(word), bool)
-    for d in range(depth, 0, -1):
-        node = find(tree.node_keys[d - 1], np.where(open_, at, -1))
-        gram = find(tree.gram_keys[d - 1], np.where(node >= 0, at * HEAD + word, -1))
-        hit = gram >= 0
-        out[hit] += tree.gram_logp[d - 1][gram[hit]]
-        open_ &= ~hit
-        over = (node >= 0) & open_
-        out[over] += tree.node_rest[d - 1][node[over]]
-        if d > 1:
-            at = np.where(at >= 0, _suffix(np.maximum(at, 0), d, tables), -1)
-    out[open_] += logs[word[open_]]
-    return out
-
-
-def score_tokens(laid: np.ndarray, tree: Tree, logs: np.ndarray) -> np.ndarray:
-    """log10 P of every token in its longest node; for words without a number only what the nodes pass over."""
-    out, open_ = np.zeros(len(laid)), np.ones(len(laid), bool)
-    ends = endings(laid, max(1, len(tree.node_keys)), tree.tables)
-    for d in range(len(tree.node_keys), 0, -1):
-        at = np.concatenate(([-1], ends[d - 1][:-1]))
-        at[~open_] = -1
-        node = find(tree.node_keys[d - 1], at)
-        gram = find(tree.gram_keys[d - 1], np.where((node >= 0) & (laid >= 0), at * HEAD + laid, -1))
-        hit = gram >= 0
-        out[hit] += tree.gram_logp[d - 1][gram[hit]]
-        open_ &= ~hit
-        over = (node >= 0) & open_
-        out[over] += tree.node_rest[d - 1][node[over]]
-    plain = open_ & (laid >= 0)
-    out[plain] += logs[laid[plain]]
-    return out
-
-
-SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<long>"
-
-
-def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, p_min: float = P_MIN, head: int = HEAD) -> DataFrame:
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = tasks * max(1, -(-tokens // (tasks * part_tokens)))
+    # a word over twice a task's share, or a part's, is spread
+    share = min(2 * total / tasks, 2 * part_tokens * total / max(1, tokens))
+    often = 1 + np.flatnonzero(counts[1:] > share)
+    spread = {int(i): min(parts, int(np.ceil(counts[i] / (share / 4)))) for i in often}
+    return Head(words, counts, int(total), int(distinct), spread, parts, scratch_path(spark, "head"))
+
+
+# ---- tokens ----------------------------------------------------------------------------------------------------------
+def hash_of(word: bytes) -> int:
+    """A word's identity where it has no number: its XXH64 as Spark's xxhash64 gives it."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
+class Numbers:
+    """Identities of words: a number, or the hash with its highest bit set, which makes it negative."""
+
+    def __init__(self, head: Head):
+        self.number = {w: i for i, w in enumerate(head.words)}
+        self.spread = np.ones(len(head.counts), np.int32)
+        self.spread[list(head.spread)] = list(head.spread.values())
+
+    def of(self, text: bytes | None) -> np.ndarray:
+        w = words_of(text)
+        found = list(map(self.number.get, w))
+        if None in found:
+            found = [-(hash_of(x) >> 1) - 1 if i is None else i for x, i in zip(w, found, strict=True)]
+        found.append(END)
+        return np.array(found, np.int64)
+
+
+def signed(h: Column) -> Column:
+    """The identity of an unnumbered word from its 64-bit hash."""
+    return -F.shiftrightunsigned(h, 1) - 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
+
+
+def _parts(w: np.ndarray, c: list[np.ndarray], spread: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each token w: that of the word before it, or one of those that share a frequent word."""
+    first = np.where(c[0] == END, w, c[0])
+    wide = lambda x: np.where(x > 0, spread[np.maximum(x, 0)], 1)
+    many = wide(c[0])
+    often = np.flatnonzero(many > 1)
+    step = np.zeros(len(w), np.uint64)
+    if len(often):
+        x, y = c[1][often], c[2][often]
+        step[often] = _mixed(x ^ np.where(wide(x) > 1, _mixed(y).view(np.int64) << 20, 0)) % many[often].astype(np.uint64)
+    return ((_mixed(first) + step) % np.uint64(parts)).astype(np.int64)
+
+
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of one length as bytes, a plane for each byte of a number."""
+    n = len(columns[0])
+    planes = [x.astype("<i4").view(np.uint8).reshape(n, 4).T.tobytes() for x in columns]
+    return b"".join(planes)
+
+
+def _expand(raw: memoryview, n: int, columns: int) -> list[np.ndarray]:
+    flat = np.frombuffer(raw, np.uint8, 4 * n * columns).reshape(columns, 4, n)
+    return [x.T.copy().view("<i4").ravel() for x in flat]
+
+
+def _blob(rows: list[np.ndarray], base: int, press: zstandard.ZstdCompressor) -> bytes:
+    """Sorted rows (c1, c2, c3, w, doc, k): numbers below base are the words' own, others are places in a list of identities."""
+    *ids, doc, k, names = rows
+    flat = np.concatenate(ids)
+    odd = np.flatnonzero(flat >= base)
+    used, place = np.unique(flat[odd], return_inverse=True)
+    flat[odd] = base + place
+    n = len(doc)
+    c = np.split(flat, 4)
+    head = np.array([n, len(used)], "<i8").tobytes() + names[used - base].astype("<i8").tobytes()
+    return press.compress(head + _squeeze(np.diff(c[0], prepend=0), *c[1:], doc, k))
+
+
+def _unblob(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    n, m = np.frombuffer(raw[:16], "<i8").tolist()
+    columns = _expand(raw[16 + 8 * m :], n, 6)
+    columns[0] = np.cumsum(columns[0], dtype=np.int32)
+    return columns, np.frombuffer(raw[16 : 16 + 8 * m], "<i8")
+
+
+class Chunk:
+    """Documents' tokens on their way to the parts."""
+
+    def __init__(self, numbers: Numbers, head: Head):
+        self.numbers, self.head, self.press = numbers, head, zstandard.ZstdCompressor(level=3)
+        self.logs = np.log10(head.base(head.counts))
+        self.clear()
+
+    def clear(self) -> None:
+        self.laid: list[np.ndarray] = []
+        self.docs: list[tuple] = []
+        self.size = 0
+
+    def add(self, doc, held_out, text: bytes | None) -> None:
+        t = self.numbers.of(text)
+        seen = t[t >= 0]
+        known = int(np.count_nonzero(self.head.counts[seen]))
+        self.docs.append((doc, held_out, len(t), known, float(self.logs[seen].sum())))
+        self.laid.append(t)
+        self.size += len(t)
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Tokens, each text led by DEPTH ends or by what a longer text had before; and their documents, -1 for the lead."""
+        gap = np.zeros(DEPTH, np.int64)
+        out, docs, size = [], [], 0
+        for i, t in enumerate(self.laid):
+            for start in range(0, len(t), CHUNK):
+                part = t[start : start + CHUNK]
+                if out and size + len(part) > CHUNK:
+                    yield np.concatenate(out), np.concatenate(docs)
+                    out, docs, size = [], [], 0
+                out += [t[start - DEPTH : start] if start else gap, part]
+                docs += [np.full(DEPTH, -1, np.int64), np.full(len(part), i, np.int64)]
+                size += len(part)
+        if out:
+            yield np.concatenate(out), np.concatenate(docs)
+
+    def blobs(self) -> Iterator[tuple[int, bytes]]:
+        """(part, blob)."""
+        base, parts = len(self.head.counts), self.head.parts
+        learned = np.array([not d[1] for d in self.docs], np.int64)
+        for laid, doc in self.pieces():
+            at = np.flatnonzero(doc >= 0)
+            doc = doc[at]
+            c = [laid[at - d] for d in range(1, DEPTH + 1)]
+            part = _parts(laid[at], c, self.numbers.spread, parts)
+            names, place = np.unique(laid[laid < 0], return_inverse=True)
+            laid[laid < 0] = base + place
+            c1, c2, c3, w = laid[at - 1], laid[at - 2], laid[at - 3], laid[at]
+            low = (c3 << 2 * BITS) | (w << BITS) | doc
+            high = (part << 2 * BITS) | (c1 << BITS) | c2
+            order = np.argsort(low)
+            order = order[np.argsort(high[order], kind="stable")]
+            low, high = low[order], high[order]
+            first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))))
+            k = np.diff(first, append=len(order))
+            keep = order[first]
+            columns = [x[keep] for x in (c1, c2, c3, w)]
+            marked = doc[keep] * 2 + learned[doc[keep]]
+            part = part[keep]
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield int(part[a]), _blob([*(x[a:b] for x in columns), marked[a:b], k[a:b], names], base, self.press)
+
+
+DEALT = "key long, chunk long, blob binary, ids array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>"
+INFO = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+
+
+def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Blobs under the number of their part, and what is known of a chunk's documents under a negative number of the chunk."""
+    from pyspark import TaskContext
+
+    head = shared.value
+    chunk, number = Chunk(held(("words", head.name), lambda: Numbers(head)), head), TaskContext.get().partitionId() << 32
+
+    def out() -> Iterator[pa.RecordBatch]:
+        nonlocal number
+        info = [pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*chunk.docs, strict=True), INFO, strict=True)]
+        names = ["key", "chunk", "blob", "ids", "held", "n", "known", "base"]
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - number]), pa.array([number]), pa.array([None], pa.binary()), *info], names)
+        rows: list[tuple[int, bytes]] = []
+        size = 0
+        for row in chunk.blobs():
+            rows.append(row)
+            size += len(row[1])
+            if size > 4 << 20:
+                yield packed(rows)
+                rows, size = [], 0
+        if rows:
+            yield packed(rows)
+        number += 1
+        chunk.clear()
+
+    def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        none = [pa.nulls(len(rows), pa.list_(t)) for t in INFO]
+        columns = [pa.array([p for p, _ in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *none], ["key", "chunk", "blob", "ids", "held", "n", "known", "base"])
+
+    for batch in batches:
+        for doc, out_of, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
+            chunk.add(doc.as_py(), out_of.as_py(), text.as_py())
+            if chunk.size >= CHUNK:
+                yield from out()
+    if chunk.docs:
+        yield from out()
+
+
+# ---- contexts that several parts share -------------------------------------------------------------------------------
+def _frequent(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(c1, c2, w, n): what follows spread words, and pairs of spread words, in learned texts; c2 is 0 for the single word."""
+    head = shared.value
+    numbers = held(("words", head.name), lambda: Numbers(head))
+    kept: Counter = Counter()
+
+    def out() -> pa.RecordBatch:
+        columns = zip(*((*key, n) for key, n in kept.items()), strict=True) if kept else [[]] * 4
+        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["c1", "c2", "w", "n"])
+        kept.clear()
+        return batch
+
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            t = numbers.of(text.as_py())
+            wide = np.where(t > 0, numbers.spread[np.maximum(t, 0)] > 1, False)
+            at = 1 + np.flatnonzero(wide[:-1])
+            kept.update(zip(t[at - 1].tolist(), [0] * len(at), t[at].tolist(), strict=True))
+            at = at[at > 1]
+            at = at[wide[at - 2]]
+            kept.update(zip(t[at - 1].tolist(), t[at - 2].tolist(), t[at].tolist(), strict=True))
+            if len(kept) > 500_000:
+                yield out()
+    yield out()
+
+
+def _shared_contexts(texts: DataFrame, shared, head: Head, counted: DataFrame) -> DataFrame | None:
+    """(c1, c2, w, n, whole, rest, keep) of the listed words of spread words and pairs of them, written; None if there are none."""
+    if not head.spread:
+        return None
+    spark = texts.sparkSession
+    grams = written(texts.mapInArrow(lambda it: _frequent(it, shared), "c1 long, c2 long, w long, n long").groupBy("c1", "c2", "w").agg(F.sum("n").alias("n")), "frequent-grams")
+    # at most as many contexts as there are spread words and pairs of them
+    listed = F.when(F.col("n") >= LEAST, F.col("n"))
+    stats = grams.groupBy("c1", "c2").agg(F.sum("n").alias("whole"), F.count(listed).alias("many"), F.coalesce(F.sum(listed), F.lit(0)).alias("listed_n"))
+    rest = F.greatest(F.lit(1e-9), 1 - (F.col("listed_n") - DISCOUNT * F.col("many")) / F.col("whole"))
+    stats = written(stats.withColumn("rest", rest), "frequent-contexts")
+    few = min(len(head.spread) * (len(head.spread) + 1), 1 << 30)
+    low, total = head.unnumbered, head.total + 0.5 * (head.distinct + 1)
+    counts = spark.createDataFrame(pa.table({"of": np.arange(len(head.counts)), "count": head.counts}))
+    rows = grams.where(F.col("n") >= LEAST).join(hinted(stats, few), ["c1", "c2"])
+    rows = rows.join(hinted(counts, len(head.counts), 1 << 20), F.col("w") == F.col("of"), "left").withColumn("p0", (F.coalesce("count", F.lit(low)) + 0.5) / total).drop("of", "count")
+    mass = (F.col("n") - DISCOUNT) / F.col("whole")
+    one = rows.where("c2 = 0").withColumn("p", mass + F.col("rest") * F.col("p0"))
+    single = stats.where("c2 = 0").select(F.col("c1").alias("of"), F.col("rest").alias("rest1"))
+    two = rows.where("c2 <> 0").join(one.select("c1", "w", F.col("p").alias("p1")), ["c1", "w"], "left").join(hinted(single, few), F.col("c1") == F.col("of")).drop("of")
+    two = two.withColumn("short", F.coalesce("p1", F.col("rest1") * F.col("p0"))).withColumn("p", mass + F.col("rest") * F.col("short"))
+    both = one.select("c1", "c2", "n", "p", F.col("p0").alias("short")).unionByName(two.select("c1", "c2", "n", "p", "short"))
+    saved = both.groupBy("c1", "c2").agg(F.sum(F.col("n") * F.log2(F.col("p") / F.col("short"))).alias("saved"))
+    keep = F.coalesce("saved", F.lit(0.0)) + (F.col("whole") - F.col("listed_n")) * F.log2("rest") >= GAIN * F.col("many")
+    judged = stats.join(hinted(saved, few), ["c1", "c2"], "left").select("c1", "c2", "whole", "rest", (keep & (F.col("many") > 0)).alias("keep"))
+    # a context without any listed word has one row of word -1, which is none
+    out = judged.join(grams.where(F.col("n") >= LEAST), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("w", F.lit(-1)).alias("w"), F.coalesce("n", F.lit(0)).alias("n"), "whole", "rest", "keep")
+    return written(out, "frequent")
+
+
+FREQUENT = [("c1", pa.int64()), ("c2", pa.int64()), ("w", pa.int64()), ("n", pa.int64()), ("whole", pa.int64()), ("rest", pa.float64()), ("keep", pa.bool_())]
+
+
+def _told(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[pa.RecordBatch]:
+    """Listed words of spread contexts, as one blob a batch and part that needs them."""
+    names = ["key", "chunk", "blob", "ids", "held", "n", "known", "base"]
+    for batch in batches:
+        c1 = np.asarray(batch.column("c1"))
+        start = _mixed(c1)
+        keys: dict[int, list[int]] = {}
+        for i, (s, word) in enumerate(zip(start.tolist(), c1.tolist(), strict=True)):
+            for j in range(head.spread[word]):
+                keys.setdefault((s + j) % head.parts, []).append(i)
+        blobs = []
+        for rows in keys.values():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as stream:
+                stream.write_batch(batch.take(pa.array(rows)))
+            blobs.append(sink.getvalue().to_pybytes())
+        info = [pa.nulls(len(blobs), pa.list_(t)) for t in INFO]
+        yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int64()), pa.array([-1] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), *info], names)
+
+
+# ---- a part ----------------------------------------------------------------------------------------------------------
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kind, place = np.unique(key, return_inverse=True)
+    return kind, place.ravel()
+
+
+class Part:
+    """All contexts that end with some words: counted, tested, and used for every token after them."""
+
+    def __init__(self, head: Head, blobs: list[tuple[int, bytes]], frequent: list[pa.RecordBatch]):
+        self.base, self.head = len(head.counts), head
+        read = [_unblob(b) for _, b in blobs]
+        self.odd = np.unique(np.concatenate([names for _, names in read] + [x for b in frequent for x in (np.asarray(b.column("w")),)] or [np.zeros(0, np.int64)]))
+        self.odd = self.odd[self.odd < 0]
+        columns = []
+        for rows, names in read:
+            if len(names):
+                place = (self.base + np.searchsorted(self.odd, names)).astype(np.int32)
+                for x in rows[:4]:
+                    odd = np.flatnonzero(x >= self.base)
+                    x[odd] = place[x[odd] - self.base]
+            columns.append(rows)
+        self.rows = np.cumsum([0, *(len(c[0]) for c in columns)]).tolist()
+        c1, c2, c3, self.w, self.doc, self.k = (np.concatenate([c[i] for c in columns]).astype(np.int64) for i in range(6))
+        self.times = self.k * (self.doc & 1)  # of learned texts
+        self.doc >>= 1
+        self.frequent = frequent
+        self.width = self.base + len(self.odd)
+        self.contexts(c1, c2, c3)
+
+    def contexts(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray) -> None:
+        """For each depth: the context of every row (there), the gram of every row, and the tables of both."""
+        counts = np.full(self.width, self.head.unnumbered, np.int64)
+        counts[: self.base] = self.head.counts
+        self.p0 = self.head.base(counts)
+        first, at1 = _numbered(c1)
+        second, at2 = _numbered(at1 * self.width + c2)
+        _, at3 = _numbered(at2 * self.width + c3)
+        self.levels: list[dict] = []
+        short = None
+        for at, there, up in ((at1, c1 != END, None), (at2, c2 != END, at1), (at3, c3 != END, at2)):
+            short = self.level(at, there, up, short)
+            self.levels.append(short)
+            if len(self.levels) == 1:
+                self.tell(short, {(int(c), 0): i for i, c in enumerate(first)}, 0)
+            elif len(self.levels) == 2:
+                self.tell(short, {(int(first[x // self.width]), int(x % self.width)): i for i, x in enumerate(second) if x % self.width} if self.frequent else {}, 1)
+            self.test(short, self.levels[-2] if len(self.levels) > 1 else None)
+
+    def level(self, at: np.ndarray, there: np.ndarray, up: np.ndarray | None, short: dict | None) -> dict:
+        """Counts of the contexts at a depth and of their grams."""
+        many = int(at.max()) + 1
+        gram, of = _numbered(at * self.width + self.w)
+        times = np.where(there, self.times, 0)
+        n = np.bincount(of, times, len(gram))
+        x = {"at": at, "of": of, "there": there, "context": gram // self.width, "word": gram % self.width, "n": n, "whole": np.bincount(at, times, many)}
+        if short is not None:
+            row = np.zeros(len(gram), np.int64)
+            row[of] = np.arange(len(of))  # any row of the gram tells its shorter form
+            x["up"] = short["of"][row]
+        return self.weighed(x)
+
+    def weighed(self, x: dict) -> dict:
+        listed = x["n"] >= LEAST
+        x["mass"] = np.where(listed, (x["n"] - DISCOUNT) / np.maximum(x["whole"][x["context"]], 1), 0.0)
+        x["rest"] = np.maximum(1 - np.bincount(x["context"], x["mass"], len(x["whole"])), 1e-9)
+        x["told"] = np.zeros(len(x["whole"]), bool)
+        return x
+
+    def tell(self, x: dict, places: dict[tuple[int, int], int], depth: int) -> None:
+        """Put in what has been counted over all parts for the contexts that this part shares with others."""
+        x["keep"] = np.zeros(len(x["whole"]), bool)
+        key = x["context"] * self.width + x["word"]
+        for b in self.frequent:
+            c1, c2, w, n, whole, rest, keep = (np.asarray(b.column(name)) if kind != pa.bool_() else b.column(name).to_numpy(zero_copy_only=False) for name, kind in FREQUENT)
+            rows = np.flatnonzero(c2 != 0) if depth else np.flatnonzero(c2 == 0)
+            at = np.array([places.get(p, -1) for p in zip(c1[rows].tolist(), c2[rows].tolist(), strict=True)], np.int64)
+            rows, at = rows[at >= 0], at[at >= 0]
+            if not len(rows):
+                continue
+            fresh = at[~x["told"][at]]
+            mine = np.isin(x["context"], np.unique(fresh))
+            x["n"][mine], x["mass"][mine] = 0, 0.0
+            x["told"][at], x["whole"][at], x["rest"][at], x["keep"][at] = True, whole[rows], rest[rows], keep[rows]
+            word = np.where(w[rows] < 0, self.base + np.searchsorted(self.odd, w[rows]), w[rows])
+            asked = at * self.width + word
+            i = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            hit = (key[i] == asked) & (n[rows] >= LEAST)
+            x["n"][i[hit]] = n[rows][hit]
+            x["mass"][i[hit]] = (n[rows][hit] - DISCOUNT) / whole[rows][hit]
+
+    def test(self, x: dict, short: dict | None) -> None:
+        """Keep the contexts that save enough bits; those told of have been tested already."""
+        x.setdefault("keep", np.zeros(len(x["whole"]), bool))
+        p_short = self.p0[x["word"]] if short is None else short["p"][x["up"]]
+        x["p"] = x["mass"] + x["rest"][x["context"]] * p_short
+        listed = np.flatnonzero(x["n"] >= LEAST)
+        context, n = x["context"][listed], x["n"][listed]
+        saved = np.bincount(context, n * np.log2(x["p"][listed] / p_short[listed]), len(x["whole"]))
+        many, listed_n = np.bincount(context, minlength=len(x["whole"])), np.bincount(context, n, len(x["whole"]))
+        own = (many > 0) & (saved + (x["whole"] - listed_n) * np.log2(x["rest"]) >= GAIN * many)
+        x["keep"] = np.where(x["told"], x["keep"], own)
+
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every row a and b: its probability is a + b times the word's own."""
+        a, b = np.zeros(len(self.w)), np.ones(len(self.w))
+        for x in self.levels:
+            at = np.flatnonzero(x["keep"][x["at"]] & x["there"])
+            rest = x["rest"][x["at"][at]]
+            a[at] = x["mass"][x["of"][at]] + rest * a[at]
+            b[at] *= rest
+        return a, b
+
+
+SCORED = "chunk long, ids array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, docs binary, sums binary, rare array<struct<doc: int, word: long, a: double, b: double, k: long>>"
+_RARE = pa.list_(pa.struct([("doc", pa.int32()), ("word", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("k", pa.int64())]))
+
+
+def _scored(chunks: list[int], docs: list[bytes], sums: list[bytes], rare: pa.Array) -> pa.RecordBatch:
+    info = [pa.nulls(len(chunks), pa.list_(t)) for t in INFO]
+    return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *info, pa.array(docs, pa.binary()), pa.array(sums, pa.binary()), rare], ["chunk", "ids", "held", "n", "known", "base", "docs", "sums", "rare"])
+
+
+def _score_part(head: Head, blobs: list[tuple[int, bytes]], frequent: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = Part(head, blobs, frequent)
+    a, b = part.shares()
+    odd = part.w >= part.base
+    value = np.where(odd, 0.0, part.k * np.log10(a + b * part.p0[part.w]))
+    docs, sums, offsets, picked = [], [], [0], []
+    for i in range(len(blobs)):
+        s = slice(part.rows[i], part.rows[i + 1])
+        total = np.bincount(part.doc[s], value[s])
+        at = np.flatnonzero(total)
+        docs.append(at.astype("<i4").tobytes())
+        sums.append(total[at].astype("<f8").tobytes())
+        rows = part.rows[i] + np.flatnonzero(odd[s])
+        picked.append(rows)
+        offsets.append(offsets[-1] + len(rows))
+    rows = np.concatenate(picked)
+    fields = [pa.array(part.doc[rows].astype(np.int32)), pa.array(part.odd[part.w[rows] - part.base]), pa.array(a[rows]), pa.array(b[rows]), pa.array(part.k[rows])]
+    rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_RARE.value_type)))
+    yield _scored([c for c, _ in blobs], docs, sums, rare)
+
+
+def _parts_scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Rows of DEALT sorted by key."""
+    release()
+    head = shared.value
+    now, blobs, frequent = None, [], []
+    for batch in batches:
+        keys, chunks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, (key, chunk) in enumerate(zip(keys, chunks, strict=True)):
+            if key < 0:  # a chunk's documents
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([one.column(1), *one.columns[3:], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, _RARE)], ["chunk", "ids", "held", "n", "known", "base", "docs", "sums", "rare"])
+                continue
+            if key != now:
+                if blobs:
+                    yield from _score_part(head, blobs, frequent)
+                now, blobs, frequent = key, [], []
+            blob = batch.column(2)[i].as_py()
+            if chunk < 0:
+                frequent += pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()
+            else:
+                blobs.append((chunk, blob))
+    if blobs:
+        yield from _score_part(head, blobs, frequent)
+
+
+# ---- back to the documents -------------------------------------------------------------------------------------------
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one chunk follow each other, its documents' row first."""
+    release()
+    names = ["chunk", "doc", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+    info, total, now = None, None, None
+
+    def out() -> pa.RecordBatch:
+        n = len(total)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, now)), pa.array(np.arange(n, dtype=np.int32)), *(x.values for x in info), pa.array(total)], names)
+
+    for batch in batches:
+        for i, chunk in enumerate(batch.column(0).to_pylist()):
+            if chunk != now:
+                if now is not None:
+                    yield out()
+                info, now = [batch.column(c)[i] for c in range(1, 6)], chunk
+                total = np.zeros(len(info[0].values))
+                continue
+            total[np.frombuffer(batch.column(6)[i].as_buffer(), "<i4")] += np.frombuffer(batch.column(7)[i].as_buffer(), "<f8")
+    if now is not None:
+        yield out()
+
+
+def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, part_tokens: int = PART_TOKENS) -> DataFrame:
     """Learn from rows where `learned` holds, score all rows: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words and one end; null texts have the end alone. base_score is that of independent words. Null ids and
     repeated rows are scored like any other; other columns are not read; an empty table gives an empty result. With nothing
-    to learn every word is as likely as any.
+    to learn every word is as likely as any. Neither head nor part_tokens changes a score, but for this: the divergence test
+    takes a word without a number to be as frequent as the rarest with one.
     """
     spark = docs.sparkSession
-    tree, counted = learn(docs.where(learned).select(F.col(text_col).alias("text")), depth, p_min, head)
-    shared = spark.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, number = shared.value, _number_of(shared.value)
-        logs, gap = t.base(t.counts), np.full(DEPTH, -1, np.int64)
-        for batch in batches:
-            rows, texts = [], batch.column(0).cast(pa.binary())
-            for a in range(0, len(texts), 256):
-                group, rare = [], []
-                for text in texts[a : a + 256]:
-                    w = words_of(text.as_py())
-                    ids = np.append(np.fromiter(map(number.get, w, _none()), np.int64, len(w)), END)
-                    group.append(ids)
-                    odd: dict[bytes, int] = {}
-                    for i in np.flatnonzero(ids < 0):
-                        odd[w[i]] = odd.get(w[i], 0) + 1
-                    rare.append(odd)
-                laid = np.concatenate([x for ids in group for x in (gap, ids)])
-                p = score_tokens(laid, t, logs)
-                start = np.cumsum([0, *(len(ids) + len(gap) for ids in group)])
-                for k, (ids, odd) in enumerate(zip(group, rare, strict=True)):
-                    known = ids[(ids > 0) | ((ids == END) & (t.counts[END] > 0))]
-                    numbered = ids[ids >= 0]
-                    rows.append((len(ids), len(known), float(logs[numbered].sum()), float(p[start[k] + len(gap) : start[k + 1]].sum()), list(odd), list(odd.values())))
-            n, known, base, total, words, times = zip(*rows, strict=True) if rows else [[]] * 6
-            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *columns], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"])
-
-    slim = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), (~learned).alias("held_out"))
-    scored = written(slim.mapInArrow(run, SCORED), "scored")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learned).alias("held_out"), F.col(text_col).alias("text"))
+    counted = unigrams(slim.where(~F.col("held_out")).select("text"))
+    # a bound of all tokens, for the number of parts: bytes less than half of which are words
+    tokens = (slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    model = head_of(counted, tokens, head, part_tokens)
+    if len(model.counts) + CHUNK >= 1 << BITS:
+        raise ValueError(f"head and CHUNK need more than {BITS} bits")
+    shared, slim_head = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(replace(model, words=[]))
+    dealt = slim.mapInArrow(lambda it: _deal(it, shared), DEALT)
+    frequent = _shared_contexts(slim.where(~F.col("held_out")).select("text"), shared, model, counted)
+    if frequent is not None:
+        dealt = dealt.unionByName(frequent.select(*[n for n, _ in FREQUENT]).mapInArrow(lambda it: _told(it, slim_head.value), DEALT))
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sorted_parts = dealt.repartitionById(tasks, F.pmod("key", F.lit(tasks)).cast("int")).sortWithinPartitions("key", "chunk")
+    scored = written(sorted_parts.mapInArrow(lambda it: _parts_scored(it, slim_head), SCORED), "scored")
+    slim_scored = scored.drop("rare").repartition("chunk").sortWithinPartitions("chunk", F.col("docs").isNotNull())
+    rows = slim_scored.mapInArrow(_gathered, "chunk long, doc int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
     # words without a number: their counts come by a join; a document's part is summed before it meets the document
-    keyed = scored.withColumn("rid", F.monotonically_increasing_id())
-    rare = keyed.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("k"))
-    tail = rare.join(counted, "word", "left")
-    denominator = tree.total + 0.5 * (tree.distinct + 1)
-    per_word = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / denominator)
-    sums = tail.groupBy("rid").agg(F.sum(F.col("k") * per_word).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more_known"))
-    both = keyed.drop("rare", "times").join(sums, "rid", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return both.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score")
-    )
+    rare = scored.where(F.size("rare") > 0).select("chunk", F.explode("rare").alias("x")).select("chunk", "x.*")
+    counts = counted.where(F.col("n") <= model.unnumbered).select(signed(F.xxhash64("word")).alias("word"), F.col("n"))
+    base = (F.coalesce(F.col("n"), F.lit(0)) + 0.5) / (model.total + 0.5 * (model.distinct + 1))
+    known = F.when(F.col("n") > 0, F.col("k")).otherwise(0)
+    tail = rare.join(counts, "word", "left").groupBy("chunk", "doc").agg(F.sum(known).alias("more_known"), F.sum(F.col("k") * F.log10(base)).alias("more_base"), F.sum(F.col("k") * F.log10(F.col("a") + F.col("b") * base)).alias("more"))
+    both = rows.join(tail, ["chunk", "doc"], "left")
+    plus = lambda c, more: F.col(c) + F.coalesce(more, F.lit(0))
+    return both.select("doc_id", "held_out", "n_tokens", plus("known", "more_known").alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more").alias("score"))

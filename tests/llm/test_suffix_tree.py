@@ -1,6 +1,6 @@
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -28,71 +28,99 @@ def lists(texts):
     return [[*(w.decode() for w in words_of((t or "").encode())), ""] for t in texts]
 
 
-def decoded(tree):
-    """The tree as dictionaries of word tuples."""
-    word = lambda i: tree.words[i].decode()
-
-    def context(place, d):
-        if d == 1:
-            return (word(place),)
-        key = tree.tables[d - 2][place]
-        return (*context(key // S.HEAD, d - 1), word(key % S.HEAD))
-
-    nodes, grams = {}, {}
-    for d in range(1, len(tree.node_keys) + 1):
-        nodes |= {context(k, d): r for k, r in zip(tree.node_keys[d - 1], tree.node_rest[d - 1], strict=True)}
-        grams |= {(context(k // S.HEAD, d), word(k % S.HEAD)): p for k, p in zip(tree.gram_keys[d - 1], tree.gram_logp[d - 1], strict=True)}
-    return nodes, grams
-
-
-def slow_logp(history, word, nodes, grams, base, depth):
-    total = 0.0
-    for d in range(min(depth, len(history)), 0, -1):
-        c = tuple(history[-d:])
-        if (c, word) in grams:
-            return total + grams[c, word]
-        if c in nodes:
-            total += nodes[c]
-    return total + base(word)
-
-
-@pytest.mark.parametrize("head,depth,p_min", [(S.HEAD, 3, 1e-9), (40, 3, 0.001), (12, 2, 1e-9), (1, 2, 1e-9)])
-def test_against_brute_force(spark, head, depth, p_min):
-    texts = [*corpus(), *((i, t) if i is None else (i + 1000, t) for i, t in ODD)]
-    df = frame(spark, texts, "word n rid known times")
+class Slow:
+    """The tree by plain loops over word tuples, from the definition alone."""
+
+    def __init__(self, texts, head):
+        self.counts = Counter(w for t in texts for w in t)
+        self.total, self.distinct = sum(self.counts.values()), len(self.counts)
+        by_count = defaultdict(list)
+        for w, n in self.counts.items():
+            if w:
+                by_count[n].append(w)
+        self.numbered, floor = {""}, None
+        for n in sorted(by_count, reverse=True):
+            if len(self.numbered) - 1 + len(by_count[n]) >= head:
+                break
+            self.numbered |= set(by_count[n])
+            floor = n
+        self.floor = floor if floor is not None else self.total
+        after = defaultdict(Counter)
+        for t in texts:
+            for i, w in enumerate(t):
+                for d in range(1, S.DEPTH + 1):
+                    if i >= d:
+                        after[tuple(t[i - d : i])][w] += 1
+        self.mass, self.rest, self.kept = {}, {}, set()
+        for c, found in after.items():
+            whole = sum(found.values())
+            self.mass[c] = {w: (n - S.DISCOUNT) / whole for w, n in found.items() if n >= S.LEAST}
+            self.rest[c] = max(1e-9, 1 - sum(self.mass[c].values()))
+        for c, found in after.items():
+            listed = {w: found[w] for w in self.mass[c]}
+            saved = sum(n * math.log2(self.whole_tree(c, w) / self.whole_tree(c[1:], w)) for w, n in listed.items())
+            saved += (sum(found.values()) - sum(listed.values())) * math.log2(self.rest[c])
+            if listed and saved >= S.GAIN * len(listed):
+                self.kept.add(c)
+
+    def own(self, count):
+        return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
+
+    def whole_tree(self, c, w):
+        """Before any context is dropped; words without a number count as the rarest with one."""
+        if not c:
+            return self.own(self.counts[w] if w in self.numbered else self.floor)
+        return self.mass.get(c, {}).get(w, 0) + self.rest.get(c, 1) * self.whole_tree(c[1:], w)
+
+    def p(self, history, w):
+        out = self.own(self.counts[w])
+        for d in range(1, min(S.DEPTH, len(history)) + 1):
+            c = tuple(history[-d:])
+            if c in self.kept:
+                out = self.mass[c].get(w, 0) + self.rest[c] * out
+        return out
+
+
+@pytest.mark.parametrize("head,part,chunk", [(S.HEAD, S.PART_TOKENS, S.CHUNK), (S.HEAD, 40, 50), (20, 100, 300), (1, 1000, 70)])
+def test_against_brute_force(spark, monkeypatch, head, part, chunk):
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    odd = [(i, t if len(t or "") < 55_000 else t[:3000]) for i, t in ODD]
+    texts = [*corpus(), *((i, t) if i is None else (i + 1000, t) for i, t in odd), (2000, "w1 w2 " * 300), (2001, None)]
+    df = frame(spark, texts, "word n rid known times key chunk")
     learned = learning("doc_id", 5, 1)
-    train = lists([r.text for r in df.where(learned).select("text").collect()])
-    counts = Counter(w for t in train for w in t)
-    total, distinct = sum(counts.values()), len(counts)
-    base = lambda w: math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1)))
-    tree, counted = S.learn(df.where(learned).select("text"), depth, p_min, head)
-    assert {r.word.decode(): r.n for r in counted.collect()} == dict(counts)
-    assert (tree.total, tree.distinct) == (total, distinct) and len(tree.words) <= head
-    nodes, grams = decoded(tree)
-    assert all(c[1:] in nodes for c in nodes if len(c) > 1)  # suffixes of nodes are nodes
+    slow = Slow(lists([r.text for r in df.where(learned).select("text").collect()]), head)
     if head == S.HEAD:
-        assert len(grams) > 100 and any(len(c) == 2 for c in nodes)
-    got = S.score(df, learned, depth=depth, p_min=p_min, head=head).collect()
+        assert {len(c) for c in slow.kept} == {1, 2, 3} and len(slow.kept) < len(slow.rest)
+    got = S.score(df, learned, head=head, part_tokens=part).collect()
+    held = {r.doc_id for r in df.where(~learned).select("doc_id").collect()}
     want = []
     for (i, _), t in zip(texts, lists([t for _, t in texts]), strict=True):
-        p = sum(slow_logp(t[:k], w, nodes, grams, base, depth) for k, w in enumerate(t)) if len(t) < 1000 else None
-        want.append((i is not None, i or 0, len(t), sum(counts[w] > 0 for w in t), total, round(sum(map(base, t)), 4), p and round(p, 4)))
-    have = [(r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got]
+        p = sum(math.log10(slow.p(t[:k], w)) for k, w in enumerate(t))
+        base = sum(math.log10(slow.own(slow.counts[w])) for w in t)
+        want.append((i is not None, i or 0, i in held, len(t), sum(slow.counts[w] > 0 for w in t), slow.total, base, p))
+    have = [(r.doc_id is not None, r.doc_id or 0, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got]
     assert len(have) == len(want)
-    for a, b in zip(sorted(have), sorted(want, key=lambda x: x[:6]), strict=True):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=2e-4) and (b[6] is None or a[6] == pytest.approx(b[6], abs=1e-3))
+    for a, b in zip(sorted(have), sorted(want), strict=True):
+        assert a[:6] == b[:6] and a[6:] == pytest.approx(b[6:], abs=1e-6)
 
 
-def test_distributions_sum_to_one(spark):
-    df = frame(spark, corpus())
-    tree, _ = S.learn(df.select("text"), 3, 1e-9, 40)
-    nodes, grams = decoded(tree)
-    counts = Counter(w for t in lists([t for _, t in corpus()]) for w in t)
-    total, distinct = sum(counts.values()), len(counts)
-    base = lambda w: math.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1)))
-    for context in [(), *random.Random(1).sample(sorted(nodes), 25)]:
-        mass = sum(10 ** slow_logp(context, w, nodes, grams, base, 3) for w in [*counts, "\0never seen"])
-        assert mass == pytest.approx(1, abs=1e-6)
+def test_frequent_words_are_spread(spark):
+    counted = S.unigrams(frame(spark, corpus()).select("text"))
+    assert S.head_of(counted, 6000, part_tokens=100).spread and S.head_of(counted, 6000, part_tokens=100).parts >= 60
+    assert not S.head_of(counted, 6000).spread
+
+
+def test_hash_is_sparks(spark):
+    words = [b"", b"a", "\u00e9t\u00e9".encode(), b"x" * 100]
+    got = [r[0] for r in spark.createDataFrame([(bytearray(w),) for w in words], "word binary").select(S.signed(F.xxhash64("word"))).collect()]
+    assert got == [-(S.hash_of(w) >> 1) - 1 for w in words]
+
+
+def test_distributions_sum_to_one():
+    texts = lists([t for _, t in corpus()])
+    slow = Slow(texts, S.HEAD)
+    for context in [(), *random.Random(1).sample(sorted(slow.kept), 25)]:
+        assert sum(slow.p(list(context), w) for w in [*slow.counts, "\0never seen"]) == pytest.approx(1, abs=1e-6)
 
 
 def test_better_than_independent_words_on_held_out(spark):
@@ -100,6 +128,16 @@ def test_better_than_independent_words_on_held_out(spark):
     assert len(got) > 100 and np.mean([r.score > r.base_score for r in got]) > 0.95
 
 
+def test_twice_told_texts_stand_out(spark):
+    rnd = random.Random(3)
+    text = lambda: " ".join(f"v{int(rnd.paretovariate(0.6))}" for _ in range(60))
+    once = [text() for _ in range(150)]
+    docs = list(enumerate(once + once[:30]))
+    got = {r.doc_id: r.score / r.base_score for r in S.score(frame(spark, docs), F.lit(True)).collect()}
+    twice = [got[i] for i in range(30)]
+    assert max(twice) < min(got[i] for i in range(30, 150))
+
+
 def test_nothing_to_learn(spark):
     assert S.score(frame(spark, []), F.lit(True)).collect() == []
     got = S.score(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
