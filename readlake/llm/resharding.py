@@ -1,14 +1,14 @@
 """Minimum-cost-flow resharding: from old shard sizes to new capacities, moving the fewest bytes, then rewriting what changed.
 
-Rows are cut into blocks within their old shard, by a hash of the text; equal texts share a block unless they are too many
-for one. A flow from old shards to new ones, where staying costs nothing and moving costs one a byte, tells how many bytes
-go where; whole blocks are then assigned to these transfers. The planner sees block sizes only, at most BLOCKS of them.
+Rows are cut into blocks within their old shard, by a hash of the text, so equal texts of an old shard share a block and
+stay together. A flow from old shards to new ones, where staying costs nothing and moving costs one a byte, tells how many
+bytes go where; whole blocks are then assigned to these transfers. The planner sees block sizes only.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,58 +16,123 @@ from pyspark.sql.window import Window
 
 from readlake.llm.common import hinted, scratch_path, written
 
-#: Blocks of all shards together, and the pieces that an overlarge block is cut into.
-BLOCKS, PIECES = 32_768, 512
-
-
-def flow(old: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
-    """Bytes from old shard i to new shard j of least total cost, by successive shortest paths; a unit that stays in shard
-    i = j costs 0, a moved one 1. Capacities must hold all bytes."""
-    n, m = len(old), len(capacity)
-    if sum(capacity) < sum(old):
-        raise ValueError("the new shards can't hold the old ones")
-    source, sink = n + m, n + m + 1
-    graph: list[list[list]] = [[] for _ in range(n + m + 2)]  # to, left, cost, index of the reverse edge
-
-    def edge(u: int, v: int, room: int, cost: int) -> None:
-        graph[u].append([v, room, cost, len(graph[v])])
-        graph[v].append([u, 0, -cost, len(graph[u]) - 1])
-
-    for i, size in enumerate(old):
-        edge(source, i, size, 0)
-        for j in range(m):
-            edge(i, n + j, size, int(i != j))
-    for j, room in enumerate(capacity):
-        edge(n + j, sink, room, 0)
-    potential = [0] * len(graph)
-    while True:
-        far, back = [None] * len(graph), [None] * len(graph)
+#: Blocks of all shards together, pieces that an overlarge block is cut into at most, and bytes of a file about.
+BLOCKS, PIECES, FILE_BYTES = 32_768, 512, 8 << 20
+
+
+class Network:
+    """Minimum-cost flow by successive shortest distances: each distance's paths are filled together."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.left: list[int] = []
+        self.cost: list[int] = []
+
+    def edge(self, u: int, v: int, room: int, cost: int) -> int:
+        """Its number; the next number is its reverse, whose room is the edge's flow."""
+        for a, b, r, c in ((u, v, room, cost), (v, u, 0, -cost)):
+            self.out[a].append(len(self.to))
+            self.to.append(b)
+            self.left.append(r)
+            self.cost.append(c)
+        return len(self.to) - 2
+
+    def run(self, source: int, sink: int) -> None:
+        potential = [0] * len(self.out)
+        while (far := self._distances(source, potential))[sink] is not None:
+            most = max(d for d in far if d is not None)
+            potential = [p + (most if d is None else d) for p, d in zip(potential, far, strict=True)]
+            while self._fill(source, sink, potential):
+                pass
+
+    def _distances(self, source: int, potential: list[int]) -> list[int | None]:
+        far: list[int | None] = [None] * len(self.out)
         far[source] = 0
         heap = [(0, source)]
         while heap:
             d, u = heapq.heappop(heap)
             if d > far[u]:
                 continue
-            for k, (v, left, cost, _) in enumerate(graph[u]):
-                new = d + cost + potential[u] - potential[v]
-                if left and (far[v] is None or new < far[v]):
-                    far[v], back[v] = new, (u, k)
+            for e in self.out[u]:
+                v = self.to[e]
+                new = d + self.cost[e] + potential[u] - potential[v]
+                if self.left[e] and (far[v] is None or new < far[v]):
+                    far[v] = new
                     heapq.heappush(heap, (new, v))
-        if far[sink] is None:
-            break
-        potential = [p + (d if d is not None else 0) for p, d in zip(potential, far, strict=True)]
-        amount, v = None, sink
-        while v != source:
-            u, k = back[v]
-            amount = graph[u][k][1] if amount is None else min(amount, graph[u][k][1])
-            v = u
-        v = sink
-        while v != source:
-            u, k = back[v]
-            graph[u][k][1] -= amount
-            graph[v][graph[u][k][3]][1] += amount
-            v = u
-    return {(i, v - n): graph[v][back_edge][1] for i in range(n) for v, _, _, back_edge in graph[i] if n <= v < n + m and graph[v][back_edge][1]}
+        return far
+
+    def _fill(self, source: int, sink: int, potential: list[int]) -> bool:
+        """Fill all paths of fewest edges among those of the least cost; whether there was one."""
+        level = {source: 0}
+        queue = deque([source])
+        open_ = lambda u, e: self.left[e] and self.cost[e] + potential[u] == potential[self.to[e]]
+        while queue:
+            u = queue.popleft()
+            for e in self.out[u]:
+                if self.to[e] not in level and open_(u, e):
+                    level[self.to[e]] = level[u] + 1
+                    queue.append(self.to[e])
+        if sink not in level:
+            return False
+        tried = [0] * len(self.out)
+        path: list[int] = []
+        u = source
+        while True:
+            if u == sink:
+                amount = min(self.left[e] for e in path)
+                for e in path:
+                    self.left[e] -= amount
+                    self.left[e ^ 1] += amount
+                path, u = [], source
+            elif tried[u] < len(self.out[u]):
+                e = self.out[u][tried[u]]
+                if level.get(self.to[e]) == level[u] + 1 and open_(u, e):
+                    path.append(e)
+                    u = self.to[e]
+                else:
+                    tried[u] += 1
+            elif path:
+                u = self.to[path.pop() ^ 1]
+                tried[u] += 1
+            else:
+                return True
+
+
+def flow(old: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
+    """Bytes from old shard i to new shard j of least total cost; a byte that stays in shard i = j costs 0, a moved one 1.
+
+    Capacities must hold all bytes. Moves pass one hub, so there are as many edges as shards, not as pairs of them.
+    """
+    n, m = len(old), len(capacity)
+    if sum(capacity) < sum(old):
+        raise ValueError("the new shards can't hold the old ones")
+    hub, source, sink = n + m, n + m + 1, n + m + 2
+    net = Network(n + m + 3)
+    stay, leave, come = {}, {}, {}
+    for i, size in enumerate(old):
+        net.edge(source, i, size, 0)
+        if i < m:
+            stay[i] = net.edge(i, n + i, size, 0)
+        leave[i] = net.edge(i, hub, size, 1)
+    # of moves that cost the same, those to empty and roomy shards come first: fewer files change
+    for j, room in sorted(enumerate(capacity), key=lambda x: (x[0] < n and old[x[0]] > 0, -x[1] + (old[x[0]] if x[0] < n else 0))):
+        come[j] = net.edge(hub, n + j, room, 0)
+        net.edge(n + j, sink, room, 0)
+    net.run(source, sink)
+    used = lambda e: net.left[e ^ 1]
+    out = {(i, i): used(e) for i, e in stay.items() if used(e)}
+    needs = [[j, used(e)] for j, e in come.items() if used(e)]
+    for i, e in leave.items():
+        left = used(e)
+        while left:
+            j, need = needs[-1]
+            take = min(left, need)
+            out[i, j] = out.get((i, j), 0) + take
+            left, needs[-1][1] = left - take, need - take
+            if not needs[-1][1]:
+                needs.pop()
+    return out
 
 
 def transfers(blocks: list[tuple[int, int, int]], capacity: list[int]) -> dict[tuple[int, int], int]:
@@ -114,49 +179,55 @@ def _levelled(blocks: list[tuple[int, int, int]], home: dict[tuple[int, int], in
     return home
 
 
-def sized(docs: DataFrame, old: Column, id_col: str, text_col: str, blocks: int, overhead: int) -> DataFrame:
-    """docs' id and text with size, old shard, and number of the block; a block over its share is cut by id."""
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + overhead
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), size.alias("size"), old.cast("int").alias("old_shard"))
-    return rows.withColumn("coarse", F.pmod(F.xxhash64("text", F.lit("block")), F.lit(blocks)).cast("int"))
-
-
 def reshard(docs: DataFrame, shards: int, old: Column | None = None, old_shards: int = 20, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, out: str | None = None, capacity: list[int] | None = None, changed_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """Deal docs to `shards` shards of near-equal bytes, moving as few bytes as can be from the shards of `old`.
 
     Gives (rows, plan). rows is read from the new shards' files in folder out: doc_id, text, size, old_shard, shard, slot
-    (gapless from 0 in each shard). plan: old_shard, block, piece, size, n, shard of each block. A null text has size
+    (gapless from 0 in each shard). plan: old_shard, block, piece, salt, size, n, shard of each block. A null text has size
     `overhead`; null ids and repeated rows are dealt like any other; other columns are not kept; an empty table gives empty
-    shards. With equal capacities (the default) shards differ by a block at most; with changed_only, shards that neither
-    give nor get a block are not written. Without `old`, rows start in `old_shards` shards by a hash of the text.
+    shards. Equal texts of an old shard stay together. With equal capacities (the default) shards differ by about a block,
+    1/256 of a shard, unless the copies of one text need more. With changed_only, shards that neither give nor get a block
+    are not written. Without `old`, rows start in `old_shards` shards by a hash of the text.
     """
     spark = docs.sparkSession
     old = F.pmod(F.xxhash64(F.col(text_col)), F.lit(old_shards)) if old is None else old
-    rows = sized(docs, old, id_col, text_col, BLOCKS // 2 // max(1, old_shards), overhead)
-    coarse = written(rows.groupBy("old_shard", "coarse").agg(F.sum("size").alias("bytes")), "coarse-blocks")
+    blocks = BLOCKS // 2 // max(1, old_shards)
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + overhead
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), size.alias("size"), old.cast("int").alias("old_shard"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("text", F.lit("block")), F.lit(blocks)).cast("int"))
+    coarse = written(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")), "coarse-blocks")
     total = coarse.agg(F.sum("bytes")).first()[0] or 0
-    # overlarge blocks (groups of copies, giant texts) are cut by id; there are few: each has many shares of the bytes
+    # overlarge blocks are cut by another hash of the text; what is still overlarge holds many copies, whose rows are only
+    # numbered apart. There are few of either: each has many shares of the bytes
     most = max(1, total // (shards * 256))
-    large = coarse.where(F.col("bytes") > most).select("old_shard", "coarse", F.least(F.lit(PIECES), F.ceil(F.col("bytes") / most)).cast("int").alias("pieces"))
-    cut = rows.join(hinted(large, BLOCKS), ["old_shard", "coarse"], "left")
-    piece = F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces"))).cast("int")
-    cut = cut.withColumn("piece", piece).select("doc_id", "text", "size", "old_shard", F.col("coarse").alias("block"), "piece")
-    sizes = written(cut.groupBy("old_shard", "block", "piece").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "block-sizes")
-    listed = [(r["old_shard"], (r["block"], r["piece"]), r["size"]) for r in sizes.select("old_shard", "block", "piece", "size").collect()]
+    times = F.least(F.lit(PIECES), F.ceil(F.col("bytes") / most)).cast("int")
+    part = lambda c, of, word: F.when(F.col(of).isNull(), 0).otherwise(F.pmod(F.xxhash64(c, F.lit(word)), F.col(of))).cast("int")
+    large = coarse.where(F.col("bytes") > most).select("old_shard", "block", times.alias("pieces"))
+    cut = rows.join(hinted(large, BLOCKS), ["old_shard", "block"], "left").withColumn("piece", part("text", "pieces", "piece"))
+    fine = written(cut.where("pieces is not null").groupBy("old_shard", "block", "piece").agg(F.sum("size").alias("bytes")), "pieces")
+    crowded = fine.where(F.col("bytes") > 2 * most).select("old_shard", "block", "piece", times.alias("salts"))
+    cut = cut.join(hinted(crowded, BLOCKS), ["old_shard", "block", "piece"], "left").withColumn("salt", part("doc_id", "salts", "salt"))
+    place = ["old_shard", "block", "piece", "salt"]
+    cut = cut.select("doc_id", "text", "size", *place)
+    sizes = written(cut.groupBy(*place).agg(F.sum("size").alias("size"), F.count("*").alias("n")), "block-sizes")
+    listed = [(r["old_shard"], (r["block"], r["piece"]), r["size"]) for r in sizes.groupBy(*place[:3]).agg(F.sum("size").alias("size")).collect()]
     capacity = capacity or [total // shards + (j < total % shards) for j in range(shards)]
     names = {b: k for k, b in enumerate(sorted({b for _, b, _ in listed}))}
     home = transfers([(i, names[b], size) for i, b, size in listed], capacity) if listed else {}
     moves = spark.createDataFrame([(i, *b, home[i, names[b]]) for i, b, _ in listed], "old_shard int, block int, piece int, shard int")
-    plan = sizes.join(hinted(moves, len(listed)), ["old_shard", "block", "piece"])
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("old_shard", "block", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = sizes.join(hinted(moves, len(listed)), place[:3])
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     plan = written(plan.withColumn("first", first), "transfers")
     if changed_only:
         kept = {j for j in range(shards)} - {k for i, b, _ in listed for k in (i, home[i, names[b]]) if i != home[i, names[b]]}
         plan_written = plan.where(~F.col("shard").isin(sorted(kept))) if kept else plan
     else:
         plan_written = plan
-    placed = cut.join(hinted(plan_written.select("old_shard", "block", "piece", "shard", "first"), len(listed)), ["old_shard", "block", "piece"])
-    rank = F.row_number().over(Window.partitionBy("shard", "old_shard", "block", "piece").orderBy("doc_id", F.xxhash64("text")))
+    # rows meet once: in the part of a shard that makes up a file, ordered block by block
+    files = max(1, -(-total // (shards * FILE_BYTES)))
+    placed = cut.join(hinted(plan_written.select(*place, "shard", "first"), plan.count()), place)
+    placed = placed.withColumn("file", F.pmod(F.hash("block", "piece", "salt"), F.lit(files))).repartition("shard", "file")
+    rank = F.row_number().over(Window.partitionBy("shard", "file", *place).orderBy("doc_id", F.xxhash64("text")))
     final = placed.withColumn("slot", F.col("first") + rank - 1).select("doc_id", "text", "size", "old_shard", "slot", "shard")
     out = out or scratch_path(spark, "shards")
     final.write.option("compression", "zstd").partitionBy("shard").parquet(out)
@@ -167,7 +238,9 @@ def reshard(docs: DataFrame, shards: int, old: Column | None = None, old_shards:
 def rewrite(spark: SparkSession, folder: str, out: str, shards: int, capacity: list[int] | None = None, **columns: str) -> dict[int, str]:
     """Reshard a folder of files under shard=<number>: the folder that holds each new shard afterwards.
 
-    Only shards that give or get a block are rewritten (below out); the others keep their files where they are.
+    Only shards that give or get a block are rewritten (below out); the others keep their files where they are. Nulls,
+    repeats and empty folders of files are treated as by `reshard`; of other columns of the files none is kept in what is
+    rewritten.
     """
     docs = spark.read.parquet(folder)
     _, plan = reshard(docs, shards, F.col("shard"), max(shards, (docs.agg(F.max("shard")).first()[0] or 0) + 1), out=out, capacity=capacity, changed_only=True, **columns)

@@ -41,6 +41,10 @@ def test_reshard(spark):
         assert sorted(r.slot for r in x) == list(range(len(x)))
     sums = [sum(r.size for r in x) for x in held.values()]
     assert max(sums) - min(sums) < 0.05 * sum(sums) / 7
+    homes = defaultdict(set)
+    for r in got:
+        homes[r.text].add(r.shard)
+    assert all(len(x) == 1 for x in homes.values())  # 300 copies of one text among them
     moved = sum(r.size for r in got if r.shard != r.old_shard)
     assert moved == R.moved_bytes(plan)
     old = defaultdict(int)
@@ -60,6 +64,44 @@ def test_rewrites_only_what_changes(spark, tmp_path):
     assert sorted(ids) == list(range(400))
 
 
+def least_moved(blocks, capacity):
+    """Fewest bytes that leave their shard in any assignment of whole blocks that fits."""
+    best = [None]
+
+    def place(k, room, moved):
+        if best[0] is not None and moved >= best[0]:
+            return
+        if k == len(blocks):
+            best[0] = moved
+            return
+        shard, _, size = blocks[k]
+        for j in range(len(room)):
+            if room[j] >= size:
+                place(k + 1, [*room[:j], room[j] - size, *room[j + 1 :]], moved + (size if j != shard else 0))
+
+    place(0, capacity, 0)
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_planner_against_brute_force(seed):
+    rnd = random.Random(seed)
+    blocks = [(rnd.randrange(3), k, rnd.randrange(1, 9)) for k in range(8)]
+    total = sum(b[2] for b in blocks)
+    capacity = [total // 3 + 9] * 3  # a block more than an equal share
+    home = R.transfers(blocks, capacity)
+    held = [sum(b[2] for b in blocks if home[b[0], b[1]] == j) for j in range(3)]
+    assert len(home) == len(blocks) and all(h <= c for h, c in zip(held, capacity, strict=True))
+    moved = sum(b[2] for b in blocks if home[b[0], b[1]] != b[0])
+    assert moved <= least_moved(blocks, capacity) + 9
+
+
+def test_many_shards():
+    n = 3000
+    got = R.flow([10 + i % 3 for i in range(n)], [11] * (n + 100))
+    assert sum(b for (i, j), b in got.items() if i != j) == sum(i % 3 == 2 for i in range(n))
+
+
 def test_empty(spark):
     rows, plan = R.reshard(frame(spark, []), 3)
     assert rows.collect() == [] and plan.collect() == []
