@@ -1,16 +1,16 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of token ids. A turn serves a queue one quantum; a queue's deficit grows with its target share and
-falls by what it is served, and each turn goes to the largest deficit, so every window holds the target proportions to
-within a quantum, and what a window can't give is carried into the next. Sequences are dealt in spans of windows: how much
-of each queue lies before a span follows in closed form from the shares, rounded to whole turns, so the deficits are
-carried from span to span without any task waiting for another.
+Every source is a queue of token ids with a target share. A turn serves a queue one quantum. A queue's deficit is what its
+share of all that has been served comes to, less what it was served; its next turn is due when the deficit reaches half a
+turn, and turns are served as they fall due. So every stretch of windows holds the target proportions to within a turn, and
+what a window can't give is carried into the next. When the n-th turn of a queue falls due follows in closed form from the
+shares, so any span of windows can be laid out alone: deficits are carried from span to span without a task waiting for another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,51 +21,92 @@ from readlake.llm import tokens
 from readlake.llm.common import hinted, written
 
 LENGTH = 4096
-#: Tokens that a turn serves, windows of a span, queues with a turn of their own (smaller sources share the last one).
-QUANTUM, SPAN_WINDOWS, MOST_QUEUES = 256, 1024, 256
+#: Tokens that a turn serves, and turns of a span.
+QUANTUM, SPAN_TURNS = 512, 1 << 14
 
 
+@dataclass
 class Schedule:
-    """Where the tokens of each queue go: totals[q] tokens of queue q, in spans of SPAN_WINDOWS windows of LENGTH."""
-
-    def __init__(self, totals: tuple[int, ...], length: int = LENGTH, quantum: int = QUANTUM, span_windows: int = SPAN_WINDOWS):
-        self.totals, self.length, self.quantum = totals, length, quantum
-        self.total, self.window = sum(totals), max(1, length // quantum)
-        self.turns = [n // quantum for n in totals]
-        self.spans = max(1, -(-sum(self.turns) // (self.window * span_windows)))
-        self.segments = lru_cache(maxsize=64)(self._segments)
-
-    def before(self, queue: int, span: int) -> int:
-        """Turns of the queue before the span: its share of them, rounded, so no deficit at a span's end is over half a turn."""
-        return (2 * span * self.turns[queue] + self.spans) // (2 * self.spans)
-
-    def _segments(self, span: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each queue: start in the queue, position in the whole, and length of its pieces in the span."""
-        queues, q = range(len(self.totals)), self.quantum
-        begin = np.array([self.before(k, span) for k in queues], np.int64)
-        turns = np.array([self.before(k, span + 1) for k in queues], np.int64) - begin
-        n, first = int(turns.sum()), int(begin.sum())
-        order, deficit, left, served = np.empty(n, np.int64), np.zeros(len(turns)), turns.copy(), 0
-        while served < n:
-            room = min(self.window - (first + served) % self.window, n - served)
-            deficit += turns * (room / n)
-            give = np.minimum(np.maximum(np.floor(deficit + 1e-9), 0).astype(np.int64), left)
-            while give.sum() > room:  # what doesn't fit is carried
-                give[np.argmin(np.where(give > 0, deficit - give, np.inf))] -= 1
-            while give.sum() < room:
-                give[np.argmax(np.where(left > give, deficit - give, -np.inf))] += 1
-            deficit, left = deficit - give, left - give
-            order[served : served + room] = np.repeat(np.arange(len(give)), give)
-            served += room
-        out, tail = [], (first + n) * q
-        for k in queues:
-            mine = np.flatnonzero(order == k)
-            starts, places, sizes = (begin[k] + np.arange(len(mine))) * q, (first + mine) * q, np.full(len(mine), q, np.int64)
-            if span == self.spans - 1 and (rest := self.totals[k] % q):  # what is less than a turn follows at the very end
-                starts, places, sizes = np.append(starts, self.turns[k] * q), np.append(places, tail), np.append(sizes, rest)
-                tail += rest
-            out.append((starts, places, sizes))
-        return out
+    """Where the tokens of each queue go. totals: tokens of each queue; shares: their targets, by default their totals.
+
+    A queue that has run dry leaves its share to the others. Queues of share 0 are served after all others, in natural
+    proportions. This holds a few numbers for each queue; a span's turns are laid out when they are asked for.
+    """
+
+    totals: np.ndarray
+    shares: np.ndarray | None = None
+    length: int = LENGTH
+    quantum: int = QUANTUM
+    span_turns: int = SPAN_TURNS
+    kept: dict[int, tuple] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.totals = np.asarray(self.totals, np.int64)
+        shares = self.totals if self.shares is None else np.asarray(self.shares, float)
+        self.total, self.turns = int(self.totals.sum()), self.totals // self.quantum
+        # turn k of a queue is due at start + (k + 1/2) / rate
+        named = (shares > 0) & (self.turns > 0)
+        largest = max(1.0, float(self.turns.max(initial=0)))
+        self.rate = np.where(named, shares / max(float(shares.max(initial=0)), 1e-300) * largest, np.maximum(self.turns, 1))
+        end = np.where(named, self.turns / self.rate, 0.0)
+        self.start = np.where(named, 0.0, end.max(initial=0))
+        # about so many turns are due at a time: a line between times at which a queue begins or ends
+        at = np.concatenate([self.start, self.start + self.turns / self.rate])
+        order = np.argsort(at, kind="stable")
+        slope = np.cumsum(np.concatenate([self.rate, -self.rate])[order])
+        self.times = at[order]
+        self.due = np.concatenate(([0.0], np.cumsum(slope[:-1] * np.diff(self.times)))) if len(at) else np.zeros(0)
+        self.spans = max(1, -(-int(self.turns.sum()) // self.span_turns))
+        self.tails = int(self.turns.sum()) * self.quantum + np.cumsum(self.totals % self.quantum) - self.totals % self.quantum
+
+    def before(self, span: int) -> np.ndarray:
+        """Turns of each queue before the span."""
+        if span <= 0:
+            return np.zeros(len(self.turns), np.int64)
+        if span >= self.spans:
+            return self.turns
+        time = np.interp(span * self.span_turns, self.due, self.times)
+        return np.clip(np.ceil(self.rate * (time - self.start) - 0.5), 0, self.turns).astype(np.int64)
+
+    def places(self, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First turn of each queue in the span, where its turns begin in the list of places, and all places, queue by queue."""
+        if span not in self.kept:
+            begin = self.before(span)
+            n = self.before(span + 1) - begin
+            queue = np.repeat(np.arange(len(n)), n)
+            first = np.cumsum(n) - n
+            turn = begin[queue] + np.arange(len(queue)) - first[queue]
+            order = np.lexsort((queue, self.start[queue] + (turn + 0.5) / self.rate[queue]))
+            places = np.empty(len(queue), np.int64)
+            places[order] = (int(begin.sum()) + np.arange(len(queue))) * self.quantum
+            if len(self.kept) >= 64:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[span] = begin, first, places
+        return self.kept[span]
+
+    def span_of(self, queue: int, turn: int) -> int:
+        """The span that holds a queue's turn."""
+        low, high = 0, self.spans - 1
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if self.before(mid)[queue] <= turn else (low, mid - 1)
+        return low
+
+    def stretches(self, queue: int, start: int, count: int) -> Iterator[tuple[int, int]]:
+        """(place, tokens) of `count` tokens of a queue from its token `start`, turn by turn."""
+        full, span, after = int(self.turns[queue]), -1, 0
+        while count:
+            turn, into = divmod(start, self.quantum)
+            if turn >= full:  # what is less than a turn follows at the very end
+                yield int(self.tails[queue]) + into, count
+                return
+            if turn >= after:
+                span = self.span_of(queue, turn)
+                begin, first, places = self.places(span)
+                after, shift = int(self.before(span + 1)[queue]), int(first[queue] - begin[queue])
+            take = min(count, self.quantum - into)
+            yield int(places[shift + turn]) + into, take
+            start, count = start + take, count - take
 
     def sequence(self, place: int) -> tuple[int, int, int]:
         """(id, first place, size) of the sequence at a place; the rest after the last full one is cut at powers of two."""
@@ -79,37 +120,20 @@ class Schedule:
                 return k, at, size
             at, left, k = at + size, left - size, k + 1
 
-    def span_of(self, queue: int, start: int) -> int:
-        """The span that holds the queue's token `start`."""
-        low, high = 0, self.spans - 1
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.before(queue, mid) * self.quantum <= start else (low, mid - 1)
-        return low
-
     def pieces(self, queue: int, start: int, count: int) -> Iterator[tuple[int, int, int, int]]:
         """(tokens before the piece, length, sequence, offset) of `count` tokens from `start` of the queue, in order."""
         done, held = 0, None
-        span = self.span_of(queue, start) if count else 0
-        while done < count:
-            starts, places, sizes = self.segments(span)[queue]
-            at = start + done
-            i = int(np.searchsorted(starts, at, "right")) - 1
-            while done < count and 0 <= i < len(starts) and at < starts[i] + sizes[i]:
-                skip = at - int(starts[i])
-                place, left = int(places[i]) + skip, min(int(sizes[i]) - skip, count - done)
-                while left:
-                    seq, first, size = self.sequence(place)
-                    take = min(left, first + size - place)
-                    if held and held[2] == seq and held[3] + held[1] == place - first:
-                        held = (held[0], held[1] + take, seq, held[3])
-                    else:
-                        if held:
-                            yield held
-                        held = (done, take, seq, place - first)
-                    done, place, left, at = done + take, place + take, left - take, at + take
-                i += 1
-            span += 1
+        for place, left in self.stretches(queue, start, count):
+            while left:
+                seq, first, size = self.sequence(place)
+                take = min(left, first + size - place)
+                if held and held[2] == seq and held[3] + held[1] == place - first:
+                    held = (held[0], held[1] + take, seq, held[3])
+                else:
+                    if held:
+                        yield held
+                    held = (done, take, seq, place - first)
+                done, place, left = done + take, place + take, left - take
         if held:
             yield held
 
@@ -132,8 +156,8 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch], totals: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    plan = Schedule(totals)
+def _cut(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    plan = Schedule(*shared.value)
     for batch in batches:
         out: list[tuple] = []
         for k, (doc, queue, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
@@ -155,29 +179,31 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str | None, float] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Target proportions are the sources' shares of all tokens, so every queue ends with the last window and nothing is left
-    over. Null and empty texts hold the end id alone; null sources are a queue of their own; null ids and repeated rows are
-    packed like any other; other columns are not read. An empty table has no sequences. Sequences of a table depend on the
-    order in which its files are read; every id lies in one piece whatever that is.
+    targets: shares of the sources in every window, whatever they add up to; by default the sources' shares of all tokens,
+    so that every queue lasts to the last window. A source that has run dry leaves its share to the others in proportion;
+    sources that targets leave out follow at the end. Every source has a queue. Null and empty texts hold the end id
+    alone; null sources are a queue of their own; null ids and repeated rows are packed like any other; other columns are
+    not read. An empty table has no sequences. Sequences of a table depend on the order in which its files are read; every
+    id lies in one piece whatever that is. Nothing is left over or padded.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     schema = "doc_id long, source string, part int, before long, n long, ids binary"
     encoded = written(slim.mapInArrow(lambda it: _encode(it, tokenizer, end_id), schema), "ids")
     by_task = written(encoded.groupBy("source", "part").agg(F.sum("n").alias("n")), "totals")
-    # the largest sources get queues of their own, all others share the last
-    largest = [r["source"] for r in by_task.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MOST_QUEUES - 1).collect()]
+    # two numbers for each source
+    sums = by_task.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_first()).toArrow()
+    sources, totals = sums.column("source").to_pylist(), sums.column("n").to_numpy().astype(np.int64)
+    shares = None if targets is None else np.array([float(targets.get(s, 0)) for s in sources])
+    if shares is not None and (shares < 0).any():
+        raise ValueError("a target share is negative")
     spark = docs.sparkSession
-    queues = spark.createDataFrame([(s, i) for i, s in enumerate(largest)], "source string, queue int")
-    named = by_task.join(F.broadcast(queues.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "part", "n", F.coalesce("queue", F.lit(len(largest))).alias("queue"))
-    # a queue's order is by task, then source: one row per task, then the sources of one task, so no window holds more
-    before = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    tasks = named.groupBy("queue", "part").agg(F.sum("n").alias("n")).select("queue", "part", before(Window.partitionBy("queue").orderBy("part")).alias("task_base"))
-    placed = named.join(tasks, ["queue", "part"]).withColumn("base", F.col("task_base") + before(Window.partitionBy("queue", "part").orderBy("source")))
-    sums = {r["queue"]: r["n"] for r in named.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    totals = tuple(sums.get(q, 0) for q in range(max(sums, default=-1) + 1))
-    base = hinted(placed.select(F.col("source").alias("of"), F.col("part").alias("of_part"), "queue", "base"), by_task.count())
-    dealt = encoded.join(base, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
-    return dealt.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("start"), "ids").mapInArrow(lambda it: _cut(it, totals), PIECES)
+    shared = spark.sparkContext.broadcast((totals, shares))
+    queues = spark.createDataFrame(list(zip(sources, range(len(sources)), strict=True)), "of string, queue int")
+    named = by_task.join(hinted(queues, len(sources)), F.col("source").eqNullSafe(F.col("of"))).select("source", "part", "n", "queue")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = named.select(F.col("source").alias("of"), F.col("part").alias("of_part"), "queue", before.alias("base"))
+    dealt = encoded.join(hinted(placed, by_task.count()), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
+    return dealt.select("doc_id", "queue", (F.col("base") + F.col("before")).alias("start"), "ids").mapInArrow(lambda it: _cut(it, shared), PIECES)

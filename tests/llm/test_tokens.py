@@ -76,36 +76,55 @@ def test_store_of_few_and_none(spark):
         assert [(r.doc_id, r.start, r.n_tokens) for r in T.read(spark, out).collect()] == [(i, 0, 1) for i, _ in texts]
 
 
-@pytest.mark.parametrize("totals", [(1,), (5000, 3), (100_000, 50_000, 7), (123_457, 0, 88_888, 1, 4096 * 20), (256,), (4096 * 64,)])
-def test_schedule_fills_every_place_once(totals):
-    plan = P.Schedule(totals, span_windows=8)
+TOTALS = [(1,), (5000, 3), (100_000, 50_000, 7), (123_457, 0, 88_888, 1, 4096 * 20), (256,), (4096 * 64,), tuple(range(0, 90_000, 1000))]
+
+
+@pytest.mark.parametrize("totals", TOTALS)
+@pytest.mark.parametrize("shares", [None, "even", "odd"])
+def test_schedule_fills_every_place_once(totals, shares):
+    targets = {None: None, "even": [1] * len(totals), "odd": [k % 3 for k in range(len(totals))]}[shares]
+    plan = P.Schedule(totals, targets, span_turns=50)
     seen = np.zeros(plan.total, np.int8)
-    for span in range(plan.spans):
-        for q, (starts, places, sizes) in enumerate(plan.segments(span)):
-            assert not len(starts) or starts[0] == plan.before(q, span) * plan.quantum
-            for p, s in zip(places, sizes, strict=True):
-                seen[p : p + s] += 1
+    for q, n in enumerate(totals):
+        assert sum(t for _, t in plan.stretches(q, 0, n)) == n
+        for p, t in plan.stretches(q, 0, n):
+            seen[p : p + t] += 1
+        middle = n // 3  # from anywhere it's the same
+        whole = [p + k for p, t in plan.stretches(q, 0, n) for k in range(t)]
+        assert [p + k for p, t in plan.stretches(q, middle, n - middle) for k in range(t)] == whole[middle:]
     assert (seen == 1).all()
 
 
-def test_windows_hold_the_mixture():
+@pytest.mark.parametrize("shares", [None, (1, 1, 1), (5, 1, 0), (1, 2, 3)])
+def test_windows_hold_the_mixture(shares):
+    """Against a queue-by-queue simulation in exact fractions: no prefix is off by more than a turn for each queue."""
     totals = (700_000, 200_000, 100_000)
-    plan = P.Schedule(totals, span_windows=16)
+    plan = P.Schedule(totals, shares, span_turns=64)
     window = np.zeros((plan.total // 4096 + 1, 3))
-    for span in range(plan.spans):
-        for q, (_, places, sizes) in enumerate(plan.segments(span)):
-            np.add.at(window, (places // 4096, q), sizes)
-    want = np.array(totals) / sum(totals)
-    full = window[: plan.total // 4096 - 1]
-    assert (abs(full.cumsum(axis=0) - np.arange(1, len(full) + 1)[:, None] * 4096 * want) <= 4 * P.QUANTUM).all()
-
-
-def test_pack(spark, monkeypatch):
-    monkeypatch.setattr(P, "SPAN_WINDOWS", 2)
+    for q, n in enumerate(totals):
+        for p, t in plan.stretches(q, 0, n):
+            for k in range(p, p + t, 64):  # turns are cut at window edges
+                window[k // 4096, q] += min(64, p + t - k)
+    left, ideal = list(map(float, totals)), []
+    for _ in range(plan.total // 4096):
+        room = 4096.0
+        while room > 1e-6:
+            want = totals if shares is None else shares
+            live = [q for q in range(3) if left[q] > 1e-6 and want[q]] or [q for q in range(3) if left[q] > 1e-6]
+            weight = [want[q] or totals[q] for q in live]
+            step = min(room, *(left[q] * sum(weight) / w for q, w in zip(live, weight, strict=True)))
+            for q, w in zip(live, weight, strict=True):
+                left[q] -= step * w / sum(weight)
+            room -= step
+        ideal.append([n - x for n, x in zip(totals, left, strict=True)])
+    got = window[: len(ideal)].cumsum(axis=0)
+    assert abs(got - np.array(ideal)).max() <= 3 * P.QUANTUM
+
+
+def test_pack(spark):
     texts = TEXTS + [(2000 + i, t) for i, t in enumerate(t for _, t in many(400, 2))]
-    for most in (256, 2):
-        monkeypatch.setattr(P, "MOST_QUEUES", most)
-        got = P.pack(frame(spark, texts, "queue part n start"), PATH, 2).collect()
+    for targets in (None, {"s0": 1, "s2": 5.5, "none": 3}):
+        got = P.pack(frame(spark, texts, "queue part n start"), PATH, 2, targets=targets).collect()
         ids = {i: ids_of(t, 2) for i, t in texts}
         cover: dict = {}
         for r in got:
