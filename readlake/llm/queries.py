@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.llm import inverted_index, langid, packing, resharding, simhash, simhash_neardup, suffix_tree, token_store, toxicity, url_filter
-from readlake.llm.common import learning, table
-
-
+from readlake.llm.common import learning, table, written
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -127,7 +125,9 @@ def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.edits(table(spark, sf_dir, "documents"))
+    """n_near: other documents within 3 bits, searched in the permuted tables for every id divisible by 100."""
+    found = written(simhash.edits(table(spark, sf_dir, "documents")), "prints")
+    found = simhash.neighbours(found, F.col("id") % 100 == 0, radius=3)
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return found.select(
         F.col("id").alias("doc_id"),
@@ -137,6 +137,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         hexed("edited_fp").alias("edited_fingerprint"),
         simhash.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         simhash.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.col("near").alias("n_near"),
     )
 
 

@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readlake.llm.common import free_name, hinted, written
+
 BITS = 64
 LANES = 0x0000000100000001
 #: Quantiles of the id that carry the order's buckets, rows of a bucket, and buckets at most.
@@ -67,21 +69,47 @@ def permuted_tables(radius: int, blocks: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in whole]
 
 
-def within(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def blocks_for(queries: int, radius: int) -> int:
+    """The fewest blocks at which about one query at most shares a permuted table's leading bits with a random fingerprint."""
+    blocks = radius + 1
+    while queries >> (BITS * (blocks - radius) // blocks) and blocks < radius + 4:
+        blocks += 1
+    return blocks
+
+
+def within(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """(q, fp, distance): for each distinct query fingerprint q all distinct prints within the radius.
 
     Both are joined on every permuted table's leading bits; a pair is kept only from the first table on which it agrees,
-    so no pair is found twice. Null fingerprints find nothing.
+    so no pair is found twice. Few queries are broadcast (their rows are counted), many are dealt by the leading bits.
+    Null fingerprints find nothing; either side may be empty or hold repeats.
     """
-    masks = permuted_tables(radius, blocks)
-    keyed = lambda df, c: df.where(F.col("fp").isNotNull()).select(F.col("fp").alias(c)).distinct().select(c, F.posexplode(F.array(*[F.col(c).bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
-    pairs = keyed(queries, "q").join(keyed(prints, "fp"), ["t", "key"])
-    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("fp")))
+    one = lambda df, c: df.where(F.col("fp").isNotNull()).select(F.col("fp").alias(c)).distinct()
+    asked = one(queries, "q")
+    n = asked.count()
+    masks = permuted_tables(radius, blocks or blocks_for(n, radius))
+    keyed = lambda df, c: df.select(c, F.posexplode(F.array(*[F.col(c).bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
+    pairs = keyed(one(prints, "fp"), "fp").join(hinted(keyed(asked, "q"), n * len(masks)), ["t", "key"])
     apart = F.col("q").bitwiseXOR(F.col("fp"))
+    distance = F.bit_count(apart)
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, F.lit(t)) for t, m in enumerate(masks)])
     return pairs.where((distance <= radius) & (F.col("t") == first)).select("q", "fp", distance.alias("distance"))
 
 
+def neighbours(rows: DataFrame, asked: Column, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """rows (a written table with fp) and near: of rows where `asked` holds, how many other rows lie within the radius; else null.
+
+    Equal fingerprints are counted once and weighed by their rows, so no pair of copies is listed. rows may have any other
+    columns but near.
+    """
+    counted = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    found = within(rows.where(asked), rows, radius, blocks).join(counted, "fp").groupBy("q").agg(F.sum("n").alias("found"))
+    found = written(found, "neighbours")
+    q = free_name(rows, "q")
+    out = rows.join(hinted(found.select(F.col("q").alias(q), F.col("found").alias(q + "_n")), found.count()), F.col("fp") == F.col(q), "left")
+    return out.select(*rows.columns, F.when(asked, F.coalesce(q + "_n", F.lit(1)) - 1).cast("long").alias("near"))
+
+
 def _bucket(ids: DataFrame, rows: int, id_col: str) -> tuple[Column, int]:
     """A non-decreasing map of the id to about equal buckets: a piecewise linear distribution through a few quantiles."""
     parts = ids.sparkSession.conf.get("spark.sql.shuffle.partitions")

@@ -4,7 +4,9 @@ import re
 
 import xxhash
 from docs import ODD, frame
+from pyspark.sql import functions as F
 
+from readlake.llm import queries as Q
 from readlake.llm import simhash as S
 
 
@@ -66,3 +68,30 @@ def test_permuted_tables_find_all(spark):
         asked = {r.fp for r in df.limit(80).collect()} - {None}
         want = {(q, signed(f)) for q in asked for f in prints if ((q & (1 << 64) - 1) ^ f).bit_count() <= radius}
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_neighbours(spark):
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(5)]
+    rows = []
+    for i in range(250):
+        x = rnd.choice(base)
+        for _ in range(rnd.randrange(5)):
+            x ^= 1 << rnd.randrange(64)
+        rows.append((i if i % 50 else None, x - (1 << 64) if x >> 63 else x))
+    rows += [(1000 + i, rows[7][1]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, fp long")
+    got = sorted(((r.id or -1), r.near) for r in S.neighbours(df, F.col("id") % 3 == 0).collect())
+    count = lambda f: sum(((f ^ g) & (1 << 64) - 1).bit_count() <= 3 for _, g in rows) - 1
+    assert got == sorted(((i or -1), count(f) if i is not None and i % 3 == 0 else None) for i, f in rows)
+    assert S.blocks_for(2_500, 3) == 4 and S.blocks_for(1 << 20, 3) == 5
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    texts = [(100 * i, t) for i, (_, t) in enumerate(ODD)] + [(7, ODD[4][1]), (8, ODD[4][1] + " more")]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    prints = {i: slow(t) for i, t in texts}
+    got = {r.doc_id: r for r in Q.op9_simhash(spark, str(tmp_path)).collect()}
+    assert {i: int(r.fingerprint, 16) for i, r in got.items()} == prints
+    near = {i: sum((f ^ g).bit_count() <= 3 for g in prints.values()) - 1 if i % 100 == 0 else None for i, f in prints.items()}
+    assert {i: r.n_near for i, r in got.items()} == near
