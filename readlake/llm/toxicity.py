@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import held, least_hashed, release, written
+from readlake.llm.common import held, hinted, least_hashed, release, written
 
-#: Labelled rows of each class that are learned from at most; words that the model may weigh; distinct tokens that a worker keeps.
-PER_CLASS, MOST_WORDS, MOST_TOKENS = 4_000, 1_000, 200_000
+#: Labelled rows of each class that are learned from at most; chi-square from which a trait is weighed; distinct tokens that a worker keeps.
+PER_CLASS, CHI_SQUARE, MOST_TOKENS = 4_000, 12.0, 100_000
 #: Code points taken at once; length of tokens whose reading a worker keeps; steps of a lattice between two flushes; length that runs are folded to.
 SLICE, LONGEST, FLUSH, RUN = 1 << 20, 48, 64, 8
 
@@ -41,7 +41,7 @@ _table: list[np.ndarray] = []
 
 def _symbols() -> np.ndarray:
     if not _table:
-        out = np.array([SYMBOLS - 1 if chr(c).isalpha() else 0 for c in range(0x110000)], np.int64)
+        out = np.array([SYMBOLS - 1 if chr(c).isalpha() else 0 for c in range(0x110000)], np.int8)
         for c, i in _NUMBER.items():
             out[ord(c)] = i
         _table.append(out)
@@ -54,11 +54,11 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0):
             t = text.as_py() or ""
-            held = np.zeros(2, np.int64)
+            last = np.zeros(2, np.int64)
             for start in range(0, len(t), SLICE):
-                s = np.concatenate([held, _symbols()[np.frombuffer(t[start : start + SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)]])
+                s = np.concatenate([last, _symbols()[np.frombuffer(t[start : start + SLICE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)]])
                 counts += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=len(counts))
-                held = s[-2:]
+                last = s[-2:]
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["gram", "n"])
 
@@ -90,7 +90,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model
-        self.kept = lru_cache(maxsize=50_000)(self._word)
+        self.kept = lru_cache(maxsize=20_000)(self._word)
 
     def word(self, token: str) -> tuple[str, ...]:
         """The restored words of one lower-cased token."""
@@ -242,37 +242,39 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     if not ones or not zeros:
         rate = (ones + 0.5) / (ones + zeros + 1)
         return Scorer(model, {}, float(np.log(rate / (1 - rate))))
-    # the traits that tell class 1 best, by chi-square
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    counted = sample.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("n")).where((F.col("n") >= 3) & (a / ones > (F.col("n") - F.col("a")) / zeros))
-    gain = F.pow(a / ones - b / zeros, 2) / (F.col("n") * (1 - F.col("n") / (ones + zeros + 1)))
-    names = [r["w"] for r in counted.withColumn("g", gain).orderBy(F.desc("g"), "w").limit(MOST_WORDS).collect()]
-    listed = spark.createDataFrame([(w, i) for i, w in enumerate(names)], "w string, i int")
-    rows = sample.select("id", "y", F.explode_outer("words").alias("w")).join(F.broadcast(listed), "w", "left").groupBy("id", "y").agg(F.collect_list("i").alias("at")).toPandas().sort_values("id")
-    x, y = np.zeros((len(rows), len(names) + 1), np.float32), rows["y"].to_numpy(np.float32)
-    x[:, -1] = 1
-    for k, at in enumerate(rows["at"]):
-        x[k, np.asarray(at, int)] = 1
-    w = logistic(x, y)
+    # traits that tell class 1 by more than chance
+    a, b, n = F.col("a"), F.col("n") - F.col("a"), F.col("n")
+    counted = sample.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("n")).where((n >= 3) & (a / ones > b / zeros))
+    chi = F.pow(a / ones - b / zeros, 2) * ones * zeros / (n * (1 - n / (ones + zeros + 1)))
+    listed = written(counted.where(chi >= CHI_SQUARE).select("w"), "toxic-traits")
+    names = sorted(r["w"] for r in listed.collect())  # of a bounded sample
+    found = sample.select("id", "y", F.explode_outer("words").alias("w")).join(hinted(listed.withColumn("told", F.lit(True)), len(names)), "w", "left")
+    rows = found.groupBy("id", "y").agg(F.collect_list(F.when(F.col("told"), F.col("w"))).alias("told")).toPandas().sort_values("id")
+    number = {w: i for i, w in enumerate(names)}
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows["told"]])
+    at = np.array([number[w] for x in rows["told"] for w in sorted(x)], np.int64)
+    w = logistic(row, at, len(names), rows["y"].to_numpy(np.float64))
     return Scorer(model, {n: float(v) for n, v in zip(names, w, strict=False) if v}, float(w[-1]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l1: float = 1e-4, l2: float = 1e-4, rounds: int = 400) -> np.ndarray:
-    """Weights of least elastic-net log loss by accelerated proximal gradient; the last column is the unpenalised bias.
+def logistic(row: np.ndarray, at: np.ndarray, traits: int, y: np.ndarray, l1: float = 1e-4, l2: float = 1e-4, rounds: int = 400) -> np.ndarray:
+    """Weights of least elastic-net log loss by accelerated proximal gradient; the last is the unpenalised bias.
 
-    No weight is negative: a word can tell that a text is toxic, none that it isn't, so long texts can't hide it.
+    Row row[i] holds trait at[i]. No weight is negative: a word can tell that a text is toxic, none that it isn't, so long
+    texts can't hide it.
     """
-    n, d = x.shape
-    v = np.ones(d, np.float32)
+    n = len(y)
+    ahead = lambda v: np.bincount(row, v[at], n) + v[-1]
+    back = lambda g: np.append(np.bincount(at, g[row], traits), g.sum())
+    v = np.ones(traits + 1)
     for _ in range(20):  # largest eigenvalue, for the step
-        v = x.T @ (x @ v)
+        v = back(ahead(v))
         v /= np.linalg.norm(v)
-    step = 1 / (0.25 * float(np.linalg.norm(x.T @ (x @ v))) / n + l2)
-    w = u = np.zeros(d, np.float32)
+    step = 1 / (0.25 * float(np.linalg.norm(back(ahead(v)))) / n + l2)
+    w = u = np.zeros(traits + 1)
     t = 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ u)))
-        g = x.T @ (p - y) / n
+        g = back(1 / (1 + np.exp(-ahead(u))) - y) / n
         g[:-1] += l2 * u[:-1]
         new = u - step * g
         new[:-1] = np.maximum(new[:-1] - step * l1, 0)
@@ -301,7 +303,11 @@ def score(docs: DataFrame, scorer: Scorer, columns: list[Column], text_col: str
 
 
 def reject(docs: DataFrame, scorer: Scorer, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs that score below `least`, judged in the pass that hands on the whole row; all columns stay."""
+    """docs that score below `least`, judged in the pass that hands on the whole row.
+
+    All columns stay, whatever their names; null and empty texts have the score of no words; repeated rows stay; an empty
+    table gives an empty result.
+    """
     shared, name = docs.sparkSession.sparkContext.broadcast((scorer.restorer.model, scorer.words, scorer.bias)), scorer.name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
