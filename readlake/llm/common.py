@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Hashable
+from contextlib import suppress
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +20,25 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BROADCAST_ROWS = 200_000
 
 
+#: Rows that go to a Python worker at once where the session keeps Spark's own figure: texts may be long.
+BATCH_ROWS = 2_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is configured."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or SparkContext.setCheckpointDir's."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="readlake-")
-        spark.sparkContext.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -44,7 +51,24 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     writer = df.write.mode("error").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `written` that nothing will read again: what was made of them has been written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    name = f"__{name}"
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
 
 
 def hinted(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,7 +95,7 @@ def learning(column: str, modulus: int, held: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus != held, F.lit(True))
 
 
-_slot: list = [None, None]
+_slot: list = ["nothing yet", None]
 
 
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
@@ -79,6 +103,9 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     if _slot[0] != key:
         _slot[:] = [None, None]
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # where the C library has it: freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
         _slot[:] = [key, make()]
     return _slot[1]
 
