@@ -33,7 +33,7 @@ GAIN = 2.0
 #: Most frequent words that are numbered; all others are known by their hash, and their counts come by a join.
 HEAD = 1 << 19
 #: Tokens that a task packs at once, and tokens of a part. A chunk must number its words in BITS bits.
-CHUNK, PART_TOKENS, BITS = 1_500_000, 2_000_000, 21
+CHUNK, PART_TOKENS, BITS = 500_000, 2_000_000, 21
 #: Number of the end of a text; among the words before a token it means none.
 END = 0
 
@@ -295,47 +295,65 @@ def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
 
 # ---- contexts that several parts share -------------------------------------------------------------------------------
 def _frequent(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(c1, c2, w, n): what follows spread words, and pairs of spread words, in learned texts; c2 is 0 for the single word."""
+    """(c1, c2, w, n, count): what follows spread words, and pairs of spread words, in learned texts.
+
+    c2 is 0 for the single word; count is that of w.
+    """
     head = shared.value
     numbers = held(("words", head.name), lambda: Numbers(head))
-    kept: Counter = Counter()
+    names = np.array([0, *sorted(head.spread)], np.int64)  # 0 stands for no word
+    texts: list[np.ndarray] = []
+    leads: list[int] = []
 
     def out() -> pa.RecordBatch:
-        columns = zip(*((*key, n) for key, n in kept.items()), strict=True) if kept else [[]] * 4
-        batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["c1", "c2", "w", "n"])
-        kept.clear()
-        return batch
-
+        t = np.concatenate(texts)
+        real = np.ones(len(t), bool)
+        for start, lead in zip(np.cumsum([0, *map(len, texts[:-1])]).tolist(), leads, strict=True):
+            real[start : start + lead] = False
+        texts.clear()
+        leads.clear()
+        wide = np.where(t > 0, numbers.spread[np.maximum(t, 0)] > 1, False)
+        at = 1 + np.flatnonzero(wide[:-1] & real[1:])  # never the first of a text: the end before it is no spread word
+        c1 = np.searchsorted(names, t[at - 1])
+        both = at[at > 1]
+        both = both[wide[both - 2]]
+        c1, w = np.concatenate([c1, np.searchsorted(names, t[both - 1])]), np.concatenate([t[at], t[both]])
+        c2 = np.concatenate([np.zeros(len(at), np.int64), np.searchsorted(names, t[both - 2])])
+        kind, place = np.unique(w, return_inverse=True)
+        key, n = np.unique((c1 * len(names) + c2) << BITS | place, return_counts=True)
+        pair, w = key >> BITS, kind[key & (1 << BITS) - 1] if len(key) else key
+        count = np.where(w >= 0, head.counts[np.maximum(w, 0)], head.unnumbered)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (names[pair // len(names)], names[pair % len(names)], w, n.astype(np.int64), count)], ["c1", "c2", "w", "n", "count"])
+
+    size = 0
     for batch in batches:
         for text in batch.column(0).cast(pa.binary()):
             t = numbers.of(text.as_py())
-            wide = np.where(t > 0, numbers.spread[np.maximum(t, 0)] > 1, False)
-            at = 1 + np.flatnonzero(wide[:-1])
-            kept.update(zip(t[at - 1].tolist(), [0] * len(at), t[at].tolist(), strict=True))
-            at = at[at > 1]
-            at = at[wide[at - 2]]
-            kept.update(zip(t[at - 1].tolist(), t[at - 2].tolist(), t[at].tolist(), strict=True))
-            if len(kept) > 500_000:
-                yield out()
-    yield out()
-
-
-def _shared_contexts(texts: DataFrame, shared, head: Head, counted: DataFrame) -> DataFrame | None:
+            for start in range(0, len(t), CHUNK):  # a later piece is led by the two words before it
+                lead = 2 if start else 0
+                texts.append(t[start - lead : start + CHUNK])
+                leads.append(lead)
+                size += len(texts[-1])
+                if size >= CHUNK:
+                    yield out()
+                    size = 0
+    if texts:
+        yield out()
+
+
+def _shared_contexts(texts: DataFrame, shared, head: Head) -> DataFrame | None:
     """(c1, c2, w, n, whole, rest, keep) of the listed words of spread words and pairs of them, written; None if there are none."""
     if not head.spread:
         return None
-    spark = texts.sparkSession
-    grams = written(texts.mapInArrow(lambda it: _frequent(it, shared), "c1 long, c2 long, w long, n long").groupBy("c1", "c2", "w").agg(F.sum("n").alias("n")), "frequent-grams")
+    grams = written(texts.mapInArrow(lambda it: _frequent(it, shared), "c1 long, c2 long, w long, n long, count long").groupBy("c1", "c2", "w").agg(F.sum("n").alias("n"), F.first("count").alias("count")), "frequent-grams")
     # at most as many contexts as there are spread words and pairs of them
     listed = F.when(F.col("n") >= LEAST, F.col("n"))
     stats = grams.groupBy("c1", "c2").agg(F.sum("n").alias("whole"), F.count(listed).alias("many"), F.coalesce(F.sum(listed), F.lit(0)).alias("listed_n"))
     rest = F.greatest(F.lit(1e-9), 1 - (F.col("listed_n") - DISCOUNT * F.col("many")) / F.col("whole"))
     stats = written(stats.withColumn("rest", rest), "frequent-contexts")
     few = min(len(head.spread) * (len(head.spread) + 1), 1 << 30)
-    low, total = head.unnumbered, head.total + 0.5 * (head.distinct + 1)
-    counts = spark.createDataFrame(pa.table({"of": np.arange(len(head.counts)), "count": head.counts}))
     rows = grams.where(F.col("n") >= LEAST).join(hinted(stats, few), ["c1", "c2"])
-    rows = rows.join(hinted(counts, len(head.counts), 1 << 20), F.col("w") == F.col("of"), "left").withColumn("p0", (F.coalesce("count", F.lit(low)) + 0.5) / total).drop("of", "count")
+    rows = rows.withColumn("p0", (F.col("count") + 0.5) / (head.total + 0.5 * (head.distinct + 1)))
     mass = (F.col("n") - DISCOUNT) / F.col("whole")
     one = rows.where("c2 = 0").withColumn("p", mass + F.col("rest") * F.col("p0"))
     single = stats.where("c2 = 0").select(F.col("c1").alias("of"), F.col("rest").alias("rest1"))
@@ -584,7 +602,7 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: st
         raise ValueError(f"head and CHUNK need more than {BITS} bits")
     shared, slim_head = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(replace(model, words=[]))
     dealt = slim.mapInArrow(lambda it: _deal(it, shared), DEALT)
-    frequent = _shared_contexts(slim.where(~F.col("held_out")).select("text"), shared, model, counted)
+    frequent = _shared_contexts(slim.where(~F.col("held_out")).select("text"), shared, model)
     if frequent is not None:
         dealt = dealt.unionByName(frequent.select(*[n for n, _ in FREQUENT]).mapInArrow(lambda it: _told(it, slim_head.value), DEALT))
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
