@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import inverted_index, jaccard_neardup, langid, packing, toxicity
+from readlake.llm import inverted_index, langid, packing, simhash_neardup, toxicity
 from readlake.llm.common import learning, table, written
 from readlake.llm.queries import tokenizer_path
 
@@ -30,9 +30,10 @@ def keep_identified_languages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-    Every link is verified on whole sets; a pair at 0.8 becomes a candidate with 0.99998, a more similar one more surely.
+    Fingerprints at most 22 bits apart are found by bit-sliced comparison inside buckets, then whole sets decide: a pair at
+    0.8 is found with 0.9999 by calculation, a more similar one more surely.
     """
-    return jaccard_neardup.deduplicate(docs, least=(4, 5), shingle=5)
+    return simhash_neardup.deduplicate_similar(docs, least=(4, 5), shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
