@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from readlake.operators.ordered import running_sum
+
 #: Bytes of a page, and page numbers that an index page holds.
 PAGE, NODE_ENTRIES = 8192, 2047
 
 
-def byte_histogram(df: DataFrame, text: str) -> DataFrame:
-    """(byte, n): occurrences of each byte, as two hexadecimal digits."""
-    b = F.explode(F.regexp_extract_all(F.hex(F.encode(F.col(text), "UTF-8")), F.lit(".."), F.lit(0))).alias("byte")
-    return df.select(b).groupBy("byte").agg(F.count("*").alias("n"))
+def byte_histogram(df: DataFrame, text: str, order: str | None = None, first: int | None = None) -> DataFrame:
+    """(byte, n): occurrences of each byte, as two hexadecimal digits; with `first` of that many bytes in the order of a column."""
+    raw = df.select(F.encode(F.col(text), "UTF-8").alias("__raw")) if first is None else _first_bytes(df, text, order, first)
+    b = F.explode(F.regexp_extract_all(F.hex("__raw"), F.lit(".."), F.lit(0))).alias("byte")
+    return raw.select(b).groupBy("byte").agg(F.count("*").alias("n"))
+
+
+def _first_bytes(df: DataFrame, text: str, order: str, first: int) -> DataFrame:
+    d = df.select(order, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("__raw"))
+    d = running_sum(d, F.length("__raw").cast("long"), "__ahead", [order], inclusive=False).where(F.col("__ahead") < first)
+    return d.select(F.substring("__raw", F.lit(1), F.least(F.length("__raw"), F.lit(first) - F.col("__ahead")).cast("int")).alias("__raw"))
+
+
+def ranked_histogram(hist: DataFrame, value: str = "byte") -> DataFrame:
+    """hist with nth (rarest first), total and distinct; as many rows as values."""
+    whole = hist.agg(F.sum("n").alias("total"), F.count("*").alias("distinct"))
+    nth = F.row_number().over(Window.partitionBy("total").orderBy("n", value)).cast("long")
+    return hist.join(F.broadcast(whole), F.lit(True)).withColumn("nth", nth)
 
 
 def char_histogram(df: DataFrame, text: str) -> DataFrame:

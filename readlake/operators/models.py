@@ -1,4 +1,4 @@
-"""Symbol models: static entropy, adaptive code length, and the adaptive models with halving per block."""
+"""Symbol models: static entropy, adaptive code length from counts, and the adaptive models with halving."""
 
 from __future__ import annotations
 
@@ -6,27 +6,31 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.operators.ordered import BLOCK, running_sum
-
 
 @dataclass(frozen=True)
 class Adaptive:
-    """symbols start with `start` each and get `step` a hit; a symbol that would pass `limit` halves all of its context."""
+    """Symbols start with `start` each and get `step` a hit; all of a context are halved when a hit symbol is over `limit`.
+
+    Counts below `start` are no symbol's: of them only what is above `hidden` is halved. A symbol over the limit that leaves
+    all others less than `saturated` together stays as it is.
+    """
 
     symbols: int
     start: int
     step: int
     limit: int
+    hidden: int = 0
+    saturated: int = 0
 
 
-# The models of bases, of qualities, and of bytes.
-BASE = Adaptive(4, 3, 1, 255)
-QUALITY = Adaptive(64, 1, 6, 65466)
-BYTE = Adaptive(256, 1, 14, 32722)
+# The models of bases, of qualities, and of bytes; limits are of the count that the symbol has before a hit.
+BASE = Adaptive(4, 3, 1, 254)
+QUALITY = Adaptive(64, 1, 6, 65467, 1, 20)
+BYTE = Adaptive(256, 1, 14, 32723, 1, 256)
 
 
 def static_entropy(df: DataFrame, keys: list[str], symbol: str, n: str) -> DataFrame:
@@ -36,39 +40,102 @@ def static_entropy(df: DataFrame, keys: list[str], symbol: str, n: str) -> DataF
     return df.join(totals, keys).groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(-p * F.log2(p)).alias("bits"))
 
 
-def running_counts(df: DataFrame, order: list[str], ctx: list[str], symbol: str, block: int = BLOCK) -> DataFrame:
-    """df with `hits` and `seen`: earlier rows of the context with the symbol, and with any."""
-    d = running_sum(df, F.lit(1).cast("long"), "hits", order, [*ctx, symbol], block, inclusive=False)
-    return running_sum(d, F.lit(1).cast("long"), "seen", order, ctx, block, inclusive=False)
-
-
-def adaptive_bits(df: DataFrame, model: Adaptive, order: list[str], ctx: list[str], symbol: str, block: int = BLOCK) -> DataFrame:
-    """df with `bits`: the ideal code length of every symbol under the adaptive model that never halves."""
-    d = running_counts(df, order, ctx, symbol, block)
-    p = (model.start + model.step * F.col("hits")) / (model.start * model.symbols + model.step * F.col("seen"))
-    return d.withColumn("bits", -F.log2(p))
-
-
-def halved_bits(symbols: np.ndarray, model: Adaptive) -> np.ndarray:
-    """Code lengths of one context's symbols in order, halving as the model does."""
-    counts, out = np.full(model.symbols, model.start, np.int64), np.empty(len(symbols))
-    for i, s in enumerate(symbols):
-        out[i] = np.log2(counts.sum() / counts[s])
-        if counts[s] + model.step > model.limit:
-            counts = np.maximum(counts >> 1 & ~1 | counts & 1, 1) if model.step == 1 else np.maximum(counts - counts // 2, 1)
-        counts[s] += model.step
-    return out
-
-
-def halved_cost(df: DataFrame, model: Adaptive, order: list[str], block: Column, ctx: str, symbol: str) -> DataFrame:
-    """(block, ctx, n, bits): cost of each context of each block; models start anew with every block, which bounds a group."""
-
-    def cost(keys: tuple, groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        s = groups.sort_values(order)["sym"].to_numpy(np.int64)
-        return pd.DataFrame({"block": [keys[0]], "ctx": [keys[1]], "n": [len(s)], "bits": [float(halved_bits(s, model).sum())]})
-
-    d = df.select(block.cast("long").alias("block"), F.col(ctx).cast("string").alias("ctx"), F.col(symbol).cast("int").alias("sym"), *order)
-    return d.groupBy("block", "ctx").applyInPandas(cost, "block long, ctx string, n long, bits double")
+def _log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0, by its asymptotic series from x + 8 on."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    low, high = x * (x + 1) * (x + 2) * (x + 3), (x + 4) * (x + 5) * (x + 6) * (x + 7)
+    return series - F.log(low) - F.log(high)
+
+
+def _rising(n: Column, start: int, step: int) -> Column:
+    """log2 of start, start + step, ... multiplied, n factors."""
+    ratio = start / step
+    return n * float(np.log2(step)) + (_log_gamma(n + ratio) - _log_gamma(F.lit(ratio))) / float(np.log(2))
+
+
+def adaptive_cost(counts: DataFrame, model: Adaptive, ctx: list[str], n: str = "n") -> DataFrame:
+    """(ctx, n, bits) of counted symbols: the code length of a context's symbols under the adaptive model that never halves.
+
+    In whatever order they come the length is the same, so the counts tell it: no row of a symbol meets another.
+    """
+    d = counts.groupBy(*ctx).agg(F.sum(n).alias("n"), F.sum(_rising(F.col(n).cast("double"), model.start, model.step)).alias("__hits"))
+    return d.select(*ctx, "n", (_rising(F.col("n").cast("double"), model.start * model.symbols, model.step) - F.col("__hits")).alias("bits"))
+
+
+class Halving:
+    """One context of an adaptive model with halving, fed with symbols in order."""
+
+    def __init__(self, model: Adaptive):
+        self.model = model
+        self.counts = np.full(model.symbols, model.start, np.int64)
+
+    def halve(self) -> None:
+        c, hidden = self.counts, self.model.hidden
+        # without hidden counts the low bit stays, so that no count falls to 0
+        self.counts = (c - hidden) // 2 + hidden if hidden else ((c & ~1) >> 1) | (c & 1)
+
+    def bits(self, symbols: np.ndarray) -> float:
+        """Code length of the next symbols. Between two halvings counts grow evenly, so such stretches are summed at once."""
+        m, out, at = self.model, 0.0, 0
+        while at < len(symbols):
+            # no more hits than bring all symbols to the limit fit in a stretch
+            s = symbols[at : at + min(m.symbols * ((m.limit - m.start) // m.step + 2), 1 << 16)]
+            order = np.argsort(s, kind="stable")
+            sorted_ = s[order]
+            first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+            rank = np.empty(len(s), np.int64)
+            rank[order] = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+            before = self.counts[s] + m.step * rank
+            over = np.flatnonzero(before > m.limit)
+            end = int(over[0]) if len(over) else len(s)
+            total = int(self.counts.sum())
+            out += float(np.log2((total + m.step * np.arange(end)) / before[:end]).sum())
+            self.counts += m.step * np.bincount(s[:end], minlength=m.symbols)
+            at += end
+            if end < len(s):
+                hit, total = int(s[end]), int(self.counts.sum())
+                if m.saturated and self.counts[hit] - m.hidden + m.saturated > total - m.hidden * m.symbols:
+                    rest = symbols[at:]
+                    run = int(np.argmax(rest != hit)) if (rest != hit).any() else len(rest)
+                    out += run * float(np.log2(total / self.counts[hit]))
+                    at += run
+                else:
+                    out += float(np.log2(total / self.counts[hit]))
+                    self.halve()
+                    self.counts[hit] += m.step
+                    at += 1
+        return out
+
+
+def halved_cost(df: DataFrame, model: Adaptive, order: list[str], ctx: str, symbols: str) -> DataFrame:
+    """(ctx, n, bits): cost of each context's symbols, in order, under the model that halves.
+
+    symbols: an array of symbol numbers for each row, rows ordered by `order`. Contexts are independent; each is a running
+    state that meets its rows one batch after another, so a task holds one batch, however long a context is.
+    """
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, n, bits, any_row = None, None, 0, 0.0, False
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([n], pa.int64()), pa.array([bits])], ["ctx", "n", "bits"])
+
+        for batch in batches:
+            names, lists = batch.column(0).to_pylist(), batch.column(1)
+            for k, name in enumerate(names):
+                if not any_row or name != now:
+                    if any_row:
+                        yield out()
+                    now, state, n, bits, any_row = name, Halving(model), 0, 0.0, True
+                s = np.asarray(lists[k].values).astype(np.int64)
+                n += len(s)
+                bits += state.bits(s)
+        if any_row:
+            yield out()
+
+    d = df.select(F.col(ctx).cast("string").alias("ctx"), F.col(symbols).cast("array<int>").alias("symbols"), *order)
+    return d.repartition("ctx").sortWithinPartitions("ctx", *order).select("ctx", "symbols").mapInArrow(cost, "ctx string, n long, bits double")
 
 
 def packed_bits(df: DataFrame, flag: Column, order: str) -> DataFrame:

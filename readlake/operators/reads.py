@@ -37,13 +37,23 @@ def reconciled(df: DataFrame, **columns: str) -> DataFrame:
     return bases(df, **columns).withColumn("kind", F.when(unknown & zero, "implied").when(unknown, "Ns").when(zero, "Nn").otherwise("plain"))
 
 
-def restored_bases(codes: DataFrame, ns: DataFrame, nn: DataFrame, order: str = "rec") -> DataFrame:
-    """The inverse: (order, pos, base) from imputed codes with qualities and the two lists; the rules apply in this order:
-    listed as Nn keeps the code, quality 0 is unknown, listed as Ns is unknown."""
-    key = [order, "pos"]
-    d = codes.join(nn.select(*key, F.lit(True).alias("__nn")), key, "left").join(ns.select(*key, F.lit(True).alias("__ns")), key, "left")
-    base = F.when(F.col("__nn"), F.col("base")).when(F.col("q") == 0, "N").when(F.col("__ns"), "N").otherwise(F.col("base"))
-    return d.select(*key, base.alias("base"))
+def exceptions(df: DataFrame, seq: str = "seq", qual: str = "qual", order: str = "rec") -> DataFrame:
+    """(order, codes, q, ns, nn): imputed codes, qualities, and the positions of unknown bases of some quality (ns) and of
+    known ones of none (nn), one array a record."""
+    d = df.select(order, base_codes(F.col(seq)).alias("c"), F.transform(letters(F.col(qual)), lambda c: quality(c).cast("int")).alias("given"))
+    d = d.withColumn("a", letters(F.col("c"))).withColumn("q", F.transform("a", lambda c, i: F.coalesce(F.get(F.col("given"), i), F.lit(DEFAULT_QUALITY))))
+    places = lambda test: F.filter(F.transform("a", lambda c, i: F.when(test(c == "N", F.get(F.col("q"), i) == 0), i)), lambda i: i.isNotNull())
+    return d.select(order, imputed(F.col("c")).alias("codes"), "q", places(lambda n, zero: n & ~zero).alias("ns"), places(lambda n, zero: ~n & zero).alias("nn"))
+
+
+def restored_bases(kept: DataFrame, order: str = "rec") -> DataFrame:
+    """The inverse: (order, q, codes) with unknown bases as N, from (order, codes, q, ns, nn): quality 0 is unknown but where
+    listed as nn, and what is listed as ns is unknown. Stretches between unknown bases are copied as they are."""
+    zero = F.filter(F.transform("q", lambda q, i: F.when(q == 0, i)), lambda i: i.isNotNull())
+    unknown = F.array_sort(F.array_union(F.array_except(zero, F.col("nn")), F.col("ns")))
+    d = kept.select(order, "q", F.col("codes").cast("binary").alias("raw"), F.array_append(unknown, F.length("codes")).alias("at"))
+    stretch = F.transform("at", lambda p, i: F.substring(F.col("raw"), F.when(i == 0, 1).otherwise(F.get(F.col("at"), i - 1) + 2), F.when(i == 0, p).otherwise(p - F.get(F.col("at"), i - 1) - 1)).cast("string"))
+    return d.select(order, "q", F.array_join(stretch, "N").alias("codes"))
 
 
 def base_ordinals(df: DataFrame, seq: str = "seq", order: str = "rec") -> DataFrame:

@@ -54,3 +54,8 @@ def split_by(records: DataFrame, large: Column) -> tuple[DataFrame, DataFrame]:
     """(regular, oversized) rows."""
     flag = F.coalesce(large, F.lit(False))
     return records.where(~flag), records.where(flag)
+
+
+def merged(regular: DataFrame, large: DataFrame, order: str = "rec") -> DataFrame:
+    """Both parts of `split_by` in one, in order again: parts of the result follow each other, rows are sorted in each."""
+    return regular.unionByName(large).repartitionByRange(order).sortWithinPartitions(order)

@@ -70,6 +70,13 @@ def byte_histogram(spark, d):
     return I.byte_histogram(t(spark, d, "documents"), "text")
 
 
+@query("""WITH d AS (SELECT encode(coalesce(text, '')) AS raw, coalesce(sum(octet_length(encode(coalesce(text, '')))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents),
+b AS (SELECT unnest(regexp_extract_all(hex(raw)[1 : CAST(2 * least(octet_length(raw), 1000001 - before) AS BIGINT)], '..')) AS byte FROM d WHERE before < 1000001), c AS (SELECT byte, count(*) AS n FROM b GROUP BY byte)
+SELECT row_number() OVER (ORDER BY n, byte) AS nth, byte, n, CAST((SELECT sum(n) FROM c) AS BIGINT) AS total, (SELECT count(*) FROM c) AS "distinct" FROM c""")
+def byte_histogram_first(spark, d):
+    return I.ranked_histogram(I.byte_histogram(t(spark, d, "documents"), "text", "doc_id", 1_000_001)).select("nth", "byte", "n", "total", "distinct")
+
+
 @query("SELECT c AS char, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY c")
 def char_histogram(spark, d):
     return I.char_histogram(t(spark, d, "documents"), "text")
@@ -176,11 +183,12 @@ def oversized_split(spark, d):
     return reads(spark, d).groupBy("lang", large.alias("oversized")).agg(F.count("*").alias("n"), F.sum(F.length("seq")).cast("long").alias("bases"))
 
 
-@query("SELECT rec, md5(header || seq || qual) AS md5, length(header) >= 30 OR length(seq) >= 500 OR length(qual) >= 500 AS oversized FROM reads")
+@query("SELECT row_number() OVER (ORDER BY rec) AS nth, rec, md5(header || seq || qual) AS md5, length(header) >= 30 OR length(seq) >= 500 OR length(qual) >= 500 AS oversized FROM reads")
 def oversized_merge(spark, d):
     regular, large = P.split_by(reads(spark, d), C.oversized(F.col("header"), F.col("seq"), F.col("qual"), 30, 500))
-    both = regular.withColumn("oversized", F.lit(False)).unionByName(large.withColumn("oversized", F.lit(True)))
-    return both.select("rec", F.md5(F.concat("header", "seq", "qual").cast("binary")).alias("md5"), "oversized")
+    both = P.merged(regular.withColumn("oversized", F.lit(False)), large.withColumn("oversized", F.lit(True)))
+    slim = both.select("rec", F.md5(F.concat("header", "seq", "qual").cast("binary")).alias("md5"), "oversized")
+    return running_sum(slim, F.lit(1).cast("long"), "nth", ["rec"]).select("nth", "rec", "md5", "oversized")
 
 
 @query("SELECT rec, md5(header || chr(10) || seq || chr(10) || qual) AS md5 FROM reads")
@@ -217,11 +225,11 @@ def first_header(spark, d):
     return reads(spark, d).groupBy("source").agg(F.min_by("header", "rec").alias("header"))
 
 
-@query("""SELECT rec, coalesce(CAST(sum(CASE WHEN tok IS DISTINCT FROM ptok THEN CAST(1 AS BIGINT) << CAST(i - 1 AS BIGINT) ELSE 0 END) AS BIGINT), 0) AS changed FROM (
-  SELECT rec, i, s[i] AS tok, p[i] AS ptok FROM (SELECT rec, s, p, unnest(range(1, least(len(s), 63) + 1)) AS i FROM (
-    SELECT page_id AS rec, regexp_split_to_array(url, '[^0-9A-Za-z]') AS s, lag(regexp_split_to_array(url, '[^0-9A-Za-z]')) OVER (ORDER BY page_id) AS p FROM pages))) GROUP BY rec""")
+@query("""SELECT rec, CAST((i - 1) // 32 AS BIGINT) AS word, CAST(sum(CASE WHEN tok IS DISTINCT FROM ptok THEN CAST(1 AS BIGINT) << CAST((i - 1) % 32 AS BIGINT) ELSE 0 END) AS BIGINT) AS changed FROM (
+  SELECT rec, i, s[i] AS tok, p[i] AS ptok FROM (SELECT rec, s, p, unnest(range(1, len(s) + 1)) AS i FROM (
+    SELECT page_id AS rec, regexp_split_to_array(url, '[^0-9A-Za-z]') AS s, lag(regexp_split_to_array(url, '[^0-9A-Za-z]')) OVER (ORDER BY page_id) AS p FROM pages))) GROUP BY ALL""")
 def token_change_bitmap(spark, d):
-    return H.change_bitmap(_urls(spark, d))
+    return H.change_bitmap(_urls(spark, d)).withColumn("word", F.col("word").cast("long"))
 
 
 TYPED = """WITH h AS (
@@ -263,9 +271,14 @@ def token_literals(spark, d):
     return _types(spark, d).where("kind = 'str'").groupBy(F.col("slot").cast("long").alias("slot")).agg(F.count("*").alias("n"), F.sum(F.octet_length("token")).cast("long").alias("bytes"))
 
 
+@query("SELECT c_custkey AS rec, c_name AS header FROM customer")
+def header_reconstruction_names(spark, d):
+    return H.rebuilt(H.encoded(t(spark, d, "customer").select(F.col("c_custkey").alias("rec"), F.col("c_name").alias("header"))))
+
+
 @query("SELECT page_id AS rec, url AS header FROM pages")
 def header_reconstruction(spark, d):
-    return H.rebuilt(_urls(spark, d))
+    return H.rebuilt(H.encoded(_urls(spark, d)))
 
 
 # ---- bases -----------------------------------------------------------------------------------------------------------
@@ -294,11 +307,10 @@ def unknown_reconcile(spark, d):
 
 @query(BASES + "SELECT rec, pos, base FROM bases WHERE base = 'N' OR q = 0")
 def unknown_restore(spark, d):
-    r = R.reconciled(reads(spark, d))
-    coded = r.withColumn("base", C.imputed(F.col("base")))
-    back = R.restored_bases(coded, r.where("kind = 'Ns'"), r.where("kind = 'Nn'"))
-    odd = r.where("base = 'N' or q = 0").select("rec", "pos")
-    return back.join(odd, ["rec", "pos"]).select("rec", F.col("pos").cast("long").alias("pos"), "base")
+    e = R.exceptions(reads(spark, d))
+    back = R.restored_bases(e)  # codes, qualities and lists of a record are one row: nothing is shuffled
+    odd = F.filter(F.arrays_zip(R.letters(F.col("codes")).alias("base"), "q", F.sequence(F.lit(0), F.size("q") - 1).alias("pos")), lambda x: (x["base"] == "N") | (x["q"] == 0))
+    return back.where(F.size("q") > 0).select("rec", F.explode(odd).alias("x")).select("rec", F.col("x.pos").cast("long").alias("pos"), "x.base")
 
 
 @query(
@@ -338,6 +350,21 @@ def base_context_level1(spark, d):
     return R.base_contexts(reads(spark, d), R.LEVEL_ORDERS[1])
 
 
+@query(_context_sql(11))
+def base_context_level2(spark, d):
+    return R.base_contexts(reads(spark, d), R.LEVEL_ORDERS[2])
+
+
+@query(_context_sql(12))
+def base_context_level3(spark, d):
+    return R.base_contexts(reads(spark, d), R.LEVEL_ORDERS[3])
+
+
+@query(_context_sql(13))
+def base_context_level4(spark, d):
+    return R.base_contexts(reads(spark, d), R.LEVEL_ORDERS[4])
+
+
 # ---- qualities -------------------------------------------------------------------------------------------------------
 QUALS = """, quals AS (
   SELECT *, coalesce(lag(q, 1) OVER w, 0) AS q1, coalesce(lag(q, 2) OVER w, 0) AS q2, coalesce(lag(q, 3) OVER w, 0) AS q3
@@ -371,9 +398,9 @@ def qual_context_l3(spark, d):
 
 @query(QUALS + "SELECT lang, count(*) AS n, count(*) FILTER (q >= 63) AS escaped, CAST(sum(least(q, 63)) AS BIGINT) AS symbols FROM quals GROUP BY lang")
 def qual_escape(spark, d):
-    r = reads(spark, d)
-    q = R.qualities(r).join(r.select("rec", "lang"), "rec")
-    return q.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("q") >= C.ESCAPE).alias("escaped"), F.sum(C.quality_symbol(F.col("q"))).cast("long").alias("symbols"))
+    q = reads(spark, d).select("lang", F.transform(R.letters(F.col("qual")), lambda c: C.quality(c)).alias("q")).where(F.size("q") > 0)
+    escaped, symbols = F.filter("q", lambda x: x >= C.ESCAPE), F.aggregate(F.transform("q", lambda x: C.quality_symbol(x).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return q.groupBy("lang").agg(F.sum(F.size("q")).cast("long").alias("n"), F.sum(F.size(escaped)).cast("long").alias("escaped"), F.sum(symbols).cast("long").alias("symbols"))
 
 
 @query("SELECT rec, length(seq) > length(qual) AS short, CAST(greatest(0, length(seq) - length(qual)) AS BIGINT) AS missing FROM reads")
@@ -389,8 +416,9 @@ def qual_inverse(spark, d):
 
 
 # ---- models ----------------------------------------------------------------------------------------------------------
-def _cost(df):
-    return df.groupBy("ctx").agg(F.count("*").alias("n"), F.round(F.sum("bits"), 3).alias("bits"))
+def _cost(df, model):
+    """Cost of each context of rows (ctx, sym), from their counts."""
+    return M.adaptive_cost(df.groupBy("ctx", "sym").agg(F.count("*").alias("n")), model, ["ctx"]).select("ctx", "n", F.round("bits", 3).alias("bits"))
 
 
 def _adaptive_sql(source: str, ctx: str, sym: str, m: M.Adaptive, order: str) -> str:
@@ -401,16 +429,13 @@ def _adaptive_sql(source: str, ctx: str, sym: str, m: M.Adaptive, order: str) ->
 
 @query(BASES + ", b AS (SELECT rec, pos, translate(base, 'N', '0') AS sym, coalesce(translate(lag(base) OVER (PARTITION BY rec ORDER BY pos), 'N', '0'), '" + R.first_context(1) + "') AS ctx FROM bases)\n" + _adaptive_sql("b", "ctx", "sym", M.BASE, "rec, pos"))
 def adaptive_cost_base(spark, d):
-    r = reads(spark, d).select("rec", R.letters(C.imputed(C.base_codes(F.col("seq")))).alias("a"))
-    b = r.select("rec", "a", F.posexplode("a").alias("pos", "sym"))
-    b = b.select("rec", "pos", "sym", F.coalesce(F.when(F.col("pos") > 0, F.get(F.col("a"), F.col("pos") - 1)), F.lit(R.first_context(1))).alias("ctx"))
-    return _cost(M.adaptive_bits(b, M.BASE, ["rec", "pos"], ["ctx"], "sym", 64))
+    grams = R.base_contexts(reads(spark, d), 1)
+    return M.adaptive_cost(grams, M.BASE, ["ctx"]).select("ctx", "n", F.round("bits", 3).alias("bits"))
 
 
 @query(QUALS + _adaptive_sql("quals", "CAST(q1 AS BIGINT)", "least(q, 63)", M.QUALITY, "rec, pos"))
 def adaptive_cost_qual(spark, d):
-    q = R.qualities(reads(spark, d)).select("rec", "pos", F.col("q1").cast("long").alias("ctx"), C.quality_symbol(F.col("q")).alias("sym"))
-    return _cost(M.adaptive_bits(q, M.QUALITY, ["rec", "pos"], ["ctx"], "sym", 64))
+    return _cost(R.qualities(reads(spark, d)).select(F.col("q1").cast("long").alias("ctx"), C.quality_symbol(F.col("q")).alias("sym")), M.QUALITY)
 
 
 @query(
@@ -419,15 +444,26 @@ def adaptive_cost_qual(spark, d):
 )
 def adaptive_cost_bytes(spark, d):
     e = t(spark, d, "events").select("event_id", F.posexplode(R.letters(F.col("event_type"))).alias("p", "c"))
-    e = e.select("event_id", (F.col("p") + 1).alias("pos"), F.ascii("c").alias("b"), F.least(F.col("p") + 1, F.lit(4)).cast("long").alias("ctx"))
-    return _cost(M.adaptive_bits(e, M.BYTE, ["event_id", "pos"], ["ctx"], "b", 4096))
+    return _cost(e.select(F.least(F.col("p") + 1, F.lit(4)).cast("long").alias("ctx"), F.ascii("c").alias("sym")), M.BYTE)
 
 
 @query()
 def adaptive_cost_halved(spark, d):
-    """Exact halving, so no SQL: tests hold it against a sequential model."""
-    b = reads(spark, d).select("rec", F.posexplode(R.letters(C.imputed(C.base_codes(F.col("seq"))))).alias("pos", "sym")).withColumn("ctx", F.lit("0"))
-    return M.halved_cost(b, M.BASE, ["rec", "pos"], F.floor(F.col("rec") / 64), "ctx", "sym")
+    """Halving depends on the order, so no SQL: tests hold it against a sequential model. One context for each language."""
+    r = reads(spark, d).select("rec", "lang", F.transform(R.letters(C.imputed(C.base_codes(F.col("seq")))), lambda c: c.cast("int")).alias("s"))
+    return M.halved_cost(r, M.BASE, ["rec"], "lang", "s")
+
+
+@query()
+def adaptive_cost_halved_qual(spark, d):
+    r = reads(spark, d).select("rec", "lang", F.transform(R.letters(F.col("qual")), lambda c: C.quality_symbol(C.quality(c)).cast("int")).alias("s"))
+    return M.halved_cost(r, M.QUALITY, ["rec"], "lang", "s")
+
+
+@query()
+def adaptive_cost_halved_bytes(spark, d):
+    r = reads(spark, d).select("rec", "source", F.transform(R.letters(F.col("header")), lambda c: F.ascii(c).bitwiseAND(F.lit(255))).alias("s"))
+    return M.halved_cost(r, M.BYTE, ["rec"], "source", "s")
 
 
 @query("""WITH c AS (SELECT lang, c, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL)

@@ -7,15 +7,17 @@ streams/  sizes of the columns, kept for inspection and checked on reading
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readlake.operators.inspect import stream_sizes
 from readlake.operators.records import inferred
-from readlake.sources.fastq import file_name, read_fastq, write_fastq
+from readlake.sources.fastq import ended, read_fastq, write_files
 
-# Fixed value: the version of this layout.
-VERSION = 1
+# The version of this layout, and names of streams and of info keys that users look for.
+VERSION = 2
 #: Compression levels of levels 1 to 4.
 ZSTD = {1: 1, 2: 3, 3: 6, 4: 12}
 COLUMNS = {"rec": "header", "gen": "seq", "qlt": "qual", "usr.plus": "plus"}
@@ -25,8 +27,11 @@ def _streams(records: DataFrame) -> DataFrame:
     return stream_sizes(records, {name: F.col(c) for name, c in COLUMNS.items()})
 
 
-def write_archive(records: DataFrame, path: str, level: int = 3, overwrite: bool = False) -> None:
-    """Store good records (file, rec, header, seq, plus, qual); an existing archive is an error unless overwrite."""
+def write_archive(records: DataFrame, path: str, level: int = 3, overwrite: bool = False, ended: DataFrame | None = None) -> None:
+    """Store good records (file, rec, header, seq, plus, qual); an existing archive is an error unless overwrite.
+
+    ended: (file, ended), files whose last line has no line feed; all others have one. Info keys name whole paths.
+    """
     level, mode = min(4, max(1, level)), "overwrite" if overwrite else "error"
     plain = F.when(F.col("plus") == "+", "+").when(F.col("plus") == F.concat(F.lit("+"), "header"), "=")
     rows = records.select("file", "rec", "header", "seq", "qual", plain.alias("form"), F.when(plain.isNull(), F.col("plus")).alias("plus"))
@@ -37,9 +42,10 @@ def write_archive(records: DataFrame, path: str, level: int = 3, overwrite: bool
     _streams(stored).coalesce(1).write.mode(mode).parquet(f"{path}/streams")
     shape = inferred(stored.withColumn("plus", F.coalesce("plus", F.when(F.col("form") == "+", F.lit("+")).otherwise(F.concat(F.lit("+"), "header")))), ["file"])
     count = stored.groupBy("file").agg(F.count("*").alias("n"), F.min_by("header", "rec").alias("first"))
-    per_file = shape.join(count, "file").select(
-        F.posexplode(F.array(*[F.struct(F.concat(F.lit(k + ":"), file_name(F.col("file"))).alias("key"), v.cast("string").alias("value")) for k, v in {"rec.first": F.col("first"), "llen": F.col("llen"), "usr.2id": F.col("second_id"), "usr.color": F.col("color_space"), "num_records": F.col("n"), "orig.filename": F.col("file")}.items()])).alias("i", "s")
-    ).select("s.*")
+    ended = (ended if ended is not None else stored.select("file", F.lit(True).alias("ended")).limit(0)).withColumnRenamed("file", "__of")
+    table = shape.join(count, "file").join(ended, F.col("file") == F.col("__of"), "left").withColumn("ended", F.coalesce("ended", F.lit(True)))
+    told = {"rec.first": F.col("first"), "llen": F.col("llen"), "usr.2id": F.col("second_id"), "usr.color": F.col("color_space"), "num_records": F.col("n"), "orig.filename": F.col("file"), "final.newline": F.col("ended")}
+    per_file = table.select(F.explode(F.array(*[F.struct(F.concat(F.lit(k + ":"), F.col("file")).alias("key"), v.cast("string").alias("value")) for k, v in told.items()])).alias("s")).select("s.*")
     general = spark.createDataFrame([("config.level", str(level)), ("version", str(VERSION))], "key string, value string")
     general.unionByName(per_file).coalesce(1).write.mode(mode).parquet(f"{path}/info")
 
@@ -78,13 +84,20 @@ def read_archive(spark: SparkSession, path: str, check: bool = True) -> DataFram
 
 
 def compress(spark: SparkSession, paths: str | list[str], out: str, level: int = 3, overwrite: bool = False, glob: str | None = None, recursive: bool = False) -> None:
-    """FASTQ files to an archive; a bad record is an error."""
-    write_archive(read_fastq(spark, paths, "FAILFAST", glob, recursive), out, level, overwrite)
+    """FASTQ files to an archive; a bad record is an error, a missing line feed at a file's end is kept as it is."""
+    write_archive(read_fastq(spark, paths, "FAILFAST", glob, recursive), out, level, overwrite, ended(spark, paths, glob, recursive))
+
+
+def file_names(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, ended) of an archive's files: names are paths below the folder that holds them all, so no two are the same."""
+    rows = spark.read.parquet(f"{path}/info")
+    of = lambda key: rows.where(F.col("key").startswith(f"{key}:")).select(F.expr(f"substring(key, {len(key) + 2})").alias("file"), "value")
+    files = of("orig.filename").select("file").join(of("final.newline").select("file", (F.col("value") == "true").alias("ended")), "file")
+    low, high = files.agg(F.min("file"), F.max("file")).first()  # what these two begin with, all begin with
+    below = commonprefix([low or "", high or ""]).rpartition("/")[0]
+    return files.select("file", F.expr(f"substring(file, {len(below) + 2})").alias("name"), "ended")
 
 
 def decompress(spark: SparkSession, path: str, out: str, overwrite: bool = False) -> None:
-    """An archive to FASTQ: one folder of part files per original file, named after it."""
-    records = read_archive(spark, path)
-    for row in info(spark, path).where(F.col("key").startswith("orig.filename:")).collect():
-        name = row["value"].rsplit("/", 1)[-1]
-        write_fastq(records.where(F.col("file") == row["value"]), f"{out}/{name}", overwrite)
+    """An archive to FASTQ in one job: the part files below out/file=<name> hold an original file's bytes, in their order."""
+    write_files(read_archive(spark, path), file_names(spark, path), out, overwrite)

@@ -30,6 +30,18 @@ def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
     return raw.join(base, ["file", "split"]).select("file", (F.col("id") + F.col("shift")).alias("ln"), "line")
 
 
+def ended(spark: SparkSession, paths: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(file, ended): whether each file's last line ends with a line feed: whether its lines, each with one, add up to its size.
+
+    The size of what a compressed file holds is not known before it is read, so such files count as ended.
+    """
+    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    raw = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), (F.octet_length("value") + 1).cast("long").alias("n"))
+    return raw.groupBy("file").agg((F.sum("n") != F.max("size") + 1).alias("ended"))
+
+
 def read_fastq(spark: SparkSession, paths: str | list[str], mode: str = "PERMISSIVE", glob: str | None = None, recursive: bool = False) -> DataFrame:
     """(file, rec, header, seq, plus, qual, problem). mode as of Spark's own readers; see records.checked."""
     return checked(parse(read_lines(spark, paths, glob, recursive), ["file"]), mode)
@@ -41,6 +53,29 @@ def fastq_lines(records: DataFrame) -> DataFrame:
     return text.repartitionByRange("file", "rec").sortWithinPartitions("file", "rec").select("value")
 
 
+def write_files(records: DataFrame, names: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Each file's records as text below path/file=<name>, all files in one job: part files by number give the file's bytes.
+
+    names: (file, name, ended). The last record of a file that is not ended by a line feed is a part file of its own, the
+    last one, and ends with its own last byte.
+    """
+    spark = records.sparkSession
+    named = records.join(names.withColumnRenamed("file", "__file"), F.col("file") == F.col("__file")).drop("__file")
+    text = record_text(F.col("header"), F.col("seq"), F.col("plus"), F.col("qual"))
+    last = named.where(~F.col("ended")).groupBy("name").agg(F.max("rec").alias("__last")).withColumnRenamed("name", "__name")
+    odd = (F.col("name") == F.col("__name")) & (F.col("rec") == F.col("__last"))
+    whole = named.join(last, odd, "left_anti").select(F.col("name").alias("file"), "rec", text.alias("value"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = whole.repartitionByRange(parts, "file", "rec").sortWithinPartitions("file", "rec").select("file", "value")
+    ordered.write.mode("overwrite" if overwrite else "error").partitionBy("file").option("lineSep", "\n").text(path)
+    tails = named.join(last, odd, "left_semi").select("name", text.alias("value"))
+    # a writer ends a row with a separator of its choice, so these end with their own last character
+    for (end,) in tails.select(F.expr("right(value, 1)")).distinct().collect():  # characters of quality lines: few
+        rest = tails.where(F.expr("right(value, 1)") == end).select(F.col("name").alias("file"), F.expr("substring(value, 1, length(value) - 1)").alias("value"))
+        placed = rest.repartitionById(parts + 1, F.lit(parts))
+        placed.write.mode("append").partitionBy("file").option("lineSep", end).text(path)
+
+
 def write_fastq(records: DataFrame, path: str, overwrite: bool = False, compression: str = "none") -> None:
     """Part files in record order; an existing path is an error unless overwrite."""
     fastq_lines(records).write.mode("overwrite" if overwrite else "error").option("lineSep", "\n").option("compression", compression).text(path)

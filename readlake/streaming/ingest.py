@@ -8,21 +8,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from readlake.operators.records import parse
 
-LINES = "file string, ln long, line string"
-
-
 def stream_records(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append records of numbered-line Parquet files (file, ln, line) arriving in folder to out.
+    """Append the records of FASTQ files that arrive in folder to out, as (file, rec, header, seq, plus, qual, problem).
 
-    A file's records must arrive in one micro-batch, as they do where a file is written whole. A batch that is tried again
-    writes its own folder anew, so each record is kept once.
+    A file is taken whole, so it must be under 2 GB and be moved into the folder when it is complete; compressed files do.
+    Every file's records are numbered from 0. A batch that is tried again writes its own folder anew, so each record is
+    kept once. An empty file has no record.
     """
-    lines = spark.readStream.schema(LINES).parquet(folder)
+    files = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def append(batch: DataFrame, number: int) -> None:
-        parse(batch, ["file"]).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        body = F.when(F.col("value").endswith("\n"), F.expr("substring(value, 1, length(value) - 1)")).otherwise(F.col("value"))
+        lines = batch.where("value <> ''").select("file", F.posexplode(F.split(body, "\n", -1)).alias("ln", "line"))
+        parse(lines, ["file"]).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

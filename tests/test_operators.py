@@ -102,22 +102,82 @@ def sequential_bits(symbols, ctxs, model):
 
 
 @pytest.mark.parametrize("model", [M.BASE, M.QUALITY, M.BYTE])
-def test_adaptive_bits(spark, model):
+def test_adaptive_cost_from_counts(spark, model):
     rnd = random.Random(1)
-    rows = [(i // 20, i % 20, rnd.randrange(2), min(rnd.randrange(model.symbols), rnd.randrange(model.symbols))) for i in range(600)]
-    df = spark.createDataFrame(rows, "rec long, pos int, ctx int, sym int").repartition(5)
-    got = {(r.rec, r.pos): r.bits for r in M.adaptive_bits(df, model, ["rec", "pos"], ["ctx"], "sym", 7).collect()}
-    want = sequential_bits([r[3] for r in rows], [r[2] for r in rows], model)
-    assert np.allclose([got[r[0], r[1]] for r in rows], want)
-
-
-def test_halving_keeps_every_symbol():
+    rows = [(rnd.randrange(3), min(rnd.randrange(model.symbols), rnd.randrange(model.symbols))) for _ in range(3000)] + [(9, 0)] * 1500
+    counts = spark.createDataFrame(rows, "ctx int, sym int").repartition(5).groupBy("ctx", "sym").count()
+    got = {r.ctx: (r.n, r.bits) for r in M.adaptive_cost(counts, model, ["ctx"], "count").collect()}
+    bits = sequential_bits([r[1] for r in rows], [r[0] for r in rows], model)
+    for c in {r[0] for r in rows}:
+        want = sum(b for b, r in zip(bits, rows, strict=True) if r[0] == c)
+        assert got[c][0] == sum(r[0] == c for r in rows) and got[c][1] == pytest.approx(want, abs=1e-6)
+
+
+def plain_halving(symbols, model):
+    """The rules symbol by symbol: [what a symbol has beyond 1], halved, left alone when saturated; bases keep their low bit."""
+    if model is M.BASE:
+        f, bits = [3] * 4, 0.0
+        for s in symbols:
+            bits += np.log2(sum(f) / f[s])
+            if f[s] == 255:
+                f = [(x & ~1) // 2 | (x & 1) for x in f]
+            f[s] += 1
+        return bits
+    most, saturated = (65466, 20) if model is M.QUALITY else (32722, 256)
+    f, bits = [0] * model.symbols, 0.0
+    for s in symbols:
+        bits += np.log2((sum(f) + model.symbols) / (f[s] + 1))
+        if f[s] > most:
+            if f[s] + saturated > sum(f):
+                continue
+            f = [x // 2 for x in f]
+        f[s] += model.step
+    return bits
+
+
+@pytest.mark.parametrize("model,n", [(M.BASE, 6000), (M.QUALITY, 60_000), (M.BYTE, 20_000)])
+@pytest.mark.parametrize("kind", ["skewed", "one", "mixed"])
+def test_halving_against_plain_loop(spark, model, n, kind):
     rnd = np.random.default_rng(0)
-    s = rnd.choice(4, 5000, p=[0.9, 0.05, 0.04, 0.01])
-    bits = M.halved_bits(s, M.BASE)
-    free = np.array(sequential_bits(s, [0] * len(s), M.BASE))
-    first = np.flatnonzero(np.cumsum(s == 0) == 253)[0]
-    assert np.allclose(bits[: first + 1], free[: first + 1]) and np.isfinite(bits).all() and not np.allclose(bits, free)
+    p = np.r_[0.9, np.full(model.symbols - 1, 0.1 / (model.symbols - 1))]
+    s = {"skewed": rnd.choice(model.symbols, n, p=p), "one": np.full(n, 2), "mixed": np.r_[np.full(n // 2, 1), rnd.integers(0, 4, n // 2), np.full(n // 4, 1)]}[kind].astype(np.int64)
+    want = plain_halving(s.tolist(), model)
+    assert M.Halving(model).bits(s) == pytest.approx(want)
+    cut = np.sort(rnd.integers(0, len(s), 20))  # as rows of one context in several batches
+    rows = [(i, "a", part.tolist()) for i, part in enumerate(np.split(s, cut))] + [(i, None, [1, 0]) for i in range(3)]
+    got = {r.ctx: (r.n, r.bits) for r in M.halved_cost(spark.createDataFrame(rows, "rec long, ctx string, s array<int>").repartition(3), model, ["rec"], "ctx", "s").collect()}
+    assert got["a"] == (len(s), pytest.approx(want)) and got[None] == (6, pytest.approx(plain_halving([1, 0] * 3, model)))
+
+
+def test_headers_are_rebuilt_from_what_is_kept(spark):
+    rnd = random.Random(5)
+    rows, n = [], 0
+    for i in range(400):
+        n += rnd.choice([0, 1, 1, 7, -3])
+        token = rnd.choice([f"{abs(n)}", f"0{abs(n) + 1}", f"{abs(n):x}", f"{abs(n):X}", "00", "x9", "", f"{abs(n)}a", "FF", "aB", "1234567890123456789", "0"])
+        rows.append((i, rnd.choice([None, ""]) if i % 97 == 5 else f"run.{i // 3}:{token}{rnd.choice('::::-')}{abs(n)}/{i % 2}" + ":q" * (70 if i % 150 < 20 else 0)))
+    df = spark.createDataFrame(rows, "rec long, header string").repartition(4)
+    for block in (1 << 16, 60):
+        kept = H.encoded(df, block=block)
+        assert kept.where("header is null and changed is not null").count() > 100
+        assert {r.rec: r.header for r in H.rebuilt(kept, block=block).collect()} == dict(rows)
+    words = {(r.rec, r.word): r.changed for r in H.change_bitmap(spark.createDataFrame([(0, ":" * 40), (1, ":" * 39 + "b:")], "rec long, header string")).collect()}
+    assert words == {(0, 0): (1 << 32) - 1, (0, 1): (1 << 9) - 1, (1, 0): 0, (1, 1): 1 << 7}
+
+
+def test_bases_are_restored(spark):
+    rows = [(1, "NACGNN", "!I!I!~"), (2, "", ""), (3, "ACNT", "!"), (4, "N" * 50, "!" * 30), (5, "acgt", "IIII")]
+    df = spark.createDataFrame(rows, "rec long, seq string, qual string")
+    got = {r.rec: r.codes for r in R.restored_bases(R.exceptions(df)).collect()}
+    assert got == {i: "".join({"A": "0", "C": "1", "G": "2", "T": "3"}.get(c.upper(), "N") for c in s) for i, s, _ in rows}
+
+
+def test_merged_in_order(spark):
+    from readlake.operators import records as P
+
+    df = spark.createDataFrame([(i * 7 % 200, i) for i in range(200)], "rec long, v int")
+    regular, large = P.split_by(df, F.col("v") % 3 == 0)
+    assert [r.rec for r in P.merged(regular, large).collect()] == list(range(200))
 
 
 def test_quality_contexts_of_level_three(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from readlake.operators.inspect import file_sizes
 from readlake.sources import archive as A
 from readlake.sources import fastq as Q
-from readlake.streaming.ingest import stream_records
+from readlake.streaming.ingest import stream_profile, stream_records
 
 ODD = "@h 1\nACGTN\n+\n!!II~\n@h 1\n\n+other text\n\n@x:\xe9 0123\nacgt.\n+x:\xe9 0123\n@@@@@\n@last\r\nTTTT\n+last\r\nIIII\n"
 
@@ -32,8 +32,8 @@ def files(tmp_path):
     return d, texts
 
 
-def back(spark, path):
-    return "".join(r.value + "\n" for r in spark.read.option("lineSep", "\n").text(str(path)).collect())
+def back(path):
+    return b"".join(p.read_bytes() for p in sorted(path.glob("part-*"), key=lambda p: p.name.split("-")[1]))
 
 
 @pytest.mark.parametrize("split", ["128m", "1k"])
@@ -57,9 +57,10 @@ def test_round_trip(spark, files, tmp_path):
         A.compress(spark, str(d), arc, level, recursive=True)
         A.decompress(spark, arc, str(out))
         for name, text in texts.items():
-            assert back(spark, out / name.rsplit("/", 1)[-1]) == text
+            assert back(out / f"file={name.replace('/', '%2F')}") == text.encode()
     kept = {r.key: r.value for r in A.info(spark, arc).collect()}
-    assert kept["config.level"] == "4" and kept["num_records:a.fq"] == "700" and kept["rec.first:b.fastq"] == "h 1"
+    of = lambda key, name: next(v for k, v in kept.items() if k.startswith(f"{key}:") and k.endswith(f"{d}/{name}"))
+    assert kept["config.level"] == "4" and of("num_records", "a.fq") == "700" and of("rec.first", "b.fastq") == "h 1"
     assert {r.stream for r in A.streams(spark, arc).collect()} == {"rec", "gen", "qlt", "usr.plus"}
     assert A.stream(spark, arc, "usr.plus").count() == 1 and A.stream(spark, arc, "none").count() == 0
     with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
@@ -68,6 +69,19 @@ def test_round_trip(spark, files, tmp_path):
     assert A.read_archive(spark, arc).count() == 700
 
 
+def test_every_byte_comes_back(spark, tmp_path):
+    """Files of one name, without a final line feed, and with bytes that are no UTF-8."""
+    cases = {"x/r.fq": b"@a\nAC\n+\nII", "y/r.fq": b"@b\nAC\n+\nI~\n@c\nGG\n+c\nIJ", "z/r.fq": b"@\xff\xfe\nAC\n+\nII\n", "r.fq": make(300, 7).encode()[:-1], "one.fq": b"@a\nA\n+\nI"}
+    for name, body in cases.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(body)
+    A.compress(spark, str(tmp_path / "in"), str(tmp_path / "arc"), recursive=True)
+    A.decompress(spark, str(tmp_path / "arc"), str(tmp_path / "out"))
+    for name, body in cases.items():
+        assert back(tmp_path / "out" / f"file={name.replace('/', '%2F')}") == body
+    assert len(list((tmp_path / "out").glob("file=*"))) == len(cases)
+
+
 def test_verify(spark, files, tmp_path):
     d, _ = files
     arc = str(tmp_path / "arc")
@@ -108,11 +122,31 @@ def test_small_files(spark, tmp_path):
 
 def test_stream(spark, files, tmp_path):
     d, texts = files
-    lines = str(tmp_path / "lines")
-    out, mark = str(tmp_path / "table"), str(tmp_path / "mark")
+    drop, out, mark = tmp_path / "drop", str(tmp_path / "table"), str(tmp_path / "mark")
+    drop.mkdir()
     for name in ("a.fq", "b.fastq"):
-        Q.read_lines(spark, str(d / name)).coalesce(1).write.mode("append").parquet(lines)
-        stream_records(spark, lines, out, mark).awaitTermination(120)
+        (drop / name).write_bytes((d / name).read_bytes())
+        stream_records(spark, str(drop), out, mark).awaitTermination(120)
+    (drop / "none.fq").write_text("")
+    stream_records(spark, str(drop), out, mark).awaitTermination(120)
     rows = spark.read.parquet(out)
-    assert rows.where(F.col("problem").isNotNull()).count() == 0
-    assert rows.count() == 704 and rows.select("file", "rec").distinct().count() == 704
+    want = Q.read_fastq(spark, [str(d / "a.fq"), str(d / "b.fastq")])
+    plain = lambda df: sorted(tuple(r) for r in df.select(F.element_at(F.split("file", "/"), -1), "rec", "header", "seq", "plus", "qual", "problem").collect())
+    assert plain(rows) == plain(want) and rows.count() == 704
+
+
+def test_stream_profile(spark, tmp_path):
+    import datetime as dt
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=7 * i), i % 5, "ab"[i % 2], float(i), "") for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events"))
+    q = stream_profile(spark, str(tmp_path / "events")).writeStream.format("memory").queryName("profile").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.window.start, r.event_type): (r.n, r.total) for r in spark.table("profile").collect()}
+    want = {}
+    for _, ts, _, kind, value, _ in rows:
+        key = (ts.replace(minute=0), kind)
+        n, total = want.get(key, (0, 0.0))
+        want[key] = (n + 1, total + value)
+    assert got == want
