@@ -14,6 +14,7 @@ index row, its block and the dictionary, so a short document costs one block rea
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,37 +25,45 @@ from pyspark.sql import functions as F
 from readlake.llm import tokens
 from readlake.llm.common import hinted, scratch_path, written
 
-#: The dictionary: documents sampled for it at most, their length in code points at most, its size in bytes.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2_000, 16_384, 64 << 10
+#: The dictionary: documents sampled for it at most, ids of one that take part at most, its size in bytes.
+SAMPLE_DOCS, FRAGMENT, DICT_BYTES = 2_000, 4_096, 64 << 10
 #: Payload bytes after which a block is closed.
 BLOCK_BYTES = 4 << 20
+#: Tokens of a range of ids that one task puts in order, about.
+PART_TOKENS = 64 << 20
 LEVEL = 3
 #: Blocks up to which a selective read names its blocks to the scan.
 SEEKS = 256
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
-    """Trained on the ids of a bounded sample: the SAMPLE_DOCS documents of 1 to SAMPLE_CHARS characters with the least id hash.
+    """Trained on the ids of a bounded sample: the SAMPLE_DOCS documents with the least id and text hash, of any length.
 
-    Too few documents to train on give an empty dictionary, which means none.
+    Of a longer document FRAGMENT ids from a place that its hash tells take part. Too few documents to train on give an
+    empty dictionary, which means none, and a warning.
     """
-    fit = docs.where(F.length("text").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("doc_id", "text"))
+    fit = docs.where(F.length("text") > 0).withColumn("h", F.xxhash64("doc_id", "text"))
     most = fit.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    sample = fit.where(F.col("h") <= F.lit(most)).dropDuplicates(["h"]).select("doc_id", "text")
-    ids = [x.ids for x in sample.mapInArrow(lambda it: _encode(it, tokenizer, end_id), "doc_id long, ids binary").select("ids").toLocalIterator()]
-    if len(ids) < 8:
-        return b""
+    sample = fit.where(F.col("h") <= F.lit(most)).dropDuplicates(["h"]).select("h", "text")
+    ids = [bytes(x.ids) for x in sample.mapInArrow(lambda it: _fragments(it, tokenizer, end_id), "ids binary").toLocalIterator()]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, [bytes(x) for x in ids], level=LEVEL).as_bytes()
+        if len(ids) >= 8:
+            return zstandard.train_dictionary(DICT_BYTES, ids, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        pass
+    warnings.warn(f"{len(ids)} documents are too few to train a dictionary on: frames are compressed without one", stacklevel=2)
+    return b""
 
 
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _fragments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc, end = tokens.encoder(tokenizer), end_id.to_bytes(4, "little")
     for batch in batches:
-        ids = [enc.encode(x.as_py()) + end for x in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        out = []
+        for h, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            ids = enc.encode(text.as_py()) + end
+            start = 4 * (h % max(1, len(ids) // 4 - FRAGMENT + 1))
+            out.append(ids[start : start + 4 * FRAGMENT])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
 
 def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -112,7 +121,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str =
     spark, digest = docs.sparkSession, dict_hash(content)
     spark.createDataFrame([(digest, bytearray(content))], "hash string, content binary").coalesce(1).write.parquet(f"{out}/dictionary")
     framed = written(slim.mapInArrow(lambda it: _frames(it, tokenizer, end_id, content), "doc_id long, n_tokens long, frame binary"), "frames")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = framed.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_TOKENS))
     ordered = framed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     schema = "part int, nth int, payload binary, ids array<long>, sizes array<long>, counts array<long>"
     ordered.mapInArrow(_pack, schema).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
