@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readlake.functions.columns import DEFAULT_QUALITY, base_codes, imputed, quality
+from readlake.functions.columns import DEFAULT_QUALITY, QUALITY_ZERO, base_codes, imputed, quality
 from readlake.operators.inspect import windows
 from readlake.operators.ordered import running_sum
 
@@ -97,3 +101,28 @@ def quality_contexts(df: DataFrame, level: int, qual: str = "qual", order: str =
     ctx = F.col("q1").bitwiseOR(F.shiftleft(F.greatest("q2", "q3"), 6)).bitwiseOR(F.shiftleft((F.col("q2") == F.col("q3")).cast("int"), 12)).bitwiseOR(F.shiftleft(steps, 13))
     return j.select(order, "pos", F.when(F.col("pos") == 0, 0).otherwise(ctx.bitwiseAND(F.lit(0xFFFF))).alias("ctx"), "q")
 
+
+def quality_context_counts(df: DataFrame, qual: str = "qual") -> DataFrame:
+    """(ctx, q, n): how often each quality occurs in each context of levels 3 and 4.
+
+    How far qualities have fallen is a running sum along one record, so a record's contexts are made where it is read and
+    only counts are shuffled. Null and empty lines have none.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [np.frombuffer(x.encode("utf-32-le"), "<u4").astype(np.int64) - QUALITY_ZERO for x in batch.column(0).to_pylist() if x]
+            found = [np.zeros(0, np.int64)]
+            for q in lines:
+                back = np.concatenate(([0, 0, 0], q))
+                q1, q2, q3 = back[2:-1], back[1:-2], back[:-3]
+                fall = np.maximum(q1 - q, 0)
+                fall[0] = 0
+                steps = np.minimum(7, np.cumsum(fall) - fall + 5 >> 3)
+                ctx = (q1 | np.maximum(q2, q3) << 6 | (q2 == q3).astype(np.int64) << 12 | steps << 13) & 0xFFFF
+                ctx[0] = 0
+                found.append(ctx << 32 | q)
+            key, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n.astype(np.int64))], ["ctx", "q", "n"])
+
+    return df.select(qual).mapInArrow(count, "ctx long, q long, n long").groupBy("ctx", "q").agg(F.sum("n").alias("n"))

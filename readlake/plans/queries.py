@@ -393,7 +393,7 @@ def qual_context_l2(spark, d):
 FROM (SELECT *, CAST(coalesce(sum(CASE WHEN pos > 1 THEN greatest(0, q1 - q) ELSE 0 END) OVER (PARTITION BY rec ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS fallen FROM quals) GROUP BY ALL"""
 )
 def qual_context_l3(spark, d):
-    return _contexts(spark, d, 3)
+    return R.quality_context_counts(reads(spark, d))
 
 
 @query(QUALS + "SELECT lang, count(*) AS n, count(*) FILTER (q >= 63) AS escaped, CAST(sum(least(q, 63)) AS BIGINT) AS symbols FROM quals GROUP BY lang")

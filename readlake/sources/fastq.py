@@ -82,9 +82,13 @@ def write_fastq(records: DataFrame, path: str, overwrite: bool = False, compress
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, ln, seq): sequence lines of FASTA files, upper case, without unknown bases; header lines are left out."""
+    """(file, ln, seq, illegal): sequence lines of FASTA files, upper case, without unknown bases; header lines are left out.
+
+    illegal: the line holds something else than the four bases.
+    """
     lines = read_lines(spark, paths).where(~F.col("line").startswith(">"))
-    return lines.select("file", "ln", F.regexp_replace(F.upper("line"), "[N\\s]", "").alias("seq")).where("seq <> ''")
+    seq = lines.select("file", "ln", F.regexp_replace(F.upper("line"), "[N\\s]", "").alias("seq")).where("seq <> ''")
+    return seq.withColumn("illegal", F.col("seq").rlike("[^ACGT]"))
 
 
 def sniffed(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -184,6 +184,12 @@ def test_quality_contexts_of_level_three(spark):
     rnd = random.Random(7)
     rows = [(i, "".join(chr(33 + rnd.randrange(64)) for _ in range(rnd.randrange(60)))) for i in range(40)]
     got = {(r.rec, r.pos): r.ctx for r in R.quality_contexts(spark.createDataFrame(rows, "rec long, qual string"), 3).collect()}
+    counted = {(r.ctx, r.q): r.n for r in R.quality_context_counts(spark.createDataFrame([*rows, (99, None)], "rec long, qual string")).collect()}
+    want = {}
+    for (rec, pos), ctx in got.items():
+        key = ctx, ord(dict(rows)[rec][pos]) - 33
+        want[key] = want.get(key, 0) + 1
+    assert counted == want
     for rec, q in rows:
         p1 = p2 = ctx = 0
         fall = 5

@@ -109,8 +109,8 @@ def test_bad_records_and_modes(spark, tmp_path):
 
 def test_small_files(spark, tmp_path):
     (tmp_path / "fa").mkdir()
-    (tmp_path / "fa/x.fa").write_text(">one\nACGNT\nnn\n>two\nGG\n")
-    assert [r.seq for r in Q.read_fasta(spark, str(tmp_path / "fa/x.fa")).orderBy("ln").collect()] == ["ACGT", "GG"]
+    (tmp_path / "fa/x.fa").write_text(">one\nACGNT\nnn\n>two\nGG\nA*C\n")
+    assert [(r.seq, r.illegal) for r in Q.read_fasta(spark, str(tmp_path / "fa/x.fa")).orderBy("ln").collect()] == [("ACGT", False), ("GG", False), ("A*C", True)]
     (tmp_path / "fa/y.fq").write_text("@a\nA\n+\nI\n")
     kinds = {r.file.rsplit("/", 1)[-1]: r.kind for r in Q.sniffed(spark, str(tmp_path / "fa")).collect()}
     assert kinds == {"x.fa": "other", "y.fq": "fastq"}
