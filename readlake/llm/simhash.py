@@ -17,7 +17,7 @@ from readlake.llm.common import free_name, hinted, written
 BITS = 64
 LANES = 0x0000000100000001
 #: Quantiles of the id that carry the order's buckets, rows of a bucket, and buckets at most.
-KNOTS, BUCKET_ROWS, MOST_BUCKETS = 64, 2_000, 16_384
+KNOTS, BUCKET_ROWS, MOST_BUCKETS = 64, 2_000, 1 << 20
 
 
 def terms(text: Column) -> Column:
@@ -137,14 +137,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     bucket's first row (ghost), so each next text is found within its bucket. No rows: none.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bucket, _ = _bucket(slim, slim.count(), "id")
+    bucket, buckets = _bucket(slim, slim.count(), "id")
     placed = slim.select(bucket.alias("bucket"), "id", "text", F.lit(0).alias("ghost"))
     # the first row of each bucket, and the non-empty bucket before it: as many rows as buckets
     firsts = placed.groupBy("bucket").agg(F.min(F.struct(F.coalesce(F.col("id"), F.lit(-(1 << 63))).alias("i"), F.xxhash64("text").alias("h"))).alias("f"))
     order = Window.orderBy("bucket")
     back = firsts.select("bucket", "f", F.lag("bucket").over(order).alias("before"), F.max("bucket").over(Window.partitionBy(F.lit(0))).alias("last"))
     back = back.select(F.col("bucket").alias("of"), "f", F.coalesce("before", "last").alias("to"))
-    ghosts = placed.join(F.broadcast(back), (F.col("bucket") == F.col("of")) & (F.coalesce(F.col("id"), F.lit(-(1 << 63))) == F.col("f.i")) & (F.xxhash64("text") == F.col("f.h")))
+    ghosts = placed.join(hinted(back, buckets), (F.col("bucket") == F.col("of")) & (F.coalesce(F.col("id"), F.lit(-(1 << 63))) == F.col("f.i")) & (F.xxhash64("text") == F.col("f.h")))
     ghosts = ghosts.select(F.col("to").alias("bucket"), "id", "text", F.lit(1).alias("ghost"))
     w = Window.partitionBy("bucket").orderBy("ghost", F.col("id").asc_nulls_first(), F.xxhash64("text"))
     return placed.unionByName(ghosts).select("bucket", F.row_number().over(w).alias("rn"), "ghost", "id", "text", F.lead("text").over(w).alias("next_text"))
