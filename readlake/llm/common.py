@@ -21,7 +21,7 @@ BROADCAST_ROWS = 200_000
 
 
 #: Rows that go to a Python worker at once where the session keeps Spark's own figure: texts may be long.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,8 +21,8 @@ from readlake.llm import tokens
 from readlake.llm.common import hinted, written
 
 LENGTH = 4096
-#: Tokens that a turn serves, and turns of a span.
-QUANTUM, SPAN_TURNS = 512, 1 << 14
+#: Tokens that a turn serves, turns of a span, and share of the tokenizer's entries that a worker keeps.
+QUANTUM, SPAN_TURNS, ROOM = 512, 1 << 14, 0.4
 
 
 @dataclass
@@ -142,7 +142,7 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
     """Ids of every document, its task, and the tokens of its source that the task has seen before it."""
     from pyspark import TaskContext
 
-    enc, end, part = tokens.encoder(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+    enc, end, part = tokens.encoder(tokenizer, ROOM), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
     seen: dict[str | None, int] = {}
     for batch in batches:
         ids = [enc.encode(x.as_py()) + end for x in batch.column(1).cast(pa.binary())]

@@ -10,6 +10,7 @@ out a spanning forest of its links, never all pairs; distributed components join
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -311,6 +312,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 BANDS, ROWS = 28, 5
 #: Differing bits up to which a pair's sets are compared: at similarity 0.8 the bits differ by 9.7 with a deviation of 2.9.
 WIDE = 22
+#: Rounds in which members are compared with one of their bucket, before those left apart are compared with each other.
+ROUNDS = 3
 #: Shingles that are permuted at once.
 PERMUTED = 2048
 
@@ -396,92 +399,154 @@ def _near_first(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.R
         yield batch.select(["u", "v"]).take(pa.array(order[w[row] * 64 + lane]))
 
 
-def _open_pairs(batches: Iterator[pa.RecordBatch], radius: int, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, fp, node, n, root), sorted by the first four: pairs of each unit within the radius, of different roots and like sizes."""
-    held: list[np.ndarray] = []
-
-    def close(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2 or (rows[:, 7] == rows[0, 7]).all():
-            return
-        if rows[0, 1] != rows[0, 2]:
-            a, b = rows[rows[:, 3] == 0], rows[rows[:, 3] == 1]
-            if not len(a) or not len(b):
-                return
-            first = len(a) + (-len(a) % 64)
-            rows = np.concatenate([a, np.repeat(a[-1:], first - len(a), axis=0), b])
-        else:
-            first = 0
-        for x, y in close_pairs([(rows[:, 4].view(np.uint64), first)], list(range(BITS)), radius):
-            small, large = np.minimum(rows[x, 6], rows[y, 6]), np.maximum(rows[x, 6], rows[y, 6])
-            keep = (rows[x, 7] != rows[y, 7]) & (small * least[1] >= large * least[0])
-            u, v = rows[x[keep], 5], rows[y[keep], 5]
-            if len(u):
-                pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["u", "v"])
-
+def _units(batches: Iterator[pa.RecordBatch], with_sets: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Rows (key, i, j, side, fp, node, n, root, keys[, shingles]), sorted by the first four, unit by unit: numbers, keys, sets."""
+    held: list[tuple] = []
     for batch in batches:
         rows = np.column_stack([np.asarray(batch.column(k).cast(pa.int64())) for k in range(8)])
+        keys = np.asarray(batch.column(8).flatten()).reshape(len(rows), -1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(9)] if with_sets else []
         if held:
-            rows = np.concatenate([*held, rows])
-            held.clear()
-        cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-        parts = np.split(rows, cut)
-        for part in parts[:-1]:
-            yield from close(part)
-        held.append(parts[-1].copy())
+            rows, keys, sets = np.concatenate([held[0], rows]), np.concatenate([held[1], keys]), held[2] + sets
+        cut = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1).tolist(), len(rows)]
+        for a, b in zip(cut[:-2], cut[1:-1], strict=True):
+            yield rows[a:b], keys[a:b], sets[a:b]
+        held = [rows[cut[-2] :].copy(), keys[cut[-2] :].copy(), sets[cut[-2] :]]
     if held:
-        yield from close(np.concatenate(held))
+        yield tuple(held)
+
+
+def _open_pairs(rows: np.ndarray, keys: np.ndarray, radius: int, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a unit's rows within the radius, of different roots and like sizes; a pair of nodes only in the first band that they share."""
+    if len(rows) < 2 or (rows[:, 7] == rows[0, 7]).all():
+        return
+    place, first = np.arange(len(rows)), 0
+    if rows[0, 1] != rows[0, 2]:
+        a, b = np.flatnonzero(rows[:, 3] == 0), np.flatnonzero(rows[:, 3] == 1)
+        if not len(a) or not len(b):
+            return
+        first = len(a) + (-len(a) % 64)
+        place = np.concatenate([a, np.repeat(a[-1:], first - len(a)), b])
+    for x, y in close_pairs([(rows[place, 4].view(np.uint64), first)], list(range(BITS)), radius):
+        x, y = place[x], place[y]
+        small, large = np.minimum(rows[x, 6], rows[y, 6]), np.maximum(rows[x, 6], rows[y, 6])
+        keep = (rows[x, 7] != rows[y, 7]) & (small * least[1] >= large * least[0])
+        x, y = x[keep], y[keep]
+        band = np.argmax(keys[x] == keys[y], axis=1)
+        keep = keys[x, band] == rows[x, 0]
+        yield x[keep], y[keep]
+
+
+def _marked(batches: Iterator[pa.RecordBatch], radius: int, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(key, node): members of units that have a pair there."""
+    for rows, keys, _ in _units(batches, False):
+        mark = np.zeros(len(rows), bool)
+        for x, y in _open_pairs(rows, keys, radius, least):
+            mark[x] = mark[y] = True
+        if mark.any():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[mark, 0]), pa.array(rows[mark, 5])], ["key", "node"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], radius: int, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """(u, v): links of each unit's pairs that connect all that are so linked; whole sets decide."""
+    for rows, keys, sets in _units(batches, True):
+        label: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while (up := label.get(r, r)) != r:  # noqa: B023
+                label[r] = label.get(up, up)  # noqa: B023
+                r = up
+            return r
+
+        found = []
+        for xs, ys in _open_pairs(rows, keys, radius, least):
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                a, b = top(int(rows[x, 7])), top(int(rows[y, 7]))
+                if a != b and similar(sets[x], sets[y], least):
+                    label[max(a, b)] = min(a, b)
+                    found.append((rows[x, 5], rows[y, 5]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: tuple[int, int]) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least the fraction."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both * least[1] >= (len(x) + len(y) - both) * least[0]
 
 
 def _alike(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    of = lambda x: np.frombuffer(x.as_buffer(), np.uint64)
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both * least[1] >= (len(x) + len(y) - both) * least[0])
+        keep = [similar(of(a), of(b), least) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def similar_links(texts: DataFrame, sets: DataFrame, least: tuple[int, int] = (4, 5), shingle: int = 5, radius: int = WIDE) -> DataFrame:
     """(u, v): enough pairs of nodes whose sets' Jaccard similarity is at least the fraction to connect all candidates so linked.
 
-    texts: (id, th, text), th a hash of the text; sets: what `_sets` makes of them. Nodes that share a band are a bucket.
-    Every member is compared with the least of its bucket; after that only members that these links leave in different
-    components are compared with each other, so a large cluster of near copies costs one comparison a member.
-    Fingerprints within the radius make a pair, whose whole sets decide.
+    texts: (id, th, text), th a hash of the text; sets: what `_sets` makes of them. Nodes that share a band are a bucket. In
+    a few rounds every member is compared with one member of its bucket, another one each round; what that links is one
+    component, so a large cluster of near copies costs a few comparisons a member. After that only members of a bucket
+    that are still in different components are compared with each other, in the task that has their sets. Fingerprints
+    within the radius make a pair, whose whole sets decide.
     """
     nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min("th").alias("th"))
     keyed = written(nodes.select("node", "th", "n", "fp", F.explode("keys").alias("key")), "bands")
-    firsts = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "fp")).alias("first")).where("size > 1")
-    members = written(keyed.join(firsts, "key"), "buckets")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = written(keyed.join(shared, "key"), "buckets")
     discard(keyed)
-    near = F.least("n", "first.n") * least[1] >= F.greatest("n", "first.n") * least[0]
-    stars = members.where("node <> first.node").where(near).select(F.col("first.node").alias("u"), F.col("node").alias("v"), F.col("first.fp").alias("u_fp"), F.col("fp").alias("v_fp")).distinct()
-    stars = written(stars.mapInArrow(lambda it: _near_first(it, radius), "u long, v long"), "stars")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        asked = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(members.select("node", "th").distinct(), "node"), "asked")
-        rows = texts.join(hinted(asked.withColumnRenamed("th", "of"), asked.count()), F.col("th") == F.col("of")).select("node", "text").dropDuplicates(["node"])
-        whole = written(rows.mapInArrow(lambda it: _shingles(it, shingle), "node long, shingles binary"), "asked-sets")
+    like = lambda a, b: F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
+    both = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """(node, shingles) of a written table of distinct nodes."""
+        asked_th = written(asked.join(members.select("node", F.col("th").alias("of")).distinct(), "node"), "asked")
+        rows = texts.join(hinted(asked_th, asked_th.count()), F.col("th") == F.col("of")).select("node", "text").dropDuplicates(["node"])
+        return written(rows.mapInArrow(lambda it: _shingles(it, shingle), "node long, shingles binary"), "asked-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        whole = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         a, b = (whole.select(F.col("node").alias(c), F.col("shingles").alias(c + "_set")) for c in "uv")
-        out = written(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set").mapInArrow(lambda it: _alike(it, least), "u long, v long"), name)
-        discard(asked, whole)
+        out = written(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set").mapInArrow(lambda it: _alike(it, least), "u long, v long"), "links")
+        discard(whole)
         return out
 
-    first = verified(stars, "star-links")
-    found = components(first).select(F.col("node").alias("of"), "root")
-    rooted = members.join(found, F.col("node") == F.col("of"), "left").select("key", "node", "n", "fp", F.coalesce("root", "node").alias("root"), F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = rooted.join(mixed, "key").withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
-    unit = open_.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    unit = unit.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "fp", "node", "n", "root")
-    dealt = unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    rest = dealt.mapInArrow(lambda it: _open_pairs(it, radius, least), "u long, v long").distinct()
-    rest = written(rest.join(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"), "rest")
-    out = first.unionByName(verified(rest, "rest-links"))
-    discard(members, stars, rest)
-    return out
+    def dealt(rows: DataFrame, tile: int, *more: str) -> DataFrame:
+        """Members of buckets (with size), in units of two tiles at most."""
+        tiled = rows.withColumn("tiles", F.ceil(F.col("size") / tile).cast("int")).withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) as int)"))
+        unit = tiled.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+        unit = unit.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"), "fp", "node", "n", "root", *more)
+        return unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    # buckets whose members are not all in one component
+    open_, tested, found = members.withColumn("root", F.col("node")), [], []
+    for turn in range(ROUNDS):
+        chosen = F.min_by(F.struct("node", "n", "fp", "root"), F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn)))
+        met = open_.join(open_.groupBy("key").agg(chosen.alias("first")), "key").where("root <> first.root").where(like("n", "first.n"))
+        met = met.select(F.col("first.node").alias("u"), F.col("node").alias("v"), F.col("first.fp").alias("u_fp"), F.col("fp").alias("v_fp")).distinct()
+        near = both(met.mapInArrow(lambda it: _near_first(it, radius), "u long, v long")).distinct()
+        for before in tested:
+            near = near.join(before, ["u", "v"], "left_anti")
+        tested.append(written(near, "near"))
+        found.append(verified(tested[-1]))
+        if turn and not found[-1].limit(1).count():
+            break
+        roots = components(reduce(DataFrame.unionByName, found)).select(F.col("node").alias("of"), "root")
+        rooted = members.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "n", "fp", "size", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        last, open_ = open_, written(rooted.join(mixed, "key"), "open")
+        if turn:
+            discard(last)
+    # members that have a pair left to test, then these pairs where their sets are: no pair is ever a row
+    told = open_.join(nodes.select("node", "keys"), "node")
+    marked = written(dealt(told, TILE, "keys").mapInArrow(lambda it: _marked(it, radius, least), "key long, node long").distinct(), "marked")
+    whole = sets_of(marked.select("node").distinct())
+    crowd = marked.groupBy("key").agg(F.count("*").alias("size"))
+    rest = told.drop("size").join(marked, ["key", "node"]).join(crowd, "key").join(whole, "node")
+    found.append(written(dealt(rest, TILE // 8, "keys", "shingles").mapInArrow(lambda it: _linked(it, radius, least), "u long, v long"), "rest-links"))
+    discard(members, open_, marked, whole, *tested)
+    return reduce(DataFrame.unionByName, found)
 
 
 def deduplicate_similar(docs: DataFrame, least: tuple[int, int] = (4, 5), shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

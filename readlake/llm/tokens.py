@@ -12,7 +12,7 @@ import regex
 from readlake.llm.common import LOWER, held
 
 #: Entries that a worker keeps of texts' pieces, and of the tokenizer's own words; the first ones seen are the frequent ones.
-MOST_PIECES, MOST_WORDS = 600_000, 600_000
+MOST_PIECES, MOST_WORDS = 600_000, 400_000
 #: Bytes of a text that are looked up at once.
 SLICE = 1 << 22
 # Printable ASCII and the precomposed Latin letters: lower-casing and composing them is the same one by one, so a piece of
@@ -39,7 +39,7 @@ class WordEncoder:
     that the words' last ids cut again. Pieces with anything but plain letters and signs go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: float = 1.0):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -51,6 +51,7 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.most_pieces, self.most_words = int(room * MOST_PIECES), int(room * MOST_WORDS)
         self.pieces: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
 
@@ -80,7 +81,7 @@ class WordEncoder:
         new = {w for words in cut.values() for w in words if w not in known}
         if new:
             found = self._words(list(new))
-            if len(known) + len(new) <= MOST_WORDS:
+            if len(known) + len(new) <= self.most_words:
                 known.update(found)
             else:
                 known = _Two(known, found)
@@ -109,7 +110,7 @@ class WordEncoder:
         found = list(map(self.pieces.get, parts))
         if None in found:
             new = self._learn(list({p for p, x in zip(parts, found, strict=True) if x is None}))
-            if len(self.pieces) + len(new) <= MOST_PIECES:
+            if len(self.pieces) + len(new) <= self.most_pieces:
                 self.pieces.update(new)
             found = [new[p] if x is None else x for p, x in zip(parts, found, strict=True)]
         return b"".join(found)
@@ -126,9 +127,9 @@ class _Two:
         return self.second[key] if found is None else found
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a tokenizer file."""
-    return held(("tokens", path), lambda: WordEncoder(path))
+def encoder(path: str, room: float = 1.0) -> WordEncoder:
+    """The worker's encoder for a tokenizer file; room: share of the entries that it may keep."""
+    return held(("tokens", path, room), lambda: WordEncoder(path, room))
 
 
 def crc32(ids: bytes) -> int:

@@ -59,7 +59,7 @@ def test_edited_copies_are_one_document(spark, tmp_path):
 
 
 def test_chains_tiles_and_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(J, "TILE", 3)
+    monkeypatch.setattr(J, "TILE", 24)
     rnd = random.Random(9)
     rows, words = [], [f"c{k}" for k in range(120)]
     for i in range(40):  # a chain: neighbours are alike, ends are not
