@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import divergence, inverted_index, langid, packing, resharding, simhash, simhash_neardup, suffix_tree, token_store, toxicity, url_filter
+from readlake.llm import divergence, inverted_index, langid, line_dedup, packing, resharding, simhash, simhash_neardup, suffix_tree, token_store, toxicity, url_filter
 from readlake.llm.common import learning, table, written
 
 
@@ -146,6 +146,23 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.clean(docs, line_dedup.build(docs, least_chars=1), [F.col("doc_id")], least=10)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH l AS (
+  SELECT rid, doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i
+  FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+), k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+common AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN common c ON k.key = c.key GROUP BY rid
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least=3, most=200)
 
@@ -189,4 +206,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op6_inverted_index": OP6_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op3_url_filter": OP3_SQL, "op6_inverted_index": OP6_SQL, "op12_line_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
