@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlake.llm import divergence, inverted_index, langid, line_dedup, packing, resharding, simhash, simhash_neardup, suffix_tree, token_store, toxicity, url_filter
+from readlake.llm import divergence, impact_index, inverted_index, langid, line_dedup, packing, resharding, simhash, simhash_neardup, suffix_tree, token_store, toxicity, url_filter
 from readlake.llm.common import learning, table, written
 
 
@@ -146,6 +146,31 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = impact_index.build(table(spark, sf_dir, "documents"))
+    return impact_index.search(index, table(spark, sf_dir, "benchmark"), k=10).withColumnRenamed("id", "doc_id")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), q AS (
+  SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), len AS (SELECT rid, count(*) AS n FROM d GROUP BY rid),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM len),
+m AS (SELECT rid, 25 + (75 * n * docs) // total AS m FROM len, s),
+tf AS (SELECT rid, doc_id, term, count(*) AS tf FROM d SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
+scored AS (
+  SELECT item_id, rid, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = line_dedup.clean(docs, line_dedup.build(docs, least_chars=1), [F.col("doc_id")], least=10)
@@ -206,4 +231,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op6_inverted_index": OP6_SQL, "op12_line_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
+    return {"op3_url_filter": OP3_SQL, "op6_inverted_index": OP6_SQL, "op11_impact_search": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_source_divergence": OP13_SQL}
