@@ -43,20 +43,27 @@ def reconciled(df: DataFrame, **columns: str) -> DataFrame:
 
 def exceptions(df: DataFrame, seq: str = "seq", qual: str = "qual", order: str = "rec") -> DataFrame:
     """(order, codes, q, ns, nn): imputed codes, qualities, and the positions of unknown bases of some quality (ns) and of
-    known ones of none (nn), one array a record."""
-    d = df.select(order, base_codes(F.col(seq)).alias("c"), F.transform(letters(F.col(qual)), lambda c: quality(c).cast("int")).alias("given"))
-    d = d.withColumn("a", letters(F.col("c"))).withColumn("q", F.transform("a", lambda c, i: F.coalesce(F.get(F.col("given"), i), F.lit(DEFAULT_QUALITY))))
-    places = lambda test: F.filter(F.transform("a", lambda c, i: F.when(test(c == "N", F.get(F.col("q"), i) == 0), i)), lambda i: i.isNotNull())
-    return d.select(order, imputed(F.col("c")).alias("codes"), "q", places(lambda n, zero: n & ~zero).alias("ns"), places(lambda n, zero: ~n & zero).alias("nn"))
+    known ones of none (nn), one array a record.
+
+    A null sequence has null in all of them, an empty one empty arrays; a null or short quality line has the default for
+    what it lacks, a longer one is cut. No array is named inside another's lambda: the optimizer may inline what it stands for.
+    """
+    d = df.select(order, base_codes(F.col(seq)).alias("c"), F.coalesce(F.col(qual), F.lit("")).alias("line"))
+    a = letters(F.col("c"))
+    both = F.zip_with(a, letters(F.col("line")), lambda c, q: F.struct(c.alias("c"), F.coalesce(quality(q).cast("int"), F.lit(DEFAULT_QUALITY)).alias("q")))
+    d = d.select(order, "c", F.slice(both, F.lit(1), F.size(a)).alias("b"))
+    places = lambda test: F.filter(F.transform("b", lambda x, i: F.when(test(x["c"] == "N", x["q"] == 0), i)), lambda i: i.isNotNull())
+    return d.select(order, imputed(F.col("c")).alias("codes"), F.transform("b", lambda x: x["q"]).alias("q"), places(lambda n, zero: n & ~zero).alias("ns"), places(lambda n, zero: ~n & zero).alias("nn"))
 
 
 def restored_bases(kept: DataFrame, order: str = "rec") -> DataFrame:
     """The inverse: (order, q, codes) with unknown bases as N, from (order, codes, q, ns, nn): quality 0 is unknown but where
-    listed as nn, and what is listed as ns is unknown. Stretches between unknown bases are copied as they are."""
+    listed as nn, and what is listed as ns is unknown. Stretches between unknown bases are copied as they are. Nulls stay."""
     zero = F.filter(F.transform("q", lambda q, i: F.when(q == 0, i)), lambda i: i.isNotNull())
     unknown = F.array_sort(F.array_union(F.array_except(zero, F.col("nn")), F.col("ns")))
     d = kept.select(order, "q", F.col("codes").cast("binary").alias("raw"), F.array_append(unknown, F.length("codes")).alias("at"))
-    stretch = F.transform("at", lambda p, i: F.substring(F.col("raw"), F.when(i == 0, 1).otherwise(F.get(F.col("at"), i - 1) + 2), F.when(i == 0, p).otherwise(p - F.get(F.col("at"), i - 1) - 1)).cast("string"))
+    # a stretch lies between the unknown base before it and its own end
+    stretch = F.zip_with(F.array_prepend("at", F.lit(-1)), "at", lambda before, end: F.when(end.isNotNull(), F.substring(F.col("raw"), before + 2, end - before - 1).cast("string")))
     return d.select(order, "q", F.array_join(stretch, "N").alias("codes"))
 
 

@@ -307,10 +307,10 @@ def unknown_reconcile(spark, d):
 
 @query(BASES + "SELECT rec, pos, base FROM bases WHERE base = 'N' OR q = 0")
 def unknown_restore(spark, d):
-    e = R.exceptions(reads(spark, d))
+    e = R.exceptions(reads(spark, d).where(F.length("seq") > 0))
     back = R.restored_bases(e)  # codes, qualities and lists of a record are one row: nothing is shuffled
     odd = F.filter(F.arrays_zip(R.letters(F.col("codes")).alias("base"), "q", F.sequence(F.lit(0), F.size("q") - 1).alias("pos")), lambda x: (x["base"] == "N") | (x["q"] == 0))
-    return back.where(F.size("q") > 0).select("rec", F.explode(odd).alias("x")).select("rec", F.col("x.pos").cast("long").alias("pos"), "x.base")
+    return back.select("rec", F.explode(odd).alias("x")).select("rec", F.col("x.pos").cast("long").alias("pos"), "x.base")
 
 
 @query(

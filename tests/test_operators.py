@@ -208,3 +208,21 @@ def test_varints(spark):
     edge = [-126, -125, 127, 128, -32768, 32768, -(1 << 31), 1 << 31]
     df = spark.createDataFrame([(x,) for x in edge], "n long")
     assert [r[0] for r in df.select(C.signed_varint_length(F.col("n"))).collect()] == [3, 1, 1, 3, 3, 5, 5, 9]
+
+
+def test_unknown_bases_of_long_reads(spark):
+    """A text of 20,000 bases, half of them unknown, takes seconds; nulls stay null; filters on the results are safe."""
+    import time
+
+    seq = "".join("ACGNT"[i * i % 5] for i in range(20_000))
+    rows = [(1, seq, "".join(chr(33 + i % 7) for i in range(15_000))), (2, None, "II"), (3, "", None), (4, "NNA", None), (5, "AN", "!!!!")]
+    df = spark.createDataFrame(rows, "rec long, seq string, qual string")
+    began = time.time()
+    e = R.exceptions(df).where("size(q) >= 0 and codes is not null and size(ns) >= 0")
+    back = {r.rec: r for r in R.restored_bases(e).where("size(q) >= 0 and length(codes) >= 0").collect()}
+    assert time.time() - began < 60
+    assert back[1].codes == seq.translate(str.maketrans("ACGT", "0123"))
+    assert list(back[1].q) == [i % 7 for i in range(15_000)] + [7] * 5_000
+    assert (back[4].codes, list(back[4].q), back[5].codes, list(back[5].q)) == ("NN0", [7, 7, 7], "0N", [0, 0])
+    assert 2 not in back and (back[3].codes, list(back[3].q)) == ("", [])
+    assert {r.rec for r in R.exceptions(df.limit(0)).collect()} == set()
