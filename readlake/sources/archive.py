@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from readlake.operators.inspect import stream_sizes
 from readlake.operators.records import inferred
-from readlake.sources.fastq import ended, read_fastq, write_files
+from readlake.sources.fastq import ended, layout, read_records, write_files
 
 # The version of this layout, and names of streams and of info keys that users look for.
 VERSION = 2
@@ -85,7 +85,8 @@ def read_archive(spark: SparkSession, path: str, check: bool = True) -> DataFram
 
 def compress(spark: SparkSession, paths: str | list[str], out: str, level: int = 3, overwrite: bool = False, glob: str | None = None, recursive: bool = False) -> None:
     """FASTQ files to an archive; a bad record is an error, a missing line feed at a file's end is kept as it is."""
-    write_archive(read_fastq(spark, paths, "FAILFAST", glob, recursive), out, level, overwrite, ended(spark, paths, glob, recursive))
+    found = layout(spark, paths, glob, recursive)
+    write_archive(read_records(spark, found, "FAILFAST"), out, level, overwrite, ended(spark, found))
 
 
 def file_names(spark: SparkSession, path: str) -> DataFrame:

@@ -1,16 +1,20 @@
 """FASTQ files as DataFrames and back: four-line records with an explicit record number per file.
 
-Lines are numbered without a shuffle of the data: every split of a file counts its lines, the counts are summed in file
-order, and each line adds its place in its split. Compressed files are one split each.
+Nothing is shuffled to read them. Lines: every split of a file counts its lines, the counts are summed in file order, and
+each line adds its place in its split. Records: see `datasource`; each task assembles the records of its ranges.
 """
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readlake.functions.columns import file_type
-from readlake.operators.records import checked, parse, record_text
+from readlake.operators.records import checked, record_text
+from readlake.sources.datasource import SPLIT, FastqRanges, FastqSource, Range, cut, settled
 
 #: Rows of the per-split table that may be broadcast.
 BROADCAST_SPLITS = 200_000
@@ -30,21 +34,57 @@ def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
     return raw.join(base, ["file", "split"]).select("file", (F.col("id") + F.col("shift")).alias("ln"), "line")
 
 
-def ended(spark: SparkSession, paths: str | list[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """(file, ended): whether each file's last line ends with a line feed: whether its lines, each with one, add up to its size.
+@dataclass(frozen=True)
+class Layout:
+    """All ranges of some files with their line numbers, and whether each file's last line ends with a line feed."""
 
-    The size of what a compressed file holds is not known before it is read, so such files count as ended.
-    """
-    reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower())
+    ranges: list[Range]
+    ends: dict[str, bool]
+    split: int
+
+
+def register(spark: SparkSession) -> None:
+    """Make the formats `fastq` and `fastq_ranges` known to a session."""
+    spark.dataSource.register(FastqSource)
+    spark.dataSource.register(FastqRanges)
+
+
+def _planned(spark: SparkSession, name: str, ranges: list[Range], split: int) -> DataFrame:
+    plan = json.dumps([[r.nth, r.file, r.start, r.end, r.lines, r.begins] for r in ranges])
+    return spark.read.format(name).option("plan", plan).option("split", split).load()
+
+
+def layout(spark: SparkSession, paths: str | list[str], glob: str | None = None, recursive: bool = False, split: int = SPLIT) -> Layout:
+    """Count the lines of every range of the files. The driver holds one small entry a range, of which there are about
+    200,000 at most; files of any size and of any compression that is read count. An empty file has no range."""
+    register(spark)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    raw = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), (F.octet_length("value") + 1).cast("long").alias("n"))
-    return raw.groupBy("file").agg((F.sum("n") != F.max("size") + 1).alias("ended"))
+    names = reader.load(paths).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///"), "_metadata.file_size")  # contents aren't read
+    ranges = cut(sorted(map(tuple, names.collect())), split)
+    counts = {r.nth: (r.bytes, r.lines, r.ended) for r in _planned(spark, "fastq_ranges", ranges, split).collect()}
+    return Layout(ranges, settled(ranges, counts), split)
+
+
+def ended(spark: SparkSession, found: Layout) -> DataFrame:
+    """(file, ended): whether each file's last line ends with a line feed."""
+    return spark.createDataFrame(sorted(found.ends.items()), "file string, ended boolean")
+
 
+def read_records(spark: SparkSession, found: Layout, mode: str = "PERMISSIVE") -> DataFrame:
+    """The records of files laid out before, as of `read_fastq`."""
+    rows = _planned(spark, "fastq", found.ranges, found.split)
+    return checked(rows.select("file", "rec", "header", "seq", "plus", "qual", "problem"), mode)
 
-def read_fastq(spark: SparkSession, paths: str | list[str], mode: str = "PERMISSIVE", glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """(file, rec, header, seq, plus, qual, problem). mode as of Spark's own readers; see records.checked."""
-    return checked(parse(read_lines(spark, paths, glob, recursive), ["file"]), mode)
+
+def read_fastq(spark: SparkSession, paths: str | list[str], mode: str = "PERMISSIVE", glob: str | None = None, recursive: bool = False, split: int = SPLIT) -> DataFrame:
+    """(file, rec, header, seq, plus, qual, problem). mode as of Spark's own readers; see records.checked.
+
+    Four lines are a record, whatever they hold; problem tells what is wrong with it, as `records.parse` does. Files are
+    cut into ranges of `split` bytes, block-compressed ones too; no exchange is in the plan.
+    """
+    return read_records(spark, layout(spark, paths, glob, recursive, split), mode)
 
 
 def fastq_lines(records: DataFrame) -> DataFrame:
