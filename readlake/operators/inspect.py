@@ -65,17 +65,82 @@ def distinct_windows(df: DataFrame, seq: str, size: int) -> DataFrame:
     return w.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("windows"), F.count("*").alias("distinct_windows"))
 
 
+#: Rows of a block of digests.
+DIGEST_BLOCK = 1 << 12
+
+
+def row_digest(order: str, columns: list[str]) -> Column:
+    """A 64-bit hash of a row; nulls count, and differ from empty values."""
+    return F.xxhash64(order, *[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+
+
+def digests(df: DataFrame, columns: list[str], keys: list[str], order: str = "rec", block: int = DIGEST_BLOCK) -> DataFrame:
+    """(keys, block, n, hi, lo): a digest of the rows whose ordinals, from 0, are in a block.
+
+    Digests are sums of the halves of the rows' 64-bit hashes: the same rows give the same digest in any order and layout,
+    and the digests of blocks add up to those of keys and of the table. Nulls count, and differ from empty values. Rows of a
+    null ordinal are in block null.
+    """
+    d = df.select(*keys, F.floor(F.col(order) / block).cast("long").alias("block"), row_digest(order, columns).alias("h"))
+    return d.groupBy(*keys, "block").agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned("h", 32)).alias("hi"), F.sum(F.col("h").bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"))
+
+
+def differing_blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, block) of digests that differ, or that only one side has; keys whose own digests agree are not gone into."""
+    def both(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+        a, b = (x.select(*[F.col(k).alias(f"{s}_{k}") for k in by], F.struct("n", "hi", "lo").alias(f"{s}_sum")) for s, x in (("a", a), ("b", b)))
+        on = F.lit(True)
+        for k in by:
+            on = on & F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
+        j = a.join(b, on, "full").where(~F.col("a_sum").eqNullSafe(F.col("b_sum")))
+        return j.select(*[F.when(F.col("a_sum").isNotNull(), F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")).alias(k) for k in by])
+
+    if not keys:
+        return both(left, right, ["block"])
+    whole = lambda d: d.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "hi", "lo")])
+    odd = both(whole(left), whole(right), keys)
+    inside = lambda d: d.join(odd.select(*[F.col(k).alias(f"odd_{k}") for k in keys]), [F.col(k).eqNullSafe(F.col(f"odd_{k}")) for k in keys], "left_semi")
+    return both(inside(left), inside(right), [*keys, "block"])
+
+
+def differences(left: DataFrame, right: DataFrame, columns: list[str], keys: list[str], order: str = "rec", block: int = DIGEST_BLOCK, kept: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(keys, order, left_rows, right_rows, changed): ordinals whose rows differ, with how many rows each side has of it.
+
+    changed: the columns whose values differ, where both sides have one row; null otherwise. Only blocks whose digests
+    differ are read for this (kept: the digests of both, if they are stored); where all digests agree no row is compared.
+    """
+    a, b = kept or tuple(digests(d, columns, keys, order, block) for d in (left, right))
+    odd = differing_blocks(a, b, keys).select(*[F.col(k).alias(f"odd_{k}") for k in keys], F.col("block").alias("odd_block"))
+    at = F.floor(F.col(order) / block).cast("long")
+    on = [F.col(k).eqNullSafe(F.col(f"odd_{k}")) for k in keys] + [at.eqNullSafe(F.col("odd_block"))]
+    rows = [d.select(*keys, order, *columns).join(odd, on, "left_semi").withColumn("of", F.lit(s)) for s, d in (("a", left), ("b", right))]
+    of = lambda s, x: F.max(F.when(F.col("of") == s, x))
+    h = row_digest(order, columns)
+    g = rows[0].unionByName(rows[1]).groupBy(*keys, order).agg(
+        F.count_if(F.col("of") == "a").alias("left_rows"), F.count_if(F.col("of") == "b").alias("right_rows"),
+        F.sum(F.when(F.col("of") == "a", h.cast("decimal(20,0)")).otherwise(-h.cast("decimal(20,0)"))).alias("__d"),
+        *[of(s, F.struct(c)).alias(f"__{s}{i}") for i, c in enumerate(columns) for s in "ab"],
+    )
+    names = F.array(*[F.when(~F.col(f"__a{i}").eqNullSafe(F.col(f"__b{i}")), F.lit(c)) for i, c in enumerate(columns)])
+    single = (F.col("left_rows") == 1) & (F.col("right_rows") == 1)
+    return g.where((F.col("left_rows") != F.col("right_rows")) | (F.col("__d") != 0)).select(*keys, order, "left_rows", "right_rows", F.when(single, F.array_compact(names)).alias("changed"))
+
+
 def first_wins(df: DataFrame, key: str, value: Column, order: str) -> DataFrame:
     """(key, value): a key keeps the value that was put first."""
     return df.groupBy(F.col(key).alias("key")).agg(F.min_by(value, order).alias("value"))
 
 
-def stream_sizes(df: DataFrame, streams: dict[str, Column]) -> DataFrame:
+def stream_sizes(df: DataFrame, streams: dict, summed: bool = False) -> DataFrame:
     """(stream, n, bytes, pages, nodes, last): size of each column as a paged stream; streams without a byte are absent.
 
-    pages hold data, nodes list them (none for a single page), last is what the last page holds.
+    pages hold data, nodes list them (none for a single page), last is what the last page holds. summed: df is one row, and
+    a stream is its (bytes, n) instead of a column.
     """
-    sums = df.agg(*[x for i, c in enumerate(streams.values()) for x in (F.sum(F.octet_length(c)).cast("long").alias(f"b{i}"), F.count(c).alias(f"n{i}"))])
+    if summed:
+        sums = df.select(*[x.cast("long").alias(f"{c}{i}") for i, pair in enumerate(streams.values()) for c, x in zip("bn", pair, strict=True)])
+    else:
+        sums = df.agg(*[x for i, c in enumerate(streams.values()) for x in (F.sum(F.octet_length(c)).cast("long").alias(f"b{i}"), F.count(c).alias(f"n{i}"))])
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("stream"), F.col(f"n{i}").alias("n"), F.coalesce(f"b{i}", F.lit(0)).cast("long").alias("bytes")) for i, name in enumerate(streams)])).alias("s")
     d = sums.select(rows).select("s.*").where("bytes > 0").withColumn("pages", F.ceil(F.col("bytes") / PAGE))
     nodes = F.when(F.col("pages") > 1, F.ceil((F.col("pages") - 1) / NODE_ENTRIES)).otherwise(0).cast("long")

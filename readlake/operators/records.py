@@ -31,14 +31,19 @@ def checked(records: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return records.withColumn("seq", F.coalesce(stop, "seq")).drop("problem")
 
 
+def decisive(seq: Column) -> Column:
+    """Whether a sequence is in color space: whether 0-3 comes before any base letter after the first character; null if neither does."""
+    first = F.regexp_extract(F.substring(seq, F.lit(2), F.length(seq)), "[0-3ACGTacgt]", 0)
+    return F.when(first != "", first.rlike("[0-3]"))
+
+
 def inferred(records: DataFrame, keys: list[str], order: str = "rec") -> DataFrame:
     """(keys, llen, second_id, color_space): what a file's records tell.
 
     llen and second_id are those of the first record; a file is in color space if its first record that decides holds 0-3
     before any base letter after the first character.
     """
-    decisive = F.regexp_extract(F.expr("substring(seq, 2)"), "[0-3ACGTacgt]", 0)
-    flag = F.when(decisive != "", decisive.rlike("[0-3]"))
+    flag = decisive(F.col("seq"))
     g = records.groupBy(*keys).agg(
         F.min_by(F.length("seq"), order).alias("__l"), F.min_by(second_id(F.col("plus")), order).alias("__s"), F.min_by(flag, F.when(flag.isNotNull(), F.col(order))).alias("__c")
     )

@@ -19,6 +19,8 @@ from readlake.operators import reads as R
 from readlake.operators import records as P
 from readlake.operators import sparse as X
 from readlake.operators.ordered import running_sum
+from readlake.sources import archive, fastq
+from readlake.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +104,17 @@ def distinct_windows(spark, d):
     return I.distinct_windows(reads(spark, d), "seq", 12)
 
 
+@query("""SELECT doc_id, CAST(1 AS BIGINT) AS left_rows, CASE WHEN doc_id % 101 = 7 THEN 0 ELSE 1 END AS right_rows,
+CASE WHEN doc_id % 101 = 7 THEN NULL WHEN doc_id % 97 = 5 AND doc_id % 89 = 3 THEN 'text,lang' WHEN doc_id % 97 = 5 THEN 'text' ELSE 'lang' END AS changed
+FROM documents WHERE doc_id % 101 = 7 OR doc_id % 97 = 5 OR doc_id % 89 = 3""")
+def content_differences(spark, d):
+    """All of documents against a copy that lacks some rows and has others changed."""
+    one = t(spark, d, "documents").select("doc_id", "text", "lang")
+    changed = lambda c, k, r: F.when(F.col("doc_id") % k == r, F.concat(F.coalesce(c, F.lit("")), F.lit("!"))).otherwise(F.col(c)).alias(c)
+    two = one.where("doc_id % 101 <> 7").select("doc_id", changed("text", 97, 5), changed("lang", 89, 3))
+    return I.differences(one, two, ["text", "lang"], [], "doc_id").select("doc_id", "left_rows", F.col("right_rows").cast("int").alias("right_rows"), F.array_join("changed", ",").alias("changed"))
+
+
 @query("SELECT source AS key, arg_min(lang, doc_id) AS value FROM documents GROUP BY source")
 def info_first_wins(spark, d):
     return I.first_wins(t(spark, d, "documents"), "source", F.col("lang"), "doc_id")
@@ -148,6 +161,42 @@ def sniff_type(spark, d):
     return texts.groupBy(C.file_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+# ---- sources ---------------------------------------------------------------------------------------------------------
+@query("SELECT header, md5('@' || header || chr(10) || seq || chr(10) || plus || chr(10) || qual) AS md5, CAST(NULL AS VARCHAR) AS problem FROM reads")
+def fastq_source(spark, d):
+    """Reads written as FASTQ files and read back by the data source, in ranges that cut them anywhere."""
+    path = scratch_path(spark, "fastq")
+    fastq.write_fastq(reads(spark, d).withColumn("file", F.lit("reads")), path)
+    text = P.record_text(F.col("header"), F.col("seq"), F.col("plus"), F.col("qual"))
+    return fastq.read_fastq(spark, path, split=1 << 20).select("header", F.md5(text.cast("binary")).alias("md5"), "problem")
+
+
+@query("SELECT source AS file, rec, md5(header || chr(10) || seq || chr(10) || plus || chr(10) || qual) AS md5 FROM reads")
+def archive_roundtrip(spark, d):
+    """Reads, a file for each source, through the typed archive."""
+    path = scratch_path(spark, "archive")
+    archive.write_archive(reads(spark, d).select(F.col("source").alias("file"), "rec", "header", "seq", "plus", "qual"), path)
+    return archive.read_archive(spark, path).select("file", "rec", F.md5(F.concat_ws("\n", "header", "seq", "plus", "qual").cast("binary")).alias("md5"))
+
+
+@query("""SELECT l_orderkey AS rec, l_linenumber AS nth, md5('L' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ' ' || l_suppkey || '/' || l_returnflag) AS header, md5(seq) AS seq
+FROM (SELECT *, translate(md5(l_orderkey || '.' || l_partkey), '0123456789abcdef', 'ACGTACGTACGTACGT') || CASE WHEN l_linenumber = 3 THEN 'NNn' ELSE '' END || translate(md5(CAST(l_suppkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM lineitem)""")
+def typed_columns(spark, d):
+    """Headers and sequences of the kind that sequencers write, coded and decoded."""
+    kept = archive.typed(sequencer_reads(t(spark, d, "lineitem")))
+    return archive.restored(kept).select("rec", F.col("file").cast("int").alias("nth"), F.md5(F.col("header").cast("binary")).alias("header"), F.md5(F.col("seq").cast("binary")).alias("seq"))
+
+
+def sequencer_reads(items: DataFrame) -> DataFrame:
+    """(file, rec, header, seq, plus, qual): a read for each item, all of nearly the same length, headers that count up."""
+    text = lambda c: F.col(c).cast("string")
+    bases = lambda c: F.translate(F.md5(c.cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    header = F.concat(F.lit("L"), text("l_orderkey"), F.lit(":"), text("l_linenumber"), F.lit(":"), text("l_partkey"), F.lit(" "), text("l_suppkey"), F.lit("/"), "l_returnflag")
+    seq = F.concat(bases(F.concat(text("l_orderkey"), F.lit("."), text("l_partkey"))), F.when(F.col("l_linenumber") == 3, "NNn").otherwise(""), bases(text("l_suppkey")))
+    d = items.select(text("l_linenumber").alias("file"), F.col("l_orderkey").alias("rec"), header.alias("header"), seq.alias("seq"), F.lit("+").alias("plus"))
+    return d.withColumn("qual", F.translate(F.regexp_replace("seq", "[ACG]", "I"), "TNn", "F##"))
+
+
 # ---- records ---------------------------------------------------------------------------------------------------------
 @query("""SELECT doc_id, rec, CASE WHEN n < 4 THEN 'truncated' WHEN h[1] <> '@' THEN 'no @' WHEN p[1] <> '+' THEN 'no +' END AS problem FROM (
   SELECT doc_id, ln // 4 AS rec, count(*) AS n, max(line) FILTER (ln % 4 = 0) AS h, max(line) FILTER (ln % 4 = 2) AS p

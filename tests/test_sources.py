@@ -97,6 +97,42 @@ def test_verify(spark, files, tmp_path):
         A.verify(spark, arc)
 
 
+def test_contents_are_verified(spark, files, tmp_path):
+    """One changed character of equal size is found and told; archives are compared by their digests first."""
+    d, _ = files
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    A.compress(spark, str(d / "a.fq"), one)
+    A.compress(spark, str(d / "a.fq"), two)
+    assert A.compare(spark, one, two).count() == 0
+    rows = A.read_archive(spark, one)
+    changed = rows.withColumn("qual", F.when(F.col("rec") == 345, F.concat(F.lit("#"), F.expr("substring(qual, 2)"))).otherwise(F.col("qual"))).cache()
+    assert changed.where("rec = 345 and length(qual) > 0 and qual like '#%'").count() == 1
+    A.write_archive(changed, str(tmp_path / "three"))
+    assert [(r.rec, r.left_rows, r.right_rows, r.changed) for r in A.compare(spark, one, str(tmp_path / "three")).collect()] == [(345, 1, 1, ["qual"])]
+    spark.read.parquet(str(tmp_path / "three/records")).write.mode("overwrite").parquet(f"{two}/records")
+    A.verify(spark, two, contents=False)
+    with pytest.raises(ValueError, match="contents differ.*a.fq:0"):
+        A.verify(spark, two)
+    fewer = rows.where("rec <> 7").unionByName(rows.where("rec = 9"))
+    A.write_archive(fewer, str(tmp_path / "four"))
+    assert sorted((r.rec, r.left_rows, r.right_rows, r.changed) for r in A.compare(spark, one, str(tmp_path / "four")).collect()) == [(7, 1, 0, None), (9, 1, 2, None)]
+
+
+def test_typed_columns(spark, tmp_path):
+    """Sequences are packed and headers split where that is smaller and exact; nulls and odd records keep their text."""
+    rnd = random.Random(8)
+    seqs = ["".join(rnd.choices("ACGT", k=100)) for _ in range(50)] + [None, "", "N" * 50, "acgt" * 20, "ACGT" * 20 + "N", "\xe9" * 20]
+    rows = [("f", i, f"SRR1.{i} HWI:7:{i // 9}:{rnd.randrange(2000)}/1" if i != 3 else "h\xe9", s, "+" if i % 2 else None, None if s is None else "I" * len(s)) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "file string, rec long, header string, seq string, plus string, qual string")
+    A.write_archive(df, str(tmp_path / "arc"))
+    stored = spark.read.parquet(str(tmp_path / "arc/records"))
+    assert stored.where("bases is not null").count() == 51 and stored.where("header is not null").count() == 1
+    assert stored.where("n1 = 17").count() == 1 and stored.schema["n1"].dataType.simpleString() == "bigint"
+    assert sorted(map(tuple, A.read_archive(spark, str(tmp_path / "arc")).collect())) == sorted(rows)
+    A.write_archive(df.limit(0), str(tmp_path / "none"))
+    assert A.read_archive(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_bad_records_and_modes(spark, tmp_path):
     p = tmp_path / "bad.fq"
     p.write_text("@a\nAC\n+\nII\nb\nAC\n+\nII\n@c\nAC\n-\nII\n@d\nAC\n")
