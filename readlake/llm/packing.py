@@ -1,16 +1,15 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of token ids with a target share. A turn serves a queue one quantum. A queue's deficit is what its
-share of all that has been served comes to, less what it was served; its next turn is due when the deficit reaches half a
-turn, and turns are served as they fall due. So every stretch of windows holds the target proportions to within a turn, and
-what a window can't give is carried into the next. When the n-th turn of a queue falls due follows in closed form from the
-shares, so any span of windows can be laid out alone: deficits are carried from span to span without a task waiting for another.
+Every source is a queue of token ids with a target share. A round is a window: it serves every queue its quota, what the
+queue's share of all windows so far comes to, in whole tokens, less what it was served. So every window holds the target
+proportions to within three tokens a source, and the fraction that a window can't give is the deficit carried into the next.
+Quotas follow in closed form from the shares, so any window can be laid out alone, in any task: no deficit is waited for.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,91 +20,153 @@ from readlake.llm import tokens
 from readlake.llm.common import hinted, written
 
 LENGTH = 4096
-#: Tokens that a turn serves, turns of a span, and share of the tokenizer's entries that a worker keeps.
-QUANTUM, SPAN_TURNS, ROOM = 512, 1 << 14, 0.4
+#: Share of the tokenizer's entries that a worker keeps, sources that targets may name, and the units of a given share.
+ROOM, MOST_TARGETS, UNITS = 0.4, 1_000, 1 << 40
+
+
+class Phase:
+    """Windows in which the same queues are served in the same proportions.
+
+    The queues are the leaves of a tree. Of so many tokens of a node, its left side gets its share, rounded, and its right
+    side the rest. So the tokens of all queues add up, no queue ever has less after more windows, and the roundings that
+    part a queue from its exact share are halves of tokens that shrink by its side's share from level to level.
+    """
+
+    def __init__(self, first: int, windows: int, queues: list[int], parts: list[int]):
+        self.first, self.windows, self.queues, self.parts, self.all = first, windows, queues, parts, sum(parts)
+        #: of each queue: (share of the left side, of the node, whether the queue is on the right) from the root on
+        self.paths: list[list[tuple[int, int, bool]]] = [[] for _ in queues]
+        order = sorted((k for k, n in enumerate(parts) if n), key=lambda k: -parts[k])
+        nodes = [(order, self.all)]
+        while nodes:
+            side, total = nodes.pop()
+            if len(side) < 2:
+                continue
+            left, at = 0, 0
+            while at < len(side) - 1 and (at == 0 or 2 * left + parts[side[at]] <= total):
+                left, at = left + parts[side[at]], at + 1
+            for i, k in enumerate(side):
+                self.paths[k].append((left, total, i >= at))
+            nodes += [(side[:at], left), (side[at:], total - left)]
+
+    def served(self, k: int, windows: int, length: int) -> int:
+        """Tokens of a queue in so many windows."""
+        n = windows * length if self.parts[k] else 0
+        for left, total, right in self.paths[k]:
+            share = (2 * n * left + total) // (2 * total)
+            n = n - share if right else share
+        return n
+
+    def quota(self, k: int, window: int, length: int) -> tuple[int, int, int]:
+        """(tokens before a window, tokens before the next, where its tokens begin in the window) of a queue."""
+        n, after, ahead = window * length, (window + 1) * length, 0
+        for left, total, right in self.paths[k]:
+            share, share_after = (2 * n * left + total) // (2 * total), (2 * after * left + total) // (2 * total)
+            if right:
+                n, after, ahead = n - share, after - share_after, ahead + share_after - share
+            else:
+                n, after = share, share_after
+        return n, after, ahead
+
+    def window_of(self, k: int, token: int, length: int) -> tuple[int, int, int, int]:
+        """The window that serves a queue its token of this number, and the queue's quota in it."""
+        share, off = self.parts[k] * length, len(self.paths[k]) + 1  # a rounding a level
+        j = min(self.windows - 1, token * self.all // share)
+        before, after, ahead = self.quota(k, j, length)
+        if not before <= token < after:
+            low, high = max(0, (token - off) * self.all // share - 1), min(self.windows - 1, (token + off) * self.all // share + 1)
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if self.served(k, mid + 1, length) > token else (mid + 1, high)
+            j, (before, after, ahead) = low, self.quota(k, low, length)
+        return j, before, after, ahead
+
+
+def _quotas(room: int, queues: list[int], shares: list[int], left: list[int]) -> list[int]:
+    """Whole tokens of one window of queues that may run dry in it: what one can't give, the others do in proportion."""
+    given = dict.fromkeys(queues, 0)
+    live = [(q, s) for q, s in zip(queues, shares, strict=True) if left[q] and s]
+    while room and live:
+        upto, want = 0, {}
+        for q, s in live:
+            want[q] = room * (upto + s) // sum(x for _, x in live) - room * upto // sum(x for _, x in live)
+            upto += s
+        for q, n in want.items():
+            n = min(n, left[q] - given[q])
+            given[q] += n
+            room -= n
+        live = [(q, s) for q, s in live if given[q] < left[q]]
+    return [given[q] for q in queues]
 
 
-@dataclass
 class Schedule:
     """Where the tokens of each queue go. totals: tokens of each queue; shares: their targets, by default their totals.
 
     A queue that has run dry leaves its share to the others. Queues of share 0 are served after all others, in natural
-    proportions. This holds a few numbers for each queue; a span's turns are laid out when they are asked for.
+    proportions. By default there is one phase, two numbers a queue; targets make at most two phases for each queue they name.
     """
 
-    totals: np.ndarray
-    shares: np.ndarray | None = None
-    length: int = LENGTH
-    quantum: int = QUANTUM
-    span_turns: int = SPAN_TURNS
-    kept: dict[int, tuple] = field(default_factory=dict)
-
-    def __post_init__(self):
-        self.totals = np.asarray(self.totals, np.int64)
-        shares = self.totals if self.shares is None else np.asarray(self.shares, float)
-        self.total, self.turns = int(self.totals.sum()), self.totals // self.quantum
-        # turn k of a queue is due at start + (k + 1/2) / rate
-        named = (shares > 0) & (self.turns > 0)
-        largest = max(1.0, float(self.turns.max(initial=0)))
-        self.rate = np.where(named, shares / max(float(shares.max(initial=0)), 1e-300) * largest, np.maximum(self.turns, 1))
-        end = np.where(named, self.turns / self.rate, 0.0)
-        self.start = np.where(named, 0.0, end.max(initial=0))
-        # about so many turns are due at a time: a line between times at which a queue begins or ends
-        at = np.concatenate([self.start, self.start + self.turns / self.rate])
-        order = np.argsort(at, kind="stable")
-        slope = np.cumsum(np.concatenate([self.rate, -self.rate])[order])
-        self.times = at[order]
-        self.due = np.concatenate(([0.0], np.cumsum(slope[:-1] * np.diff(self.times)))) if len(at) else np.zeros(0)
-        self.spans = max(1, -(-int(self.turns.sum()) // self.span_turns))
-        self.tails = int(self.turns.sum()) * self.quantum + np.cumsum(self.totals % self.quantum) - self.totals % self.quantum
-
-    def before(self, span: int) -> np.ndarray:
-        """Turns of each queue before the span."""
-        if span <= 0:
-            return np.zeros(len(self.turns), np.int64)
-        if span >= self.spans:
-            return self.turns
-        time = np.interp(span * self.span_turns, self.due, self.times)
-        return np.clip(np.ceil(self.rate * (time - self.start) - 0.5), 0, self.turns).astype(np.int64)
-
-    def places(self, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First turn of each queue in the span, where its turns begin in the list of places, and all places, queue by queue."""
-        if span not in self.kept:
-            begin = self.before(span)
-            n = self.before(span + 1) - begin
-            queue = np.repeat(np.arange(len(n)), n)
-            first = np.cumsum(n) - n
-            turn = begin[queue] + np.arange(len(queue)) - first[queue]
-            order = np.lexsort((queue, self.start[queue] + (turn + 0.5) / self.rate[queue]))
-            places = np.empty(len(queue), np.int64)
-            places[order] = (int(begin.sum()) + np.arange(len(queue))) * self.quantum
-            if len(self.kept) >= 64:
-                self.kept.pop(next(iter(self.kept)))
-            self.kept[span] = begin, first, places
-        return self.kept[span]
-
-    def span_of(self, queue: int, turn: int) -> int:
-        """The span that holds a queue's turn."""
-        low, high = 0, self.spans - 1
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if self.before(mid)[queue] <= turn else (low, mid - 1)
-        return low
+    def __init__(self, totals: np.ndarray, shares: np.ndarray | None = None, length: int = LENGTH):
+        left = [int(n) for n in totals]
+        self.length, self.total, self.phases = length, sum(left), []
+        #: of each queue: (tokens served before, phase, place in the phase)
+        self.of: list[list[tuple[int, int, int]]] = [[] for _ in left]
+        done, full, window = [0] * len(left), self.total // length, 0
+        if shares is None:
+            units = left[:]
+        else:
+            most = max(1e-300, max(map(float, shares), default=0))
+            units = [max(1, round(float(s) / most * UNITS)) if s > 0 else 0 for s in shares]
+
+        def add(windows: int, queues: list[int], parts: list[int]) -> None:
+            nonlocal window
+            phase = Phase(window, windows, queues, parts)
+            for k, q in enumerate(queues):
+                n = phase.served(k, windows, length)
+                if n:
+                    self.of[q].append((done[q], len(self.phases), k))
+                    done[q], left[q] = done[q] + n, left[q] - n
+            self.phases.append(phase)
+            window += windows
+
+        while window < full:
+            queues = [q for q, n in enumerate(left) if n and units[q]]
+            if not queues:  # the rest, in natural proportions
+                units = left[:]
+                continue
+            phase = Phase(0, full, queues, [units[q] for q in queues])
+            lasts = lambda n, phase=phase, queues=queues: all(phase.served(k, n, length) <= left[q] for k, q in enumerate(queues))
+            low, high = 0, full - window
+            if lasts(high - 1):  # most often none runs dry before the last window
+                low, high = (high, high) if lasts(high) else (high - 1, high - 1)
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if lasts(mid) else (low, mid - 1)
+            if low:
+                add(low, queues, [units[q] for q in queues])
+            if window < full:  # a window in which one does
+                everyone = [q for q, n in enumerate(left) if n]
+                named = _quotas(length, everyone, [units[q] for q in everyone], left)
+                spare = [left[q] - n if not units[q] else 0 for q, n in zip(everyone, named, strict=True)]
+                rest = _quotas(length - sum(named), everyone, spare, left)
+                add(1, everyone, [a + b for a, b in zip(named, rest, strict=True)])
+        self.done, at = done, full * length
+        self.tails = []
+        for n in left:  # what is less than a window follows at the very end
+            self.tails.append(at)
+            at += n
 
     def stretches(self, queue: int, start: int, count: int) -> Iterator[tuple[int, int]]:
-        """(place, tokens) of `count` tokens of a queue from its token `start`, turn by turn."""
-        full, span, after = int(self.turns[queue]), -1, 0
+        """(place, tokens) of `count` tokens of a queue from its token `start`, window by window."""
+        of, length = self.of[queue], self.length
         while count:
-            turn, into = divmod(start, self.quantum)
-            if turn >= full:  # what is less than a turn follows at the very end
-                yield int(self.tails[queue]) + into, count
+            if start >= self.done[queue]:
+                yield self.tails[queue] + start - self.done[queue], count
                 return
-            if turn >= after:
-                span = self.span_of(queue, turn)
-                begin, first, places = self.places(span)
-                after, shift = int(self.before(span + 1)[queue]), int(first[queue] - begin[queue])
-            take = min(count, self.quantum - into)
-            yield int(places[shift + turn]) + into, take
+            base, number, k = of[bisect_right(of, start, key=lambda x: x[0]) - 1]
+            j, before, after, ahead = self.phases[number].window_of(k, start - base, length)
+            take = min(count, base + after - start)
+            yield (self.phases[number].first + j) * length + ahead + start - base - before, take
             start, count = start + take, count - take
 
     def sequence(self, place: int) -> tuple[int, int, int]:
@@ -184,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
 
     targets: shares of the sources in every window, whatever they add up to; by default the sources' shares of all tokens,
     so that every queue lasts to the last window. A source that has run dry leaves its share to the others in proportion;
-    sources that targets leave out follow at the end. Every source has a queue. Null and empty texts hold the end id
+    sources that targets leave out follow at the end. targets may name MOST_TARGETS sources. Every source has a queue. Null and empty texts hold the end id
     alone; null sources are a queue of their own; null ids and repeated rows are packed like any other; other columns are
     not read. An empty table has no sequences. Sequences of a table depend on the order in which its files are read; every
     id lies in one piece whatever that is. Nothing is left over or padded.
@@ -199,6 +260,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", t
     shares = None if targets is None else np.array([float(targets.get(s, 0)) for s in sources])
     if shares is not None and (shares < 0).any():
         raise ValueError("a target share is negative")
+    if targets is not None and len(targets) > MOST_TARGETS:
+        raise ValueError(f"targets name more than {MOST_TARGETS} sources")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((totals, shares))
     queues = spark.createDataFrame(list(zip(sources, range(len(sources)), strict=True)), "of string, queue int")
