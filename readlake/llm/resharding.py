@@ -1,7 +1,7 @@
 """Minimum-cost-flow resharding: from old shard sizes to new capacities, moving the fewest bytes, then rewriting what changed.
 
-Rows are cut into blocks within their old shard, by a hash of the text, so equal texts of an old shard share a block and
-stay together. A flow from old shards to new ones, where staying costs nothing and moving costs one a byte, tells how many
+Equal texts stay together: a text's home is the old shard that holds most bytes of it, and copies elsewhere go where the
+home's go. Rows are cut into blocks within their home, by a hash of the text. A flow from old shards to new ones, where staying costs nothing and moving costs one a byte, tells how many
 bytes go where; whole blocks are then assigned to these transfers. The planner sees block sizes only.
 """
 
@@ -144,14 +144,21 @@ def transfers(blocks: list[tuple[int, int, int]], capacity: list[int]) -> dict[t
     wanted = flow(sizes, capacity)
     home: dict[tuple[int, int], int] = {}
     room = list(capacity)
-    for shard in sorted(old):
-        left = {j: b for (i, j), b in wanted.items() if i == shard}
-        for _, number, size in sorted((b for b in blocks if b[0] == shard), key=lambda b: (-b[2], b[1])):
+    given: dict[int, dict[int, int]] = defaultdict(dict)
+    for (i, j), b in wanted.items():
+        given[i][j] = b
+    left: dict[int, int] = {}
+    for n, (shard, number, size) in enumerate(ordered := sorted(blocks, key=lambda b: (b[0], -b[2], b[1]))):
+        if not n or ordered[n - 1][0] != shard:
+            left = given[shard]
+        if size:
             # stay if there is room, else the transfer with the most bytes left to give
             j = shard if left.get(shard, 0) >= size else max(left, key=lambda j: (left[j], j == shard, -j))
             home[shard, number] = j
             left[j] -= size
             room[j] -= size
+        else:
+            home[shard, number] = shard if shard < len(capacity) else 0
     return _levelled(blocks, home, room)
 
 
@@ -183,49 +190,55 @@ def reshard(docs: DataFrame, shards: int, old: Column | None = None, old_shards:
     """Deal docs to `shards` shards of near-equal bytes, moving as few bytes as can be from the shards of `old`.
 
     Gives (rows, plan). rows is read from the new shards' files in folder out: doc_id, text, size, old_shard, shard, slot
-    (gapless from 0 in each shard). plan: old_shard, block, piece, salt, size, n, shard of each block. A null text has size
-    `overhead`; null ids and repeated rows are dealt like any other; other columns are not kept; an empty table gives empty
-    shards. Equal texts of an old shard stay together. With equal capacities (the default) shards differ by about a block,
-    1/256 of a shard, unless the copies of one text need more. With changed_only, shards that neither give nor get a block
-    are not written. Without `old`, rows start in `old_shards` shards by a hash of the text.
+    (gapless from 0 in each shard). plan: home, block, piece, salt of each block with size, n, shard, one row for every
+    old_shard that holds some of it. A null text has size `overhead`; null ids and repeated rows are dealt like any other, a
+    null old shard is shard 0; other columns are not kept; an empty table gives empty shards. Equal texts are in one shard
+    afterwards, wherever they were; of a text only the copies that aren't at home count as moved for that, and the fewest
+    bytes move under this rule. With equal capacities (the default) shards differ by about a block, 1/256 of a shard, unless
+    the copies of one text need more. With changed_only, shards that neither give nor get a row are not written. Without
+    `old`, rows start in `old_shards` shards by a hash of the text. The driver holds a number for each block, of which there
+    are about BLOCKS, or one for each old shard and 256 for each new one where that is more.
     """
     spark = docs.sparkSession
-    old = F.pmod(F.xxhash64(F.col(text_col)), F.lit(old_shards)) if old is None else old
-    blocks = BLOCKS // 2 // max(1, old_shards)
+    old = F.pmod(F.xxhash64(F.col(text_col)), F.lit(old_shards)) if old is None else F.coalesce(old, F.lit(0))
+    blocks = max(1, BLOCKS // 2 // max(1, old_shards))
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + overhead
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), size.alias("size"), old.cast("int").alias("old_shard"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), size.alias("size"), old.cast("int").alias("old_shard"), F.xxhash64(F.col(text_col)).alias("of"))
+    # only texts that lie in several old shards need a home other than their own shard
+    held = rows.groupBy("of", "old_shard").agg(F.sum("size").alias("bytes")).groupBy("of").agg(F.count("*").alias("k"), F.max_by("old_shard", F.struct("bytes", -F.col("old_shard"))).alias("best"))
+    spread = written(held.where("k > 1").select(F.col("of").alias("__of"), "best"), "spread")
+    rows = rows.join(hinted(spread, spread.count()), F.col("of") == F.col("__of"), "left").withColumn("home", F.coalesce("best", "old_shard")).drop("of", "__of", "best")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("text", F.lit("block")), F.lit(blocks)).cast("int"))
-    coarse = written(rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")), "coarse-blocks")
+    coarse = written(rows.groupBy("home", "block").agg(F.sum("size").alias("bytes")), "coarse-blocks")
     total = coarse.agg(F.sum("bytes")).first()[0] or 0
     # overlarge blocks are cut by another hash of the text; what is still overlarge holds many copies, whose rows are only
     # numbered apart. There are few of either: each has many shares of the bytes
     most = max(1, total // (shards * 256))
     times = F.least(F.lit(PIECES), F.ceil(F.col("bytes") / most)).cast("int")
     part = lambda c, of, word: F.when(F.col(of).isNull(), 0).otherwise(F.pmod(F.xxhash64(c, F.lit(word)), F.col(of))).cast("int")
-    large = coarse.where(F.col("bytes") > most).select("old_shard", "block", times.alias("pieces"))
-    cut = rows.join(hinted(large, BLOCKS), ["old_shard", "block"], "left").withColumn("piece", part("text", "pieces", "piece"))
-    fine = written(cut.where("pieces is not null").groupBy("old_shard", "block", "piece").agg(F.sum("size").alias("bytes")), "pieces")
-    crowded = fine.where(F.col("bytes") > 2 * most).select("old_shard", "block", "piece", times.alias("salts"))
-    cut = cut.join(hinted(crowded, BLOCKS), ["old_shard", "block", "piece"], "left").withColumn("salt", part("doc_id", "salts", "salt"))
-    place = ["old_shard", "block", "piece", "salt"]
-    cut = cut.select("doc_id", "text", "size", *place)
-    sizes = written(cut.groupBy(*place).agg(F.sum("size").alias("size"), F.count("*").alias("n")), "block-sizes")
-    listed = [(r["old_shard"], (r["block"], r["piece"]), r["size"]) for r in sizes.groupBy(*place[:3]).agg(F.sum("size").alias("size")).collect()]
+    large = coarse.where(F.col("bytes") > most).select("home", "block", times.alias("pieces"))
+    cut = rows.join(hinted(large, large.count()), ["home", "block"], "left").withColumn("piece", part("text", "pieces", "piece"))
+    fine = written(cut.where("pieces is not null").groupBy("home", "block", "piece").agg(F.sum("size").alias("bytes")), "pieces")
+    crowded = fine.where(F.col("bytes") > 2 * most).select("home", "block", "piece", times.alias("salts"))
+    cut = cut.join(hinted(crowded, crowded.count()), ["home", "block", "piece"], "left").withColumn("salt", part("doc_id", "salts", "salt"))
+    place = ["home", "block", "piece", "salt"]
+    cut = cut.select("doc_id", "text", "size", "old_shard", *place)
+    sizes = written(cut.groupBy(*place, "old_shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "block-sizes")
+    listed = [(r["home"], (r["block"], r["piece"]), r["size"]) for r in sizes.groupBy(*place[:3]).agg(F.sum("size").alias("size")).collect()]
     capacity = capacity or [total // shards + (j < total % shards) for j in range(shards)]
     names = {b: k for k, b in enumerate(sorted({b for _, b, _ in listed}))}
-    home = transfers([(i, names[b], size) for i, b, size in listed], capacity) if listed else {}
-    moves = spark.createDataFrame([(i, *b, home[i, names[b]]) for i, b, _ in listed], "old_shard int, block int, piece int, shard int")
-    plan = sizes.join(hinted(moves, len(listed)), place[:3])
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = written(plan.withColumn("first", first), "transfers")
+    to = transfers([(i, names[b], size) for i, b, size in listed], capacity) if listed else {}
+    moves = spark.createDataFrame([(i, *b, to[i, names[b]]) for i, b, _ in listed], "home int, block int, piece int, shard int")
+    plan = written(sizes.join(hinted(moves, len(listed)), place[:3]), "transfers")
+    whole = plan.groupBy(*place, "shard").agg(F.sum("n").alias("n"))
     if changed_only:
-        kept = {j for j in range(shards)} - {k for i, b, _ in listed for k in (i, home[i, names[b]]) if i != home[i, names[b]]}
-        plan_written = plan.where(~F.col("shard").isin(sorted(kept))) if kept else plan
-    else:
-        plan_written = plan
+        ends = plan.where("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("changed")).distinct()
+        whole = whole.join(hinted(ends, shards + old_shards), F.col("shard") == F.col("changed"), "left_semi")
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = written(whole.withColumn("first", first).select(*place, "shard", "first"), "starts")
     # rows meet once: in the part of a shard that makes up a file, ordered block by block
     files = max(1, -(-total // (shards * FILE_BYTES)))
-    placed = cut.join(hinted(plan_written.select(*place, "shard", "first"), plan.count()), place)
+    placed = cut.join(hinted(starts, starts.count()), place)
     placed = placed.withColumn("file", F.pmod(F.hash("block", "piece", "salt"), F.lit(files))).repartition("shard", "file")
     rank = F.row_number().over(Window.partitionBy("shard", "file", *place).orderBy("doc_id", F.xxhash64("text")))
     final = placed.withColumn("slot", F.col("first") + rank - 1).select("doc_id", "text", "size", "old_shard", "slot", "shard")

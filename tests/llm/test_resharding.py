@@ -64,6 +64,45 @@ def test_rewrites_only_what_changes(spark, tmp_path):
     assert sorted(ids) == list(range(400))
 
 
+@pytest.mark.parametrize("old", ["doc_id % 7", "doc_id % 3", "7 - doc_id % 7", "CASE WHEN doc_id % 5 > 0 THEN doc_id % 7 END"])
+def test_equal_texts_meet_from_any_layout(spark, old):
+    """No text is in two new shards; copies at the home that most bytes are in needn't move; slots are gapless."""
+    rnd = random.Random(3)
+    texts = [(i, f"text {rnd.randrange(150)} " * 9 if i % 2 else f"own {i} " * rnd.randrange(1, 30)) for i in range(900)] + [(900 + i, None) for i in range(20)] + [(950 + i, "hot " * 50) for i in range(200)]
+    got, plan = R.reshard(frame(spark, texts, "home of best"), 5, F.expr(old), 8)
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in texts)
+    homes, held = {}, {}
+    for r in rows:
+        homes.setdefault(r.text, set()).add(r.shard)
+        held.setdefault(r.shard, []).append(r)
+    assert all(len(x) == 1 for x in homes.values())
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in held.values())
+    assert R.moved_bytes(plan) == sum(r.size for r in rows if r.old_shard != r.shard)
+    # copies away from home must move, and what is over a shard's capacity; a block more at most for each shard
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.text, {}).setdefault(r.old_shard, []).append(r.size)
+    home_bytes, away = [0] * 8, 0
+    for spread in by.values():
+        best = max(sum(x) for x in spread.values())
+        away += sum(map(sum, spread.values())) - best
+        home_bytes[max(spread, key=lambda s: (sum(spread[s]), -s))] += sum(map(sum, spread.values()))
+    total = sum(r.size for r in rows)
+    over = sum(max(0, h - (total // 5 if s < 5 else 0)) for s, h in enumerate(home_bytes))
+    largest = max(sum(map(sum, x.values())) for x in by.values())  # blocks are moved whole
+    assert R.moved_bytes(plan) <= away + over + largest + total // 20
+
+
+def test_many_old_shards(spark):
+    texts = [(i, f"text {i % 3000}") for i in range(6000)]
+    got, plan = R.reshard(frame(spark, texts), 4, F.expr("(doc_id * 7919) % 20000"), 20_000)
+    homes: dict = {}
+    for r in got.collect():
+        homes.setdefault(r.text, set()).add(r.shard)
+    assert len(homes) == 3000 and all(len(x) == 1 for x in homes.values())
+
+
 def least_moved(blocks, capacity):
     """Fewest bytes that leave their shard in any assignment of whole blocks that fits."""
     best = [None]
