@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +64,81 @@ def windows(df: DataFrame, seq: str, size: int) -> DataFrame:
     return df.select(F.col(seq).cast("binary").alias("__raw")).select(F.explode(F.transform(places, lambda i: F.substring(raw, i, F.lit(size)))).alias("window"))
 
 
-def distinct_windows(df: DataFrame, seq: str, size: int) -> DataFrame:
-    """(windows, distinct_windows), exact: distinct values are aggregated before they are counted."""
-    w = windows(df, seq, size).groupBy("window").agg(F.count("*").alias("n"))
-    return w.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("windows"), F.count("*").alias("distinct_windows"))
+#: Bytes of the longest minimizer, and bytes of sequences that are looked through at once.
+MINIMIZER, SLICE = 8, 1 << 20
+_COMPLEMENT = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits spread well; equal only where x is."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours, by doubling."""
+    n, out, have = len(h) - width + 1, h, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        have += step
+    return out[:n]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], size: int, m: int, canonical: bool) -> Iterator[pa.RecordBatch]:
+    """(minimizer, stretch, n): neighbouring windows that share their least m-byte word, as one stretch; equal ones counted."""
+
+    def of(seqs: list[bytes]) -> pa.RecordBatch:
+        raw = b"".join(seqs)
+        flat, lengths = np.frombuffer(raw, np.uint8).astype(np.uint64), np.array([len(x) for x in seqs])
+        words = len(flat) - m + 1
+        pack = lambda a, order: sum((a[j : words + j] << np.uint64(8 * k) for j, k in zip(range(m), order, strict=True)), np.zeros(words, np.uint64))
+        h = _mixed(pack(flat, reversed(range(m))))
+        if canonical:
+            other = np.frombuffer(raw.translate(_COMPLEMENT), np.uint8).astype(np.uint64)
+            h = np.minimum(h, _mixed(pack(other, range(m))))
+        least, ends = _least(h, size - m + 1), np.repeat(np.cumsum(lengths), lengths)
+        at = np.flatnonzero(np.arange(len(least)) + size <= ends[: len(least)])
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (least[at][1:] != least[at][:-1]))))
+        begins, stops = at[new], at[np.append(new[1:], len(at)) - 1] + size
+        found = Counter(zip(least[begins].view(np.int64).tolist(), (raw[a:z] for a, z in zip(begins.tolist(), stops.tolist(), strict=True)), strict=True))
+        keys = list(found)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([x for _, x in keys], pa.binary()), pa.array(list(found.values()), pa.int64())], ["minimizer", "stretch", "n"])
+
+    for batch in batches:
+        held, waiting = 0, []
+        for x in batch.column(0):
+            seq = x.as_py()
+            if seq is None or len(seq) < size:
+                continue
+            waiting.append(seq)
+            held += len(seq)
+            if held >= SLICE:
+                yield of(waiting)
+                held, waiting = 0, []
+        if waiting:
+            yield of(waiting)
+
+
+def distinct_windows(df: DataFrame, seq: str, size: int, canonical: bool = False) -> DataFrame:
+    """(windows, distinct_windows), exact; canonical: a window and its reverse complement are the same.
+
+    Windows go to the task of their minimizer, the word with the least hash in them. Neighbours mostly share it, so they
+    travel as one stretch and a base is shuffled a few times, not `size` times; equal windows have the same minimizer, so
+    they meet. Equal stretches of a task travel once. Windows are of bytes, so of characters where a sequence is ASCII.
+    Null sequences and those shorter than a window have none; an empty table has 0 of both.
+    """
+    m = max(1, min(MINIMIZER, size // 2))
+    rows = df.select(F.col(seq).cast("binary").alias("seq")).mapInArrow(lambda it: _stretches(it, size, m, canonical), "minimizer long, stretch binary, n long").repartition("minimizer")
+    places = F.sequence(F.lit(1), F.length("stretch") - size + 1)
+    window = F.substring(F.col("stretch"), F.col("at"), F.lit(size))
+    w = rows.select("minimizer", "stretch", "n", F.explode(places).alias("at")).select("minimizer", "n", window.alias("window"))
+    if canonical:
+        text = F.col("window").cast("string")
+        w = w.select("minimizer", "n", F.least(text, F.reverse(F.translate(text, "ACGTacgt", "TGCAtgca"))).alias("window"))
+    one = w.groupBy("minimizer", "window").agg(F.sum("n").alias("n"))  # no exchange: a minimizer's windows are together
+    return one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("windows"), F.count("*").alias("distinct_windows"))
 
 
 #: Rows of a block of digests.

@@ -104,6 +104,17 @@ def distinct_windows(spark, d):
     return I.distinct_windows(reads(spark, d), "seq", 12)
 
 
+@query("""SELECT count(*) AS windows, count(DISTINCT w) AS distinct_windows FROM (SELECT seq[i : i + 75] AS w FROM (SELECT seq, unnest(range(1, length(seq) - 74)) AS i FROM reads))""")
+def distinct_windows_76(spark, d):
+    return I.distinct_windows(reads(spark, d), "seq", 76)
+
+
+@query("""SELECT count(*) AS windows, count(DISTINCT least(w, reverse(translate(w, 'ACGT', 'TGCA')))) AS distinct_windows
+FROM (SELECT seq[i : i + 30] AS w FROM (SELECT seq, unnest(range(1, length(seq) - 29)) AS i FROM reads))""")
+def distinct_windows_canonical(spark, d):
+    return I.distinct_windows(reads(spark, d), "seq", 31, canonical=True)
+
+
 @query("""SELECT doc_id, CAST(1 AS BIGINT) AS left_rows, CASE WHEN doc_id % 101 = 7 THEN 0 ELSE 1 END AS right_rows,
 CASE WHEN doc_id % 101 = 7 THEN NULL WHEN doc_id % 97 = 5 AND doc_id % 89 = 3 THEN 'text,lang' WHEN doc_id % 97 = 5 THEN 'text' ELSE 'lang' END AS changed
 FROM documents WHERE doc_id % 101 = 7 OR doc_id % 97 = 5 OR doc_id % 89 = 3""")
