@@ -112,7 +112,8 @@ def halved_cost(df: DataFrame, model: Adaptive, order: list[str], ctx: str, symb
     """(ctx, n, bits): cost of each context's symbols, in order, under the model that halves.
 
     symbols: an array of symbol numbers for each row, rows ordered by `order`. Contexts are independent; each is a running
-    state that meets its rows one batch after another, so a task holds one batch, however long a context is.
+    state that meets its rows one batch after another, so a task holds one batch, however long a context is. A null array is
+    an empty one.
     """
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +129,7 @@ def halved_cost(df: DataFrame, model: Adaptive, order: list[str], ctx: str, symb
                     if any_row:
                         yield out()
                     now, state, n, bits, any_row = name, Halving(model), 0, 0.0, True
-                s = np.asarray(lists[k].values).astype(np.int64)
+                s = np.asarray(lists[k].values if lists[k].is_valid else []).astype(np.int64)
                 n += len(s)
                 bits += state.bits(s)
         if any_row:

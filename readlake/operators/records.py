@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from readlake.functions.columns import second_id
+from readlake.functions.columns import UNKNOWN, has_illegal_base, header_signature, second_id
 
 
 def parse(lines: DataFrame, keys: list[str], number: str = "ln", line: str = "line") -> DataFrame:
@@ -31,6 +31,56 @@ def checked(records: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return records.withColumn("seq", F.coalesce(stop, "seq")).drop("problem")
 
 
+#: Fixed value: delimiters that a header may have at most.
+DELIMITERS = 64
+
+
+def reasons() -> dict[str, Column]:
+    """What can be wrong with a record (header, seq, plus, qual, problem), each a condition that is never null."""
+    header, seq, plus, qual = map(F.col, ("header", "seq", "plus", "qual"))
+    named = plus.startswith("+")
+    spellings = F.size(F.array_distinct(F.regexp_extract_all(seq, F.lit(f"({UNKNOWN})"), F.lit(1))))
+    found = {
+        "truncated": F.col("problem") == "truncated",
+        "no @": F.col("problem") == "no @",
+        "no +": ~named,
+        "odd second id": named & second_id(plus) & (F.substring(plus, F.lit(2), F.length(plus)) != header),
+        "illegal base": has_illegal_base(seq),
+        "mixed unknowns": spellings > 1,
+        "length mismatch": F.length(seq) != F.length(qual),
+        "many delimiters": F.length(header_signature(header)) > DELIMITERS,
+    }
+    return {name: F.coalesce(c, F.lit(False)) for name, c in found.items()}
+
+
+def with_problems(records: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """records with `problems`, all that is wrong with each, in one pass; nothing that a null stands in the way of telling.
+
+    observation: counts the records (`records`), those with any problem (`bad`) and each reason, as the rows pass by.
+    """
+    of = reasons()
+    d = records.withColumn("problems", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in of.items()])))
+    if observation is None:
+        return d
+    has = lambda name: F.count_if(F.array_contains("problems", name)).alias(name)
+    return d.observe(observation, F.count("*").alias("records"), F.count_if(F.size("problems") > 0).alias("bad"), *map(has, of))
+
+
+def problem_counts(records: DataFrame) -> DataFrame:
+    """(reason, n): how many records have each reason; `none` those without any. A record counts once for each of its reasons."""
+    d = with_problems(records).select(F.explode(F.when(F.size("problems") > 0, F.col("problems")).otherwise(F.array(F.lit("none")))).alias("reason"))
+    return d.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def limited(records: DataFrame, most: int) -> DataFrame:
+    """records with `problems`, or an error if more than `most` have any; they are counted in a pass of their own first."""
+    bad = with_problems(records).agg(F.count_if(F.size("problems") > 0)).first()[0]
+    if bad > most:
+        counts = ", ".join(f"{r.reason} {r.n}" for r in problem_counts(records).where("reason <> 'none'").orderBy(F.desc("n"), "reason").collect())
+        raise ValueError(f"{bad} bad records, more than {most}: {counts}")
+    return with_problems(records)
+
+
 def decisive(seq: Column) -> Column:
     """Whether a sequence is in color space: whether 0-3 comes before any base letter after the first character; null if neither does."""
     first = F.regexp_extract(F.substring(seq, F.lit(2), F.length(seq)), "[0-3ACGTacgt]", 0)

@@ -216,6 +216,21 @@ def parse_records(spark, d):
     return P.parse(I.numbered_lines(t(spark, d, "documents"), "text", ["doc_id"]), ["doc_id"]).select("doc_id", "rec", "problem")
 
 
+@query(r"""WITH r AS (
+  SELECT doc_id, ln // 4 AS rec, count(*) AS k, max(line) FILTER (ln % 4 = 0) AS h, max(line) FILTER (ln % 4 = 1) AS s, max(line) FILTER (ln % 4 = 2) AS p, max(line) FILTER (ln % 4 = 3) AS q
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ln FROM documents) GROUP BY doc_id, ln // 4
+), c AS (SELECT *, CASE WHEN h[1] = '@' THEN h[2:] ELSE h END AS name FROM r),
+x AS (SELECT list_filter([
+  CASE WHEN k < 4 THEN 'truncated' END, CASE WHEN k = 4 AND h[1] <> '@' THEN 'no @' END, CASE WHEN p[1] <> '+' THEN 'no +' END,
+  CASE WHEN p[1] = '+' AND trim(p[2:]) <> '' AND p[2:] <> name THEN 'odd second id' END, CASE WHEN regexp_matches(s, '[^0-3ACGTacgt.Nn]') THEN 'illegal base' END,
+  CASE WHEN len(list_distinct(regexp_extract_all(s, '[Nn.]'))) > 1 THEN 'mixed unknowns' END, CASE WHEN length(s) <> length(q) THEN 'length mismatch' END,
+  CASE WHEN length(regexp_replace(name, '[0-9A-Za-z]', '', 'g')) > 64 THEN 'many delimiters' END], lambda v: v IS NOT NULL) AS problems FROM c)
+SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN len(problems) = 0 THEN ['none'] ELSE problems END) AS reason FROM x) GROUP BY reason""")
+def record_problems(spark, d):
+    """Lines of documents taken for records: nearly all are bad, in many ways at once."""
+    return P.problem_counts(P.parse(I.numbered_lines(t(spark, d, "documents"), "text", ["doc_id"]), ["doc_id"]))
+
+
 @query("SELECT rec, md5('@' || header || chr(10) || seq || chr(10) || plus || chr(10) || qual) AS md5, true AS same FROM reads")
 def fastq_format_roundtrip(spark, d):
     r = reads(spark, d)
