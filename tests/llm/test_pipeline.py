@@ -6,7 +6,7 @@ from docs import frame
 from pyspark.sql import functions as F
 from test_classifiers import BAD, WORDS
 from test_inverted_index import slow as slow_hits
-from test_simhash_neardup import slow_components, slow_fingerprint
+from test_similar import slow_kept
 from test_tokens import ids_of
 
 
@@ -27,6 +27,7 @@ def corpus(spark, tmp_path_factory):
         docs.append((i, " ".join(t), lang, f"s{i % 3}", 0))
         labels.append((i, 1, int(toxic)))
     docs += [(600 + k, docs[k][1], docs[k][2], "s9", 0) for k in range(0, 60, 2)] + [(700, None, None, None, None), (701, "", "en", "s1", 0), (702, "12 34 --", "en", "s1", 0), (703, docs[3][1] + " tail", docs[3][2], "s1", 0)]
+    docs += [(710 + k, docs[k][1].rsplit(" ", 1)[0] + f" e{k}", docs[k][2], "s2", 0) for k in range(1, 40, 4)]  # near copies
     d = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(d / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
@@ -50,8 +51,8 @@ def test_stages(spark, corpus):
     left = sorted(set(text) - toxic - {700, 701, 702})
     assert now.columns == columns and ids(now) == left
     kept = C.drop_near_duplicates(spark, now, d).cache()
-    root = slow_components([slow_fingerprint(text[i], 5) for i in left], 4)
-    assert kept.columns == columns and ids(kept) == sorted(min(i for i, r in zip(left, root, strict=True) if r == x) for x in set(root))
+    alone = slow_kept([(i, text[i]) for i in left])  # sets of five-word shingles, 0.8 and more, over all pairs
+    assert kept.columns == columns and ids(kept) == alone and not set(alone) & set(range(710, 760))
     clean = C.drop_contaminated(spark, kept, d).cache()
     assert clean.columns == columns and ids(clean) == [i for i in ids(kept) if not slow_hits(text[i], bench, 13)[-1]]
     assert set(ids(clean)) != set(ids(kept))
