@@ -9,6 +9,7 @@ The tree grows with the corpus, so no machine holds it: it is cut into parts by
 dealt, with the words before it, to the part of its contexts; a part counts, tests and scores, and what it found goes back to
 the documents. Tokens travel in packed blobs of a chunk of documents and a part. A last word that is too frequent for a part
 is spread over several by the words before it; the counts of its short contexts, which these parts share, are summed first.
+The most frequent words have numbers and their counts are broadcast; a part is told the counts of the others that it meets.
 """
 
 from __future__ import annotations
@@ -49,6 +50,7 @@ class Head:
     spread: dict[int, int]  # parts of each word that is too frequent for one
     parts: int
     name: str
+    tail: int  # words without a number that a context could list
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
@@ -86,7 +88,7 @@ def unigrams(texts: DataFrame) -> DataFrame:
 def head_of(counted: DataFrame, tokens: int, head: int = HEAD, part_tokens: int = PART_TOKENS) -> Head:
     """The numbered words of a table of counts: all over the count that at most head - 1 words exceed. tokens: of all texts."""
     spark = counted.sparkSession
-    total, distinct = (x or 0 for x in counted.agg(F.sum("n"), F.count("*")).first())
+    total, distinct, often = (x or 0 for x in counted.agg(F.sum("n"), F.count("*"), F.count(F.when((F.col("n") >= LEAST) & (F.col("word") != F.lit(b"")), 1))).first())
     ends = (counted.where(F.col("word") == F.lit(b"")).agg(F.sum("n")).first()[0]) or 0
     plain = counted.where(F.col("word") != F.lit(b""))
     floor, so_far = total + 1, 0
@@ -101,9 +103,15 @@ def head_of(counted: DataFrame, tokens: int, head: int = HEAD, part_tokens: int
     parts = tasks * max(1, -(-tokens // (tasks * part_tokens)))
     # a word over twice a task's share, or a part's, is spread
     share = min(2 * total / tasks, 2 * part_tokens * total / max(1, tokens))
-    often = 1 + np.flatnonzero(counts[1:] > share)
-    spread = {int(i): min(parts, int(np.ceil(counts[i] / (share / 4)))) for i in often}
-    return Head(words, counts, int(total), int(distinct), spread, parts, scratch_path(spark, "head"))
+    wide = 1 + np.flatnonzero(counts[1:] > share)
+    spread = {int(i): min(parts, int(np.ceil(counts[i] / (share / 4)))) for i in wide}
+    tail = int(often) - int(np.count_nonzero(counts[1:] >= LEAST))
+    return Head(words, counts, int(total), int(distinct), spread, parts, scratch_path(spark, "head"), tail)
+
+
+def tail_counts(counted: DataFrame, head: Head) -> DataFrame:
+    """(word, n) by identity of all words without a number; a few of the numbered may be among them."""
+    return counted.where(F.col("n") <= head.unnumbered).select(signed(F.xxhash64("word")).alias("word"), "n")
 
 
 # ---- tokens ----------------------------------------------------------------------------------------------------------
@@ -222,8 +230,8 @@ class Chunk:
         if out:
             yield np.concatenate(out), np.concatenate(docs)
 
-    def blobs(self) -> Iterator[tuple[int, bytes]]:
-        """(part, blob)."""
+    def blobs(self) -> Iterator[tuple[int, bytes, np.ndarray | None]]:
+        """(part, blob, words without a number whose counts the part's tests need)."""
         base, parts = len(self.head.counts), self.head.parts
         learned = np.array([not d[1] for d in self.docs], np.int64)
         for laid, doc in self.pieces():
@@ -247,13 +255,33 @@ class Chunk:
             part = part[keep]
             cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                yield int(part[a]), _blob([*(x[a:b] for x in columns), marked[a:b], k[a:b], names], base, self.press)
+                asked = names[np.unique(columns[3][a:b][(marked[a:b] & 1 > 0) & (columns[3][a:b] >= base)]) - base] if self.head.tail else None
+                yield int(part[a]), _blob([*(x[a:b] for x in columns), marked[a:b], k[a:b], names], base, self.press), asked
 
 
-DEALT = "key long, chunk long, blob binary, ids array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>"
+DEALT = "key long, chunk long, blob binary, ids array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, odd array<long>"
+DEALT_NAMES = ["key", "chunk", "blob", "ids", "held", "n", "known", "base", "odd"]
+#: Chunk numbers of what parts are told: counts of words, listed words of spread contexts.
+COUNTS, LISTED = -2, -1
 INFO = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
 
 
+def _addressed(parts: list[int], chunk: int, blobs: list[bytes], asked: pa.Array | None = None) -> pa.RecordBatch:
+    """Blobs for parts as rows of DEALT."""
+    none = [pa.nulls(len(blobs), pa.list_(t)) for t in INFO]
+    asked = pa.nulls(len(blobs), pa.list_(pa.int64())) if asked is None else asked
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([chunk] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), *none, asked], DEALT_NAMES)
+
+
+def _counts_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, word, n) sorted by key, as one blob a batch and part."""
+    for batch in batches:
+        key, word, n = (np.asarray(c) for c in batch.columns)
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
+        blobs = [np.stack([word[a:b], n[a:b]]).astype("<i8").tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        yield _addressed(key[cut[:-1]].tolist(), COUNTS, blobs)
+
+
 def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Blobs under the number of their part, and what is known of a chunk's documents under a negative number of the chunk."""
     from pyspark import TaskContext
@@ -264,9 +292,8 @@ def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
     def out() -> Iterator[pa.RecordBatch]:
         nonlocal number
         info = [pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*chunk.docs, strict=True), INFO, strict=True)]
-        names = ["key", "chunk", "blob", "ids", "held", "n", "known", "base"]
-        yield pa.RecordBatch.from_arrays([pa.array([-1 - number]), pa.array([number]), pa.array([None], pa.binary()), *info], names)
-        rows: list[tuple[int, bytes]] = []
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - number]), pa.array([number]), pa.array([None], pa.binary()), *info, pa.nulls(1, pa.list_(pa.int64()))], DEALT_NAMES)
+        rows: list[tuple[int, bytes, np.ndarray | None]] = []
         size = 0
         for row in chunk.blobs():
             rows.append(row)
@@ -279,10 +306,9 @@ def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         number += 1
         chunk.clear()
 
-    def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        none = [pa.nulls(len(rows), pa.list_(t)) for t in INFO]
-        columns = [pa.array([p for p, _ in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())]
-        return pa.RecordBatch.from_arrays([*columns, *none], ["key", "chunk", "blob", "ids", "held", "n", "known", "base"])
+    def packed(rows: list[tuple[int, bytes, np.ndarray | None]]) -> pa.RecordBatch:
+        parts, blobs, asked = zip(*rows, strict=True)
+        return _addressed(list(parts), number, list(blobs), pa.array(asked, pa.list_(pa.int64())))
 
     for batch in batches:
         for doc, out_of, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
@@ -297,7 +323,7 @@ def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
 def _frequent(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """(c1, c2, w, n, count): what follows spread words, and pairs of spread words, in learned texts.
 
-    c2 is 0 for the single word; count is that of w.
+    c2 is 0 for the single word; count is that of w, 0 for a word without a number.
     """
     head = shared.value
     numbers = held(("words", head.name), lambda: Numbers(head))
@@ -322,7 +348,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
         kind, place = np.unique(w, return_inverse=True)
         key, n = np.unique((c1 * len(names) + c2) << BITS | place, return_counts=True)
         pair, w = key >> BITS, kind[key & (1 << BITS) - 1] if len(key) else key
-        count = np.where(w >= 0, head.counts[np.maximum(w, 0)], head.unnumbered)
+        count = np.where(w >= 0, head.counts[np.maximum(w, 0)], 0)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (names[pair // len(names)], names[pair % len(names)], w, n.astype(np.int64), count)], ["c1", "c2", "w", "n", "count"])
 
     size = 0
@@ -341,7 +367,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
         yield out()
 
 
-def _shared_contexts(texts: DataFrame, shared, head: Head) -> DataFrame | None:
+def _shared_contexts(texts: DataFrame, counted: DataFrame, shared, head: Head) -> DataFrame | None:
     """(c1, c2, w, n, whole, rest, keep) of the listed words of spread words and pairs of them, written; None if there are none."""
     if not head.spread:
         return None
@@ -353,6 +379,8 @@ def _shared_contexts(texts: DataFrame, shared, head: Head) -> DataFrame | None:
     stats = written(stats.withColumn("rest", rest), "frequent-contexts")
     few = min(len(head.spread) * (len(head.spread) + 1), 1 << 30)
     rows = grams.where(F.col("n") >= LEAST).join(hinted(stats, few), ["c1", "c2"])
+    if head.tail:
+        rows = rows.join(tail_counts(counted, head).select(F.col("word").alias("w"), F.col("n").alias("own")), "w", "left").withColumn("count", F.when(F.col("w") < 0, F.col("own")).otherwise(F.col("count")))
     rows = rows.withColumn("p0", (F.col("count") + 0.5) / (head.total + 0.5 * (head.distinct + 1)))
     mass = (F.col("n") - DISCOUNT) / F.col("whole")
     one = rows.where("c2 = 0").withColumn("p", mass + F.col("rest") * F.col("p0"))
@@ -373,7 +401,6 @@ FREQUENT = [("c1", pa.int64()), ("c2", pa.int64()), ("w", pa.int64()), ("n", pa.
 
 def _told(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[pa.RecordBatch]:
     """Listed words of spread contexts, as one blob a batch and part that needs them."""
-    names = ["key", "chunk", "blob", "ids", "held", "n", "known", "base"]
     for batch in batches:
         c1 = np.asarray(batch.column("c1"))
         start = _mixed(c1)
@@ -387,8 +414,7 @@ def _told(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[pa.RecordBa
             with pa.ipc.new_stream(sink, batch.schema) as stream:
                 stream.write_batch(batch.take(pa.array(rows)))
             blobs.append(sink.getvalue().to_pybytes())
-        info = [pa.nulls(len(blobs), pa.list_(t)) for t in INFO]
-        yield pa.RecordBatch.from_arrays([pa.array(list(keys), pa.int64()), pa.array([-1] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), *info], names)
+        yield _addressed(list(keys), LISTED, blobs)
 
 
 # ---- a part ----------------------------------------------------------------------------------------------------------
@@ -400,8 +426,8 @@ def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Part:
     """All contexts that end with some words: counted, tested, and used for every token after them."""
 
-    def __init__(self, head: Head, blobs: list[tuple[int, bytes]], frequent: list[pa.RecordBatch]):
-        self.base, self.head = len(head.counts), head
+    def __init__(self, head: Head, blobs: list[tuple[int, bytes]], frequent: list[pa.RecordBatch], told: list[bytes]):
+        self.base, self.head, self.told = len(head.counts), head, told
         read = [_unblob(b) for _, b in blobs]
         self.odd = np.unique(np.concatenate([names for _, names in read] + [x for b in frequent for x in (np.asarray(b.column("w")),)] or [np.zeros(0, np.int64)]))
         self.odd = self.odd[self.odd < 0]
@@ -423,8 +449,11 @@ class Part:
 
     def contexts(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray) -> None:
         """For each depth: the context of every row (there), the gram of every row, and the tables of both."""
-        counts = np.full(self.width, self.head.unnumbered, np.int64)
+        counts = np.ones(self.width, np.int64)  # of words that no context can list nothing is told
         counts[: self.base] = self.head.counts
+        for blob in self.told:
+            words, n = np.frombuffer(blob, "<i8").reshape(2, -1)
+            counts[self.base + np.searchsorted(self.odd, words)] = n
         self.p0 = self.head.base(counts)
         first, at1 = _numbered(c1)
         second, at2 = _numbered(at1 * self.width + c2)
@@ -514,8 +543,8 @@ def _scored(chunks: list[int], docs: list[bytes], sums: list[bytes], rare: pa.Ar
     return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *info, pa.array(docs, pa.binary()), pa.array(sums, pa.binary()), rare], ["chunk", "ids", "held", "n", "known", "base", "docs", "sums", "rare"])
 
 
-def _score_part(head: Head, blobs: list[tuple[int, bytes]], frequent: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = Part(head, blobs, frequent)
+def _score_part(head: Head, blobs: list[tuple[int, bytes]], frequent: list[pa.RecordBatch], told: list[bytes]) -> Iterator[pa.RecordBatch]:
+    part = Part(head, blobs, frequent, told)
     a, b = part.shares()
     odd = part.w >= part.base
     value = np.where(odd, 0.0, part.k * np.log10(a + b * part.p0[part.w]))
@@ -539,25 +568,27 @@ def _parts_scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
     """Rows of DEALT sorted by key."""
     release()
     head = shared.value
-    now, blobs, frequent = None, [], []
+    now, blobs, frequent, told = None, [], [], []
     for batch in batches:
         keys, chunks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, (key, chunk) in enumerate(zip(keys, chunks, strict=True)):
             if key < 0:  # a chunk's documents
                 one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([one.column(1), *one.columns[3:], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, _RARE)], ["chunk", "ids", "held", "n", "known", "base", "docs", "sums", "rare"])
+                yield pa.RecordBatch.from_arrays([one.column(1), *one.columns[3:8], pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, _RARE)], ["chunk", "ids", "held", "n", "known", "base", "docs", "sums", "rare"])
                 continue
             if key != now:
                 if blobs:
-                    yield from _score_part(head, blobs, frequent)
-                now, blobs, frequent = key, [], []
+                    yield from _score_part(head, blobs, frequent, told)
+                now, blobs, frequent, told = key, [], [], []
             blob = batch.column(2)[i].as_py()
-            if chunk < 0:
+            if chunk == COUNTS:
+                told.append(blob)
+            elif chunk == LISTED:
                 frequent += pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()
             else:
                 blobs.append((chunk, blob))
     if blobs:
-        yield from _score_part(head, blobs, frequent)
+        yield from _score_part(head, blobs, frequent, told)
 
 
 # ---- back to the documents -------------------------------------------------------------------------------------------
@@ -589,8 +620,7 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: st
 
     Tokens are words and one end; null texts have the end alone. base_score is that of independent words. Null ids and
     repeated rows are scored like any other; other columns are not read; an empty table gives an empty result. With nothing
-    to learn every word is as likely as any. Neither head nor part_tokens changes a score, but for this: the divergence test
-    takes a word without a number to be as frequent as the rarest with one.
+    to learn every word is as likely as any. Neither head nor part_tokens changes a score.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), (~learned).alias("held_out"), F.col(text_col).alias("text"))
@@ -602,17 +632,23 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: st
         raise ValueError(f"head and CHUNK need more than {BITS} bits")
     shared, slim_head = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(replace(model, words=[]))
     dealt = slim.mapInArrow(lambda it: _deal(it, shared), DEALT)
-    frequent = _shared_contexts(slim.where(~F.col("held_out")).select("text"), shared, model)
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if model.tail:  # the tests need the counts of words without a number: each part is told of those that it asks for
+        dealt = written(dealt, "dealt")
+        asked = dealt.where(F.size("odd") > 0).select("key", F.explode("odd").alias("word")).distinct()
+        few = tail_counts(counted.where(F.col("n") >= LEAST), model)
+        told = asked.join(few, "word").select("key", "word", "n").repartition(tasks, "key").sortWithinPartitions("key")
+        dealt = dealt.unionByName(told.mapInArrow(_counts_told, DEALT))
+    frequent = _shared_contexts(slim.where(~F.col("held_out")).select("text"), counted, shared, model)
     if frequent is not None:
         dealt = dealt.unionByName(frequent.select(*[n for n, _ in FREQUENT]).mapInArrow(lambda it: _told(it, slim_head.value), DEALT))
-    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_parts = dealt.repartitionById(tasks, F.pmod("key", F.lit(tasks)).cast("int")).sortWithinPartitions("key", "chunk")
+    sorted_parts = dealt.drop("odd").repartitionById(tasks, F.pmod("key", F.lit(tasks)).cast("int")).sortWithinPartitions("key", "chunk")
     scored = written(sorted_parts.mapInArrow(lambda it: _parts_scored(it, slim_head), SCORED), "scored")
     slim_scored = scored.drop("rare").repartition("chunk").sortWithinPartitions("chunk", F.col("docs").isNotNull())
     rows = slim_scored.mapInArrow(_gathered, "chunk long, doc int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
     # words without a number: their counts come by a join; a document's part is summed before it meets the document
     rare = scored.where(F.size("rare") > 0).select("chunk", F.explode("rare").alias("x")).select("chunk", "x.*")
-    counts = counted.where(F.col("n") <= model.unnumbered).select(signed(F.xxhash64("word")).alias("word"), F.col("n"))
+    counts = tail_counts(counted, model)
     base = (F.coalesce(F.col("n"), F.lit(0)) + 0.5) / (model.total + 0.5 * (model.distinct + 1))
     known = F.when(F.col("n") > 0, F.col("k")).otherwise(0)
     tail = rare.join(counts, "word", "left").groupBy("chunk", "doc").agg(F.sum(known).alias("more_known"), F.sum(F.col("k") * F.log10(base)).alias("more_base"), F.sum(F.col("k") * F.log10(F.col("a") + F.col("b") * base)).alias("more"))
