@@ -230,8 +230,20 @@ class Chunk:
         if out:
             yield np.concatenate(out), np.concatenate(docs)
 
-    def blobs(self) -> Iterator[tuple[int, bytes, np.ndarray | None]]:
-        """(part, blob, words without a number whose counts the part's tests need)."""
+    def asked(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(parts, words): words without a number that follow a word in the parts' contexts; each pair once a piece."""
+        for laid, doc in self.pieces():
+            at = np.flatnonzero((doc >= 0) & (laid < 0))
+            at = at[laid[at - 1] != END]
+            words, c = laid[at], [laid[at - d] for d in range(1, DEPTH + 1)]
+            part = _parts(words, c, self.numbers.spread, self.head.parts)
+            order = np.lexsort((words, part))
+            part, words = part[order], words[order]
+            first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (words[1:] != words[:-1])))[: len(part)])
+            yield part[first], words[first]
+
+    def blobs(self) -> Iterator[tuple[int, bytes]]:
+        """(part, blob)."""
         base, parts = len(self.head.counts), self.head.parts
         learned = np.array([not d[1] for d in self.docs], np.int64)
         for laid, doc in self.pieces():
@@ -255,22 +267,38 @@ class Chunk:
             part = part[keep]
             cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                asked = names[np.unique(columns[3][a:b][(marked[a:b] & 1 > 0) & (columns[3][a:b] >= base)]) - base] if self.head.tail else None
-                yield int(part[a]), _blob([*(x[a:b] for x in columns), marked[a:b], k[a:b], names], base, self.press), asked
+                yield int(part[a]), _blob([*(x[a:b] for x in columns), marked[a:b], k[a:b], names], base, self.press)
 
 
-DEALT = "key long, chunk long, blob binary, ids array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>, odd array<long>"
-DEALT_NAMES = ["key", "chunk", "blob", "ids", "held", "n", "known", "base", "odd"]
+DEALT = "key long, chunk long, blob binary, ids array<long>, held array<boolean>, n array<long>, known array<long>, base array<double>"
+DEALT_NAMES = ["key", "chunk", "blob", "ids", "held", "n", "known", "base"]
 #: Chunk numbers of what parts are told: counts of words, listed words of spread contexts.
 COUNTS, LISTED = -2, -1
 INFO = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
 
 
-def _addressed(parts: list[int], chunk: int, blobs: list[bytes], asked: pa.Array | None = None) -> pa.RecordBatch:
+def _addressed(parts: list[int], chunk: int, blobs: list[bytes]) -> pa.RecordBatch:
     """Blobs for parts as rows of DEALT."""
     none = [pa.nulls(len(blobs), pa.list_(t)) for t in INFO]
-    asked = pa.nulls(len(blobs), pa.list_(pa.int64())) if asked is None else asked
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([chunk] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), *none, asked], DEALT_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([chunk] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), *none], DEALT_NAMES)
+
+
+def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(key, word): the words without a number whose counts the parts' tests need, from learned texts."""
+    head = shared.value
+    chunk = Chunk(held(("words", head.name), lambda: Numbers(head)), head)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for part, words in chunk.asked():
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words)], ["key", "word"])
+        chunk.clear()
+
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            chunk.add(None, False, text.as_py())
+            if chunk.size >= CHUNK:
+                yield from out()
+    yield from out()
 
 
 def _counts_told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,8 +320,8 @@ def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
     def out() -> Iterator[pa.RecordBatch]:
         nonlocal number
         info = [pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*chunk.docs, strict=True), INFO, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([-1 - number]), pa.array([number]), pa.array([None], pa.binary()), *info, pa.nulls(1, pa.list_(pa.int64()))], DEALT_NAMES)
-        rows: list[tuple[int, bytes, np.ndarray | None]] = []
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - number]), pa.array([number]), pa.array([None], pa.binary()), *info], DEALT_NAMES)
+        rows: list[tuple[int, bytes]] = []
         size = 0
         for row in chunk.blobs():
             rows.append(row)
@@ -306,9 +334,8 @@ def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         number += 1
         chunk.clear()
 
-    def packed(rows: list[tuple[int, bytes, np.ndarray | None]]) -> pa.RecordBatch:
-        parts, blobs, asked = zip(*rows, strict=True)
-        return _addressed(list(parts), number, list(blobs), pa.array(asked, pa.list_(pa.int64())))
+    def packed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return _addressed([p for p, _ in rows], number, [b for _, b in rows])
 
     for batch in batches:
         for doc, out_of, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
@@ -634,15 +661,14 @@ def score(docs: DataFrame, learned: Column, id_col: str = "doc_id", text_col: st
     dealt = slim.mapInArrow(lambda it: _deal(it, shared), DEALT)
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     if model.tail:  # the tests need the counts of words without a number: each part is told of those that it asks for
-        dealt = written(dealt, "dealt")
-        asked = dealt.where(F.size("odd") > 0).select("key", F.explode("odd").alias("word")).distinct()
+        asked = slim.where(~F.col("held_out")).select("text").mapInArrow(lambda it: _asked(it, shared), "key long, word long").distinct()
         few = tail_counts(counted.where(F.col("n") >= LEAST), model)
         told = asked.join(few, "word").select("key", "word", "n").repartition(tasks, "key").sortWithinPartitions("key")
         dealt = dealt.unionByName(told.mapInArrow(_counts_told, DEALT))
     frequent = _shared_contexts(slim.where(~F.col("held_out")).select("text"), counted, shared, model)
     if frequent is not None:
         dealt = dealt.unionByName(frequent.select(*[n for n, _ in FREQUENT]).mapInArrow(lambda it: _told(it, slim_head.value), DEALT))
-    sorted_parts = dealt.drop("odd").repartitionById(tasks, F.pmod("key", F.lit(tasks)).cast("int")).sortWithinPartitions("key", "chunk")
+    sorted_parts = dealt.repartitionById(tasks, F.pmod("key", F.lit(tasks)).cast("int")).sortWithinPartitions("key", "chunk")
     scored = written(sorted_parts.mapInArrow(lambda it: _parts_scored(it, slim_head), SCORED), "scored")
     slim_scored = scored.drop("rare").repartition("chunk").sortWithinPartitions("chunk", F.col("docs").isNotNull())
     rows = slim_scored.mapInArrow(_gathered, "chunk long, doc int, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
