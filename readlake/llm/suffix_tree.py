@@ -446,8 +446,14 @@ def _told(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[pa.RecordBa
 
 # ---- a part ----------------------------------------------------------------------------------------------------------
 def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    kind, place = np.unique(key, return_inverse=True)
-    return kind, place.ravel()
+    """Distinct keys, and the place of each key among them; a part has less than 2^31 rows."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    fresh = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=fresh[1:])
+    place = np.empty(len(key), np.int32)
+    place[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return key[fresh], place
 
 
 class Part:
@@ -467,7 +473,9 @@ class Part:
                     x[odd] = place[x[odd] - self.base]
             columns.append(rows)
         self.rows = np.cumsum([0, *(len(c[0]) for c in columns)]).tolist()
-        c1, c2, c3, self.w, self.doc, self.k = (np.concatenate([c[i] for c in columns]).astype(np.int64) for i in range(6))
+        del read
+        c1, c2, c3, self.w, self.doc, self.k = (np.concatenate([c[i] for c in columns]) for i in range(6))
+        columns.clear()
         self.times = self.k * (self.doc & 1)  # of learned texts
         self.doc >>= 1
         self.frequent = frequent
@@ -483,8 +491,8 @@ class Part:
             counts[self.base + np.searchsorted(self.odd, words)] = n
         self.p0 = self.head.base(counts)
         first, at1 = _numbered(c1)
-        second, at2 = _numbered(at1 * self.width + c2)
-        _, at3 = _numbered(at2 * self.width + c3)
+        second, at2 = _numbered(at1.astype(np.int64) * self.width + c2)
+        _, at3 = _numbered(at2.astype(np.int64) * self.width + c3)
         self.levels: list[dict] = []
         short = None
         for at, there, up in ((at1, c1 != END, None), (at2, c2 != END, at1), (at3, c3 != END, at2)):
@@ -494,18 +502,22 @@ class Part:
                 self.tell(short, {(int(c), 0): i for i, c in enumerate(first)}, 0)
             elif len(self.levels) == 2:
                 self.tell(short, {(int(first[x // self.width]), int(x % self.width)): i for i, x in enumerate(second) if x % self.width} if self.frequent else {}, 1)
-            self.test(short, self.levels[-2] if len(self.levels) > 1 else None)
+            before = self.levels[-2] if len(self.levels) > 1 else None
+            self.test(short, before)
+            if before is not None:  # what scores don't need
+                for name in ("context", "word", "n", "p"):
+                    del before[name]
 
     def level(self, at: np.ndarray, there: np.ndarray, up: np.ndarray | None, short: dict | None) -> dict:
         """Counts of the contexts at a depth and of their grams."""
         many = int(at.max()) + 1
-        gram, of = _numbered(at * self.width + self.w)
+        gram, of = _numbered(at.astype(np.int64) * self.width + self.w)
         times = np.where(there, self.times, 0)
         n = np.bincount(of, times, len(gram))
-        x = {"at": at, "of": of, "there": there, "context": gram // self.width, "word": gram % self.width, "n": n, "whole": np.bincount(at, times, many)}
+        x = {"at": at, "of": of, "there": there, "context": (gram // self.width).astype(np.int32), "word": (gram % self.width).astype(np.int32), "n": n, "whole": np.bincount(at, times, many)}
         if short is not None:
-            row = np.zeros(len(gram), np.int64)
-            row[of] = np.arange(len(of))  # any row of the gram tells its shorter form
+            row = np.zeros(len(gram), np.int32)
+            row[of] = np.arange(len(of), dtype=np.int32)  # any row of the gram tells its shorter form
             x["up"] = short["of"][row]
         return self.weighed(x)
 
@@ -519,7 +531,7 @@ class Part:
     def tell(self, x: dict, places: dict[tuple[int, int], int], depth: int) -> None:
         """Put in what has been counted over all parts for the contexts that this part shares with others."""
         x["keep"] = np.zeros(len(x["whole"]), bool)
-        key = x["context"] * self.width + x["word"]
+        key = x["context"].astype(np.int64) * self.width + x["word"] if self.frequent else None
         for b in self.frequent:
             c1, c2, w, n, whole, rest, keep = (np.asarray(b.column(name)) if kind != pa.bool_() else b.column(name).to_numpy(zero_copy_only=False) for name, kind in FREQUENT)
             rows = np.flatnonzero(c2 != 0) if depth else np.flatnonzero(c2 == 0)
@@ -542,6 +554,7 @@ class Part:
         """Keep the contexts that save enough bits; those told of have been tested already."""
         x.setdefault("keep", np.zeros(len(x["whole"]), bool))
         p_short = self.p0[x["word"]] if short is None else short["p"][x["up"]]
+        x.pop("up", None)
         x["p"] = x["mass"] + x["rest"][x["context"]] * p_short
         listed = np.flatnonzero(x["n"] >= LEAST)
         context, n = x["context"][listed], x["n"][listed]
@@ -586,7 +599,7 @@ def _score_part(head: Head, blobs: list[tuple[int, bytes]], frequent: list[pa.Re
         picked.append(rows)
         offsets.append(offsets[-1] + len(rows))
     rows = np.concatenate(picked)
-    fields = [pa.array(part.doc[rows].astype(np.int32)), pa.array(part.odd[part.w[rows] - part.base]), pa.array(a[rows]), pa.array(b[rows]), pa.array(part.k[rows])]
+    fields = [pa.array(part.doc[rows].astype(np.int32)), pa.array(part.odd[part.w[rows] - part.base]), pa.array(a[rows]), pa.array(b[rows]), pa.array(part.k[rows].astype(np.int64))]
     rare = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_RARE.value_type)))
     yield _scored([c for c, _ in blobs], docs, sums, rare)
 
