@@ -620,6 +620,7 @@ def _parts_scored(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
                 if blobs:
                     yield from _score_part(head, blobs, frequent, told)
                 now, blobs, frequent, told = key, [], [], []
+                held(("part", key), lambda: None)  # freed memory of the part before goes back to the system
             blob = batch.column(2)[i].as_py()
             if chunk == COUNTS:
                 told.append(blob)
