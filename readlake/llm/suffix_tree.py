@@ -34,7 +34,7 @@ GAIN = 2.0
 #: Most frequent words that are numbered; all others are known by their hash, and their counts come by a join.
 HEAD = 1 << 19
 #: Tokens that a task packs at once, and tokens of a part. A chunk must number its words in BITS bits.
-CHUNK, PART_TOKENS, BITS = 500_000, 2_000_000, 21
+CHUNK, PART_TOKENS, BITS = 500_000, 1_000_000, 21
 #: Number of the end of a text; among the words before a token it means none.
 END = 0
 
