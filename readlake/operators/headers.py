@@ -44,7 +44,7 @@ def _words(slots: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.ceil(size / WORD).cast("int") - 1), of)
 
 
-def _own(token: Column) -> Column:
+def own_kind(token: Column) -> Column:
     """Kind of a token that stands alone."""
     digits = token.rlike("^(0|0?[1-9][0-9]{0,17})$")
     hexed = token.rlike("^0?([1-9a-f][0-9a-f]{0,14}|[1-9A-F][0-9A-F]{0,14})$")
@@ -66,7 +66,7 @@ def typed(df: DataFrame, header: str = "header", order: str = "rec", block: int
     d = d.withColumn("fresh", F.coalesce(~F.col("__prev.v").eqNullSafe(F.col("sig")), F.lit(True)))
     t = d.select(order, "fresh", F.posexplode(header_tokens(F.col("h"))).alias("slot", "token")).withColumn("block", F.floor(F.col(order) / block))
     token = F.col("token")
-    t = t.withColumn("own", _own(token))
+    t = t.withColumn("own", own_kind(token))
     w = Window.partitionBy("block", "slot").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("session", F.sum(F.when(F.col("fresh") | (F.col("own") == "str"), 1).otherwise(0)).over(w))
     inside = Window.partitionBy("block", "slot", "session").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -118,7 +118,7 @@ def rebuilt(kept: DataFrame, order: str = "rec", block: int = BLOCK) -> DataFram
     """
     k = kept.withColumn("block", F.floor(F.col(order) / block))
     whole = k.where(F.col("header").isNotNull()).select(order, "block", F.posexplode(header_tokens(F.col("header"))).alias("slot", "text"))
-    whole = whole.withColumn("kind", _own(F.col("text"))).withColumn("step", _number(F.col("text"), F.col("kind")))
+    whole = whole.withColumn("kind", own_kind(F.col("text"))).withColumn("step", _number(F.col("text"), F.col("kind")))
     bits = F.filter(F.sequence(F.lit(0), F.size("changed") * WORD - 1), lambda i: F.call_function("shiftright", F.get(F.col("changed"), F.floor(i / WORD).cast("int")), (i % WORD).cast("int")).bitwiseAND(F.lit(1)) == 1)
     pairs = k.where(F.col("changed").isNotNull()).select(order, "block", F.explode(F.arrays_zip(bits.alias("slot"), F.col("entries").alias("e"))).alias("x")).select(order, "block", "x.slot", "x.e.*")
     pairs = pairs.withColumn("step", F.when(F.col("less"), -F.col("delta")).otherwise(F.col("delta")))
