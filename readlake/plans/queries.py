@@ -21,6 +21,8 @@ from readlake.operators import sparse as X
 from readlake.operators.ordered import running_sum
 from readlake.sources import archive, fastq
 from readlake.sources.scratch import scratch_path
+from readlake.streaming.headers import KEPT, stream_encoded, stream_rebuilt
+from readlake.streaming.ingest import drained
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -356,6 +358,14 @@ def header_reconstruction(spark, d):
     return H.rebuilt(H.encoded(_urls(spark, d)))
 
 
+@query("SELECT page_id AS rec, url AS header FROM pages")
+def header_stream_reconstruction(spark, d):
+    pages = spark.readStream.schema(t(spark, d, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    drained(stream_encoded(pages.withColumn("file", F.lit("pages")), "url", order="page_id"), path := scratch_path(spark, "headers"))
+    kept = spark.readStream.schema(KEPT).parquet(f"{path}/rows")
+    return drained(stream_rebuilt(kept), f"{path}/back").select("rec", "header")
+
+
 # ---- bases -----------------------------------------------------------------------------------------------------------
 @query("SELECT lang, code, count(*) AS n FROM (SELECT lang, unnest(string_split(translate(seq, 'ACGT', '0123'), '')) AS code FROM reads) WHERE code <> '' GROUP BY ALL")
 def base_codes(spark, d):

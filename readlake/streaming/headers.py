@@ -23,6 +23,8 @@ from readlake.operators.ordered import BLOCK
 #: The record before (its number, its marks or null if it had no header), and its tokens, last numbers and modes by slot.
 STATE = "last long, marks string, tokens array<string>, numbers array<long>, hexed array<boolean>"
 ENTRY = ["kind", "zero", "caps", "less", "delta", "text"]
+#: What a stream of headers keeps.
+KEPT = "file string, rec long, header string, changed array<long>, entries array<struct<kind: string, zero: boolean, caps: boolean, less: boolean, delta: bigint, text: string>>"
 ENTRIES = "kind array<string>, zero array<boolean>, caps array<boolean>, less array<boolean>, delta array<long>, text array<string>"
 
 

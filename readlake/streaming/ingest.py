@@ -30,3 +30,10 @@ def stream_profile(spark: SparkSession, folder: str, late: str = "10 minutes", s
     """Streaming counts of events (ts, event_type) per window and type; events later than the watermark are left out."""
     events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(folder)
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """The table path/rows: what the stream gives for all that its sources hold now; path/marks keeps how far it came."""
+    sink = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/marks")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -6,10 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from readlake.operators import headers as H
-from readlake.streaming.headers import stream_encoded, stream_rebuilt
+from readlake.streaming.headers import KEPT, stream_encoded, stream_rebuilt
 
 ROWS = "file string, rec long, header string, header_ string"
-KEPT = "file string, rec long, header string, changed array<long>, entries array<struct<kind: string, zero: boolean, caps: boolean, less: boolean, delta: bigint, text: string>>"
 
 
 def headers(n, seed):
