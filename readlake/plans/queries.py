@@ -19,7 +19,7 @@ from readlake.operators import reads as R
 from readlake.operators import records as P
 from readlake.operators import sparse as X
 from readlake.operators.ordered import running_sum
-from readlake.sources import archive, fastq
+from readlake.sources import archive, fastq, lookup, sink
 from readlake.sources.scratch import scratch_path
 from readlake.streaming.headers import KEPT, stream_encoded, stream_rebuilt
 from readlake.streaming.ingest import drained
@@ -184,6 +184,26 @@ def fastq_source(spark, d):
     return fastq.read_fastq(spark, path, split=1 << 20).select("header", F.md5(text.cast("binary")).alias("md5"), "problem")
 
 
+@query("SELECT source || '.fq' AS name, header, md5('@' || header || chr(10) || seq || chr(10) || plus || chr(10) || qual) AS md5 FROM reads")
+def fastq_sink(spark, d):
+    """Reads written in place, one file for each source, and read back."""
+    r, path = reads(spark, d).withColumn("file", F.col("source")), scratch_path(spark, "sink")
+    names = r.select("file").distinct().select("file", F.concat("file", F.lit(".fq")).alias("name"), F.lit(True).alias("ended"))
+    sink.write_whole(r, names, path)
+    text = P.record_text(F.col("header"), F.col("seq"), F.col("plus"), F.col("qual"))
+    return fastq.read_fastq(spark, path, split=1 << 20).select(fastq.file_name(F.col("file")).alias("name"), "header", F.md5(text.cast("binary")).alias("md5"))
+
+
+@query("SELECT rec, header, md5(seq) AS seq FROM reads WHERE header IN (SELECT header FROM reads ORDER BY length(seq) DESC, rec LIMIT 10)")
+def archive_lookup(spark, d):
+    """The ten longest reads, found in the archive of all by their headers."""
+    r, path = reads(spark, d).withColumn("file", F.col("source")), scratch_path(spark, "archive")
+    archive.write_archive(r.select("file", "rec", "header", "seq", "plus", "qual"), path)
+    lookup.index_headers(spark, path)
+    longest = [x["header"] for x in r.orderBy(F.desc(F.length("seq")), "rec").limit(10).select("header").collect()]
+    return lookup.find(spark, path, longest).select("rec", "header", F.md5(F.col("seq").cast("binary")).alias("seq"))
+
+
 @query("SELECT source AS file, rec, md5(header || chr(10) || seq || chr(10) || plus || chr(10) || qual) AS md5 FROM reads")
 def archive_roundtrip(spark, d):
     """Reads, a file for each source, through the typed archive."""
