@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from readlake.operators.ordered import BLOCK
+from readlake.operators.inspect import DIGEST_BLOCK as BLOCK
 from readlake.operators.records import record_text
 
-#: Bytes that a task gathers before it writes; rows of the table of blocks that may be broadcast.
-GATHERED, BROADCAST_BLOCKS = 4 << 20, 200_000
+#: Bytes that a task gathers before it writes; rows of a table of files or of blocks that may be broadcast.
+GATHERED, BROADCAST_ROWS = 4 << 20, 200_000
 
 
 def _local(path: str) -> str:
@@ -130,20 +130,23 @@ class FastqFiles(DataSource):
         return _Writer(self.options["path"], self.options.get("replace", "false") == "true")
 
 
+def _small(table: DataFrame) -> DataFrame:
+    """The table of files or of blocks, to be broadcast if its counted rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def placed(records: DataFrame, names: DataFrame, block: int = BLOCK) -> DataFrame:
     """(name, at, rec, value): each record's text with its line feed, and where its block of records begins in its file."""
     slim, of = records.select("file", "rec", "header", "seq", "plus", "qual"), names.select(F.col("file").alias("__file"), "name", "ended")
-    named = slim.join(of, F.col("file") == F.col("__file"))
-    last = named.where(~F.col("ended")).groupBy("name").agg(F.max("rec").alias("__last")).withColumnRenamed("name", "__name")
+    named = slim.join(_small(of), F.col("file") == F.col("__file"))
     text = record_text(F.col("header"), F.col("seq"), F.col("plus"), F.col("qual"))
-    d = named.join(last, F.col("name") == F.col("__name"), "left").withColumn("block", F.floor(F.col("rec") / block).cast("long"))
-    d = d.select("name", "block", "rec", F.concat(text, F.when(F.col("rec") == F.col("__last"), "").otherwise("\n")).alias("value"))
-    sizes = d.groupBy("name", "block").agg(F.sum(F.octet_length("value")).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(F.col("name").alias("__name"), F.col("block").alias("__block"), F.coalesce(before, F.lit(0)).cast("long").alias("at"))
-    if sizes.count() <= BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
-    rows = d.join(starts, (F.col("name") == F.col("__name")) & (F.col("block") == F.col("__block")))
+    d = named.select("name", "ended", F.floor(F.col("rec") / block).cast("long").alias("block"), "rec", text.alias("text"))
+    sizes = d.groupBy("name", "block").agg(F.sum(F.octet_length("text") + 1).alias("n"), F.max("rec").alias("top"))
+    file = Window.partitionBy("name")
+    before = F.sum("n").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("name").alias("__name"), F.col("block").alias("__block"), F.coalesce(before, F.lit(0)).cast("long").alias("at"), F.max("top").over(file).alias("last"))
+    rows = d.join(_small(starts), (F.col("name") == F.col("__name")) & (F.col("block") == F.col("__block")))
+    rows = rows.withColumn("value", F.concat("text", F.when(~F.col("ended") & (F.col("rec") == F.col("last")), "").otherwise("\n")))
     return rows.select("name", "at", "rec", "value").repartition("name", "at").sortWithinPartitions("name", "at", "rec")
 
 
