@@ -380,7 +380,8 @@ def header_reconstruction(spark, d):
 
 @query("SELECT page_id AS rec, url AS header FROM pages")
 def header_stream_reconstruction(spark, d):
-    pages = spark.readStream.schema(t(spark, d, "pages").schema).option("pathGlobFilter", "pages.parquet").parquet(d)
+    # as a pattern: the table may be one file or a folder of files of any name
+    pages = spark.readStream.schema(t(spark, d, "pages").schema).parquet(f"{d}/pages.parque[t]")
     drained(stream_encoded(pages.withColumn("file", F.lit("pages")), "url", order="page_id"), path := scratch_path(spark, "headers"))
     kept = spark.readStream.schema(KEPT).parquet(f"{path}/rows")
     return drained(stream_rebuilt(kept), f"{path}/back").select("rec", "header")

@@ -78,3 +78,17 @@ def test_empty_and_late(spark, tmp_path):
 def test_no_number(spark, tmp_path):
     with pytest.raises(Exception, match="a record has no number"):
         streamed(spark, tmp_path, [[("a", None, "x.1", None)]], ROWS, stream_encoded)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_query_reads_folders_too(spark, tmp_path, parts):
+    """A table may be a folder of files of any name, as well as one file."""
+    from readlake.plans.queries import QUERIES
+
+    rows = [(i, f"http://a.org/x{i}/7") for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string").repartition(parts).write.parquet(str(tmp_path / "pages.parquet"))
+    if parts == 1:
+        (tmp_path / "one").mkdir()
+        next((tmp_path / "pages.parquet").glob("part-*")).rename(tmp_path / "one/pages.parquet")
+    found = QUERIES["header_stream_reconstruction"](spark, str(tmp_path / "one" if parts == 1 else tmp_path))
+    assert sorted(map(tuple, found.collect())) == rows
