@@ -64,8 +64,8 @@ def windows(df: DataFrame, seq: str, size: int) -> DataFrame:
     return df.select(F.col(seq).cast("binary").alias("__raw")).select(F.explode(F.transform(places, lambda i: F.substring(raw, i, F.lit(size)))).alias("window"))
 
 
-#: Bytes of the longest minimizer, and bytes of sequences that are looked through at once.
-MINIMIZER, SLICE = 8, 1 << 20
+#: Bytes of the longest minimizer, bytes of sequences that are looked through at once, and of stretches compared at once.
+MINIMIZER, SLICE, GROUP = 16, 1 << 20, 1 << 21
 _COMPLEMENT = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
 
 
@@ -76,6 +76,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def _hashes(raw: bytes, size: int) -> np.ndarray:
+    """64 bits for the `size` bytes that begin at each place, equal where these are; by doubling, exact up to 8 bytes."""
+    h, have = np.frombuffer(raw, np.uint8).astype(np.uint64), 1
+    while 2 * have <= size:
+        if have < 8:
+            h = h[:-have] | h[have:] << np.uint64(8 * have)
+        else:
+            h = _mixed(h)
+            h = h[:-have] * np.uint64(0x9E3779B97F4A7C15) + h[have:]
+        have *= 2
+    h = _mixed(h)
+    if have < size:  # two that overlap
+        h = _mixed(h[: len(raw) - size + 1] * np.uint64(0x9E3779B97F4A7C15) + h[size - have :])
+    return h
+
+
 def _least(h: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` neighbours, by doubling."""
     n, out, have = len(h) - width + 1, h, 1
@@ -86,20 +102,26 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return out[:n]
 
 
+def _turned(raw: bytes) -> bytes:
+    """The reverse complement."""
+    return raw.translate(_COMPLEMENT)[::-1]
+
+
+def _inside(lengths: np.ndarray, size: int) -> np.ndarray:
+    """Where windows begin that don't reach from one of the joined texts into the next."""
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    return np.flatnonzero(np.arange(len(ends)) + size <= ends)
+
+
 def _stretches(batches: Iterator[pa.RecordBatch], size: int, m: int, canonical: bool) -> Iterator[pa.RecordBatch]:
     """(minimizer, stretch, n): neighbouring windows that share their least m-byte word, as one stretch; equal ones counted."""
 
     def of(seqs: list[bytes]) -> pa.RecordBatch:
         raw = b"".join(seqs)
-        flat, lengths = np.frombuffer(raw, np.uint8).astype(np.uint64), np.array([len(x) for x in seqs])
-        words = len(flat) - m + 1
-        pack = lambda a, order: sum((a[j : words + j] << np.uint64(8 * k) for j, k in zip(range(m), order, strict=True)), np.zeros(words, np.uint64))
-        h = _mixed(pack(flat, reversed(range(m))))
+        h = _hashes(raw, m)
         if canonical:
-            other = np.frombuffer(raw.translate(_COMPLEMENT), np.uint8).astype(np.uint64)
-            h = np.minimum(h, _mixed(pack(other, range(m))))
-        least, ends = _least(h, size - m + 1), np.repeat(np.cumsum(lengths), lengths)
-        at = np.flatnonzero(np.arange(len(least)) + size <= ends[: len(least)])
+            h = np.minimum(h, _hashes(_turned(raw), m)[::-1])
+        least, at = _least(h, size - m + 1), _inside(np.array([len(x) for x in seqs]), size)
         new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (least[at][1:] != least[at][:-1]))))
         begins, stops = at[new], at[np.append(new[1:], len(at)) - 1] + size
         found = Counter(zip(least[begins].view(np.int64).tolist(), (raw[a:z] for a, z in zip(begins.tolist(), stops.tolist(), strict=True)), strict=True))
@@ -121,24 +143,88 @@ def _stretches(batches: Iterator[pa.RecordBatch], size: int, m: int, canonical:
             yield of(waiting)
 
 
+def _distinct(parts: list[bytes], lengths: list[np.ndarray], size: int, canonical: bool, of: int = 1, nth: int = 0) -> int:
+    """How many different windows joined stretches have, of those whose hash leaves nth when divided by `of`.
+
+    Windows are sorted by hash, and those of equal hash are compared byte by byte; should two differ, texts are counted.
+    """
+    wanted, hashes, places, base = [], [], [], 0
+    for raw, long in zip(parts, lengths, strict=True):
+        at = _inside(long, size)
+        h, start = _hashes(raw, size)[at], at
+        wanted.append(raw)
+        if canonical:
+            back, there = _turned(raw), len(raw) - size - at
+            other = _hashes(back, size)[there]
+            start, h = np.where(other < h, len(raw) + there, at), np.minimum(h, other)
+            wanted.append(back)
+        if of > 1:
+            mine = h % np.uint64(of) == nth
+            h, start = h[mine], start[mine]
+        hashes.append(h)
+        places.append(start + base)
+        base += len(raw) * (2 if canonical else 1)
+    whole = np.frombuffer(b"".join(wanted), np.uint8)
+    h, at = np.concatenate(hashes), np.concatenate(places)
+    order = np.argsort(h)
+    h, at = h[order], at[order]
+    again = np.flatnonzero(h[1:] == h[:-1])
+    view = np.lib.stride_tricks.sliding_window_view(whole, size)
+    if all((view[at[x]] == view[at[x + 1]]).all() for x in np.array_split(again, len(again) // (1 << 14) + 1)):
+        return len(h) - len(again)
+    texts = {view[i].tobytes() for i in at.tolist()}
+    return len({min(x, _turned(x)) for x in texts} if canonical else texts)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], size: int, canonical: bool) -> Iterator[pa.RecordBatch]:
+    """(windows, distinct) of stretches sorted by minimizer: whole minimizers are counted together, GROUP bytes or so at once.
+
+    A minimizer of more than that is gone through several times, each time for a share of its windows.
+    """
+    done: list[tuple[bytes, np.ndarray, np.ndarray]] = []  # (joined stretches, lengths, n) of minimizers that are complete
+    now: list[tuple[bytes, np.ndarray, np.ndarray]] = []  # of the one that may go on
+    key = None
+
+    def out(rows: list) -> pa.RecordBatch:
+        parts, lengths, n = zip(*rows, strict=True)
+        shares = max(1, sum(map(len, parts)) // (4 * GROUP))
+        windows = sum(int(((long - size + 1) * k).sum()) for long, k in zip(lengths, n, strict=True))
+        distinct = sum(_distinct(parts, lengths, size, canonical, shares, k) for k in range(shares))
+        return pa.RecordBatch.from_arrays([pa.array([windows], pa.int64()), pa.array([distinct], pa.int64())], ["windows", "distinct"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, n, column = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).cast(pa.large_binary())
+        offsets, raw = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1], memoryview(column.buffers()[2])
+        piece = lambda a, z: (bytes(raw[offsets[a] : offsets[z]]), np.diff(offsets[a : z + 1]), n[a:z].copy())  # noqa: B023, E731
+        last = int(np.count_nonzero(keys != keys[-1]))  # where the batch's last minimizer begins
+        if keys[0] != key or last:
+            done, now = done + now, []
+        if last:
+            done.append(piece(0, last))
+        now.append(piece(last, len(keys)))
+        key = keys[-1]
+        if sum(len(x) for x, _, _ in done) >= GROUP:
+            yield out(done)
+            done = []
+    if done or now:
+        yield out(done + now)
+
+
 def distinct_windows(df: DataFrame, seq: str, size: int, canonical: bool = False) -> DataFrame:
     """(windows, distinct_windows), exact; canonical: a window and its reverse complement are the same.
 
     Windows go to the task of their minimizer, the word with the least hash in them. Neighbours mostly share it, so they
     travel as one stretch and a base is shuffled a few times, not `size` times; equal windows have the same minimizer, so
-    they meet. Equal stretches of a task travel once. Windows are of bytes, so of characters where a sequence is ASCII.
+    they meet. Equal stretches of a task travel once. A task sorts stretches, never windows: it counts those of a few
+    minimizers at a time. Windows are of bytes, so of characters where a sequence is ASCII.
     Null sequences and those shorter than a window have none; an empty table has 0 of both.
     """
     m = max(1, min(MINIMIZER, size // 2))
     rows = df.select(F.col(seq).cast("binary").alias("seq")).mapInArrow(lambda it: _stretches(it, size, m, canonical), "minimizer long, stretch binary, n long").repartition("minimizer")
-    places = F.sequence(F.lit(1), F.length("stretch") - size + 1)
-    window = F.substring(F.col("stretch"), F.col("at"), F.lit(size))
-    w = rows.select("minimizer", "stretch", "n", F.explode(places).alias("at")).select("minimizer", "n", window.alias("window"))
-    if canonical:
-        text = F.col("window").cast("string")
-        w = w.select("minimizer", "n", F.least(text, F.reverse(F.translate(text, "ACGTacgt", "TGCAtgca"))).alias("window"))
-    one = w.groupBy("minimizer", "window").agg(F.sum("n").alias("n"))  # no exchange: a minimizer's windows are together
-    return one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("windows"), F.count("*").alias("distinct_windows"))
+    one = rows.sortWithinPartitions("minimizer").mapInArrow(lambda it: _counted(it, size, canonical), "windows long, distinct long")
+    return one.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("windows"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("distinct_windows"))
 
 
 #: Rows of a block of digests.

@@ -45,9 +45,9 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def reads(spark: SparkSession, d: str, cut: bool = True) -> DataFrame:
     docs = t(spark, d, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    seq = F.regexp_replace(F.translate("text", "acgtn", "ACGTN"), "[^ACGTN]", "")
+    seq = F.upper(F.regexp_replace("text", "[^ACGTNacgtn]+", ""))  # only ASCII is left
     header = F.concat("source", F.lit("."), F.col("doc_id").cast("string"), F.lit(":"), "lang", F.lit(" length="), F.length(seq).cast("string"))
-    qual = F.regexp_replace("text", "[^!-~]", "")
+    qual = F.regexp_replace("text", "[^!-~]+", "")
     df = docs.select(F.col("doc_id").alias("rec"), "lang", "source", header.alias("header"), seq.alias("seq"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("+"), header)).otherwise("+").alias("plus"), qual.alias("qual"))
     return df.withColumn("qual", F.expr("substring(qual, 1, length(seq))")) if cut else df
 
