@@ -282,10 +282,12 @@ def oversized_split(spark, d):
 
 @query("SELECT row_number() OVER (ORDER BY rec) AS nth, rec, md5(header || seq || qual) AS md5, length(header) >= 30 OR length(seq) >= 500 OR length(qual) >= 500 AS oversized FROM reads")
 def oversized_merge(spark, d):
-    regular, large = P.split_by(reads(spark, d), C.oversized(F.col("header"), F.col("seq"), F.col("qual"), 30, 500))
-    both = P.merged(regular.withColumn("oversized", F.lit(False)), large.withColumn("oversized", F.lit(True)))
-    slim = both.select("rec", F.md5(F.concat("header", "seq", "qual").cast("binary")).alias("md5"), "oversized")
-    return running_sum(slim, F.lit(1).cast("long"), "nth", ["rec"]).select("nth", "rec", "md5", "oversized")
+    """Each record's digest and part are kept once: splitting, the ranges' sample, counts of blocks and rows all read them."""
+    large = C.oversized(F.col("header"), F.col("seq"), F.col("qual"), 30, 500)
+    slim, path = reads(spark, d).select("rec", F.md5(F.concat("header", "seq", "qual").cast("binary")).alias("md5"), large.alias("oversized")), scratch_path(spark, "merge")
+    slim.write.parquet(path)
+    both = P.merged(*P.split_by(spark.read.schema(slim.schema).parquet(path), F.col("oversized")))
+    return running_sum(both, F.lit(1).cast("long"), "nth", ["rec"]).select("nth", "rec", "md5", "oversized")
 
 
 @query("SELECT rec, md5(header || chr(10) || seq || chr(10) || qual) AS md5 FROM reads")
