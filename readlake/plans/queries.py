@@ -416,9 +416,7 @@ def unknown_reconcile(spark, d):
 @query(BASES + "SELECT rec, pos, base FROM bases WHERE base = 'N' OR q = 0")
 def unknown_restore(spark, d):
     e = R.exceptions(reads(spark, d).where(F.length("seq") > 0))
-    back = R.restored_bases(e)  # codes, qualities and lists of a record are one row: nothing is shuffled
-    odd = F.filter(F.arrays_zip(R.letters(F.col("codes")).alias("base"), "q", F.sequence(F.lit(0), F.size("q") - 1).alias("pos")), lambda x: (x["base"] == "N") | (x["q"] == 0))
-    return back.select("rec", F.explode(odd).alias("x")).select("rec", F.col("x.pos").cast("long").alias("pos"), "x.base")
+    return R.odd_bases(R.restored_bases(e))  # codes, qualities and lists of a record are one row: nothing is shuffled
 
 
 @query(
@@ -427,9 +425,10 @@ def unknown_restore(spark, d):
 SELECT CAST(ordinal AS BIGINT) AS ordinal, CAST(ordinal - coalesce(lag(ordinal) OVER (ORDER BY ordinal), 0) AS BIGINT) AS gap FROM (SELECT first + pos AS ordinal FROM bases JOIN firsts USING (rec) WHERE base = 'N' AND q <> 0)"""
 )
 def unknown_gaps(spark, d):
-    r = reads(spark, d)
-    ns = R.reconciled(r).where("kind = 'Ns'").join(R.base_ordinals(r).select("rec", "first"), "rec")
-    return X.gaps(ns.select((F.col("first") + F.col("pos")).cast("long").alias("ordinal")), "ordinal").select("ordinal", "gap")
+    places, path = R.unknown_places(reads(spark, d)), scratch_path(spark, "sizes")
+    slim = places.select("rec", "n", F.when(F.size("ns") > 0, F.element_at("ns", -1)).alias("last"))
+    slim.write.parquet(path)  # a few bytes a record, which are read several times
+    return R.place_gaps(places, spark.read.schema(slim.schema).parquet(path))
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[^0-3ACGTacgt.Nn]')) AS illegal FROM documents GROUP BY lang")

@@ -28,3 +28,30 @@ def test_merge_reads_texts_once(spark, folder):
     rows = found.orderBy("nth").collect()
     assert [r.nth for r in rows] == list(range(1, 67)) and [r.rec for r in rows] == [3 * i for i in range(66)]
     assert {r.oversized for r in rows} == {True, False}
+
+
+def test_gaps_order_records_only(spark, folder):
+    """Bases are exploded after everything is in place: no row of a base is sorted or joined."""
+    from readlake.plans.queries import reads
+
+    found = QUERIES["unknown_gaps"](spark, folder)
+    above = plan(found).split("Generate")[0]
+    assert "Sort" not in above and "Join" not in above and "Window" not in above
+    want, first, before = [], 1, 0
+    for r in reads(spark, folder).orderBy("rec").collect():
+        for i, (c, q) in enumerate(zip(r.seq, r.qual.ljust(len(r.seq), "("))):
+            if c == "N" and q != "!":
+                want.append((first + i, first + i - before))
+                before = first + i
+        first += len(r.seq)
+    assert len(want) > 300 and sorted(map(tuple, found.collect())) == want
+
+
+def test_restored_outside_of_expressions(spark, folder):
+    """Bases are put back by arrays over many records, not by an expression for each base."""
+    from readlake.plans.queries import reads
+
+    found = QUERIES["unknown_restore"](spark, folder)
+    assert "lambdafunction(" not in plan(found)
+    want = [(r.rec, i, c if c == "N" else str("ACGT".index(c))) for r in reads(spark, folder).collect() for i, (c, q) in enumerate(zip(r.seq, r.qual.ljust(len(r.seq), "("))) if c == "N" or q == "!"]
+    assert len(want) > 300 and sorted(map(tuple, found.collect())) == sorted(want)
