@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,9 +114,21 @@ def halved_cost(df: DataFrame, model: Adaptive, order: list[str], ctx: str, symb
     """(ctx, n, bits): cost of each context's symbols, in order, under the model that halves.
 
     symbols: an array of symbol numbers for each row, rows ordered by `order`. Contexts are independent; each is a running
-    state that meets its rows one batch after another, so a task holds one batch, however long a context is. A null array is
-    an empty one.
+    state that meets its rows one batch after another. What is sorted for that are compressed bytes, one a symbol before
+    compression, so a context's task sorts a small part of what its arrays would take. A null array is an empty one.
     """
+    if model.symbols > 256:
+        raise ValueError(f"{model.symbols} symbols, more than a byte has")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat, counts = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            if len(flat) and not (flat.min() >= 0 and flat.max() < model.symbols):
+                raise ValueError(f"a symbol is not one of 0 to {model.symbols - 1}")
+            raw, ends = flat.astype(np.uint8).tobytes(), np.cumsum(counts, dtype=np.int64).tolist()
+            blobs = [zlib.compress(raw[a:z], 1) for a, z in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), *batch.columns[2:]], batch.schema.names)
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, n, bits, any_row = None, None, 0, 0.0, False
@@ -123,19 +137,21 @@ def halved_cost(df: DataFrame, model: Adaptive, order: list[str], ctx: str, symb
             return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.array([n], pa.int64()), pa.array([bits])], ["ctx", "n", "bits"])
 
         for batch in batches:
-            names, lists = batch.column(0).to_pylist(), batch.column(1)
+            names, blobs = batch.column(0).to_pylist(), batch.column(1)
             for k, name in enumerate(names):
                 if not any_row or name != now:
                     if any_row:
                         yield out()
                     now, state, n, bits, any_row = name, Halving(model), 0, 0.0, True
-                s = np.asarray(lists[k].values if lists[k].is_valid else []).astype(np.int64)
+                s = np.frombuffer(zlib.decompress(blobs[k].as_py()), np.uint8).astype(np.int64)
                 n += len(s)
                 bits += state.bits(s)
         if any_row:
             yield out()
 
     d = df.select(F.col(ctx).cast("string").alias("ctx"), F.col(symbols).cast("array<int>").alias("symbols"), *order)
+    kinds = ", ".join(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in order)
+    d = d.mapInArrow(packed, f"ctx string, symbols binary, {kinds}")
     return d.repartition("ctx").sortWithinPartitions("ctx", *order).select("ctx", "symbols").mapInArrow(cost, "ctx string, n long, bits double")
 
 

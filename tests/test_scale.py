@@ -55,3 +55,11 @@ def test_restored_outside_of_expressions(spark, folder):
     assert "lambdafunction(" not in plan(found)
     want = [(r.rec, i, c if c == "N" else str("ACGT".index(c))) for r in reads(spark, folder).collect() for i, (c, q) in enumerate(zip(r.seq, r.qual.ljust(len(r.seq), "("))) if c == "N" or q == "!"]
     assert len(want) > 300 and sorted(map(tuple, found.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["adaptive_cost_halved", "adaptive_cost_halved_qual", "adaptive_cost_halved_bytes"])
+def test_contexts_sort_bytes(spark, folder, name):
+    """What a context's one task sorts was packed before: arrays of numbers would be four bytes a symbol and more."""
+    found = QUERIES[name](spark, folder)
+    assert "MapInArrow packed(" in plan(found).split("Sort")[1]
+    assert len(found.where("n > 0 and bits > 0").collect()) == (4 if name.endswith("bytes") else 2)
