@@ -56,15 +56,15 @@ def typed(records: DataFrame) -> DataFrame:
     plain = F.when(F.col("plus") == "+", "+").when(F.col("plus") == F.concat(F.lit("+"), "header"), "=")
     named, small = K.typable(F.col("header")), K.packable(F.col("seq"))
     d = records.select("*", named.alias("__named"), small.alias("__small"), plain.alias("form"))
-    d = d.withColumn("__s", F.when(F.col("__small"), K.packed_sequence(F.col("seq")))).withColumn("__h", F.when(F.col("__named"), K.typed_header(F.col("header"))))
+    d = d.withColumn("__s", K.packed_sequence(F.when(F.col("__small"), F.col("seq")))).withColumn("__h", K.typed_header(F.when(F.col("__named"), F.col("header"))))
     tokens = [F.col("__h.marks"), F.col("__h.split.words"), *[F.get("__h.split.numbers", F.lit(i)).alias(f"n{i}") for i in range(K.SLOTS)]]
     return d.select("file", "rec", F.when(~F.col("__named"), F.col("header")).alias("header"), *tokens, F.when(~F.col("__small"), F.col("seq")).alias("seq"), F.col("__s.bases"), F.col("__s.n").alias("length"), F.col("__s.odd"), "qual", "form", F.when(F.col("form").isNull(), F.col("plus")).alias("plus"))
 
 
 def restored(stored: DataFrame) -> DataFrame:
     """The inverse: (file, rec, header, seq, form, plus, qual); a column that isn't asked for isn't decoded."""
-    header = F.coalesce("header", F.when(F.col("marks").isNotNull(), K.header_of({c: F.col(c) for c in HEADER})))
-    seq = F.coalesce("seq", F.when(F.col("bases").isNotNull(), K.sequence_of(F.col("bases"), F.col("length"), F.col("odd"))))
+    header = F.coalesce("header", K.header_of({c: F.col(c) for c in HEADER}))
+    seq = F.coalesce("seq", K.sequence_of(F.col("bases"), F.col("length"), F.col("odd")))
     return stored.select("file", "rec", header.alias("header"), seq.alias("seq"), "form", "plus", "qual")
 
 

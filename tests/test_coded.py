@@ -1,6 +1,7 @@
 import random
 import time
 
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -43,3 +44,21 @@ def test_long_and_odd(spark):
     df = spark.createDataFrame([(None, None), ("\xffé", "hé"), ("ACGTACGTACGTACGTN", "a b"), ("NA" * 20, "x"), ("ACGT", "")], "seq string, header string")
     assert [(r[0], r[1]) for r in df.select(K.packable(F.col("seq")), K.typable(F.col("header"))).collect()] == [(False, False), (False, False), (False, True), (False, True), (False, True)]
     assert df.select(K.packed_sequence(F.col("seq"))["bases"], K.typed_header(F.col("header"))["marks"]).first()[:] == (None, None)
+
+
+def test_layout_in_slices(monkeypatch):
+    """What is stored, spelled out; the same from slices of a few records, with nulls and empty ones at their edges."""
+    text = lambda x: pa.array(x, pa.string())
+    seqs = text([None, "", "ACGT", "NNACGTN", None, "T" * 29, "", "N"])
+    zeros = b"\0" * 6
+    want = [(None, None, None), (b"", 0, None), (b"\x1b" + zeros, 4, None), (b"\x01\xb0" + zeros[1:], 7, [{"at": 0, "run": "NN"}, {"at": 6, "run": "N"}]), (None, None, None)]
+    want += [(b"\xff" * 7 + b"\xc0" + zeros, 29, None), (b"", 0, None), (b"\0" + zeros, 1, [{"at": 0, "run": "N"}])]
+    heads = text(["", None, "a1.7:007", "1" * 18 + "/" + "1" * 19, ":", ".".join(map(str, range(14)))])
+    split = [("", [""], [None]), None, (".:", ["a1", None, "007"], [None, 7, None]), ("/", [None, "1" * 19], [int("1" * 18), None]), (":", ["", ""], [None, None])]
+    split += [("." * 13, [None] * 12 + ["12", "13"], [*range(12), None, None])]
+    for size in (K.SLICE, 40, 1):
+        monkeypatch.setattr(K, "SLICE", size)
+        packed, typed = K._over(K._pack, seqs), K._over(K._split, heads)
+        assert [(p["bases"], p["n"], p["odd"]) for p in packed.to_pylist()] == want
+        assert [None if t["marks"] is None else (t["marks"], t["split"]["words"], t["split"]["numbers"]) for t in typed.to_pylist()] == split
+        assert K._over(K._unpack, packed).to_pylist() == seqs.to_pylist()

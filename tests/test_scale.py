@@ -63,3 +63,21 @@ def test_contexts_sort_bytes(spark, folder, name):
     found = QUERIES[name](spark, folder)
     assert "MapInArrow packed(" in plan(found).split("Sort")[1]
     assert len(found.where("n > 0 and bits > 0").collect()) == (4 if name.endswith("bytes") else 2)
+
+
+def test_reads_are_coded_outside_of_expressions(spark, tmp_path):
+    """Headers and sequences are coded by arrays over many records, not by an expression for each character or token."""
+    import hashlib
+
+    rows = [(k, k * 37 % 101, k % 13, n, "ANR"[k % 3]) for k in range(0, 90, 3) for n in range(1, 5)] + [(1, 1, 1, 3, None), (2, None, 1, 1, "A")]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["typed_columns"](spark, str(tmp_path))
+    assert "lambdafunction(" not in plan(found)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    bases = lambda x: md5(x).translate(str.maketrans("0123456789abcdef", "ACGT" * 4))
+    want = []
+    for k, part, supplier, n, flag in rows:
+        seq = None if part is None else md5(bases(f"{k}.{part}") + ("NNn" if n == 3 else "") + bases(str(supplier)))
+        want.append((k, n, None if None in (part, flag) else md5(f"L{k}:{n}:{part} {supplier}/{flag}"), seq))
+    key = lambda r: (r[0], r[1], str(r))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
