@@ -5,11 +5,13 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import suppress
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +120,41 @@ def release() -> None:
 def words_of(text: bytes | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text, A-Z lower-cased."""
     return text.translate(LOWER).split() if text else []
+
+
+#: Bytes of texts that are split at once; a longer text is alone.
+SPLIT_BYTES = 1 << 22
+
+
+def slices(texts: pa.Array, most: int = SPLIT_BYTES) -> Iterator[tuple[int, int]]:
+    """Stretches of neighbouring texts, of so many bytes at most or of one text."""
+    ends, start = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, stop
+        start = stop
+
+
+def raw_values(values: pa.Array) -> list[bytes]:
+    """The values of a string array without nulls."""
+    kind = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, kind)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words [^\\x20\\x09-\\x0D]+ of texts, the place of each word among them, and where the words of each text begin.
+
+    The last beginning is the end of all. An empty word may be among the distinct ones, but no text has it.
+    """
+    laid = pc.ascii_split_whitespace(texts)
+    cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(laid), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    coded = laid.flatten().dictionary_encode()
+    words, place = raw_values(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+    if b"" in words:  # white space at an end of a text, or no word at all
+        real = place != words.index(b"")
+        place, cuts = place[real], np.concatenate([[0], np.cumsum(real)])[cuts]
+    return words, place, cuts

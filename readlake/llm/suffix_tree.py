@@ -14,18 +14,18 @@ The most frequent words have numbers and their counts are broadcast; a part is t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlake.llm.common import held, hinted, release, scratch_path, words_of, written
+from readlake.llm.common import held, hinted, release, scratch_path, slices, split, written
 
 #: Words of a context at most, times that a listed word follows its context at least, discount of its count.
 DEPTH, LEAST, DISCOUNT = 3, 2, 0.75
@@ -35,6 +35,8 @@ GAIN = 2.0
 HEAD = 1 << 19
 #: Tokens that a task packs at once, and tokens of a part. A chunk must number its words in BITS bits.
 CHUNK, PART_TOKENS, BITS = 500_000, 1_000_000, 21
+#: Words that a task counts at once.
+COUNTED = 2_500_000
 #: Number of the end of a text; among the words before a token it means none.
 END = 0
 
@@ -65,19 +67,28 @@ class Head:
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words; the end has the empty word."""
     release()
-    counts: Counter = Counter()
+    held_words: list[pa.Array] = []
+    ends, size = 0, 0
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            counts.update(words_of(text.as_py()))
-            counts[b""] += 1
-            if len(counts) > 500_000:
-                yield _counted(counts)
-                counts.clear()
-    yield _counted(counts)
-
-
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        texts = batch.column(0)
+        ends += len(texts)
+        for start, stop in slices(texts):
+            words = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(start, stop - start))).flatten()
+            held_words.append(words)
+            size += len(words)
+            if size > COUNTED:
+                yield _counted(held_words)
+                held_words, size = [], 0
+    if held_words:
+        yield _counted(held_words)
+    yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], ["word", "n"])
+
+
+def _counted(words: list[pa.Array]) -> pa.RecordBatch:
+    found = pa.chunked_array(words).value_counts()
+    word, n = found.field("values"), found.field("counts")
+    real = pc.not_equal(word, pa.scalar("", word.type))  # one stands where white space begins or ends a text
+    return pa.RecordBatch.from_arrays([word.filter(real).cast(pa.binary()), n.filter(real).cast(pa.int64())], ["word", "n"])
 
 
 def unigrams(texts: DataFrame) -> DataFrame:
@@ -128,13 +139,20 @@ class Numbers:
         self.spread = np.ones(len(head.counts), np.int32)
         self.spread[list(head.spread)] = list(head.spread.values())
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        w = words_of(text)
-        found = list(map(self.number.get, w))
-        if None in found:
-            found = [-(hash_of(x) >> 1) - 1 if i is None else i for x, i in zip(w, found, strict=True)]
-        found.append(END)
-        return np.array(found, np.int64)
+    def of(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(identities of the words and the end of each text, where each text begins and the last one ends) of stretches of texts."""
+        for start, stop in slices(texts):
+            words, place, cuts = split(pc.ascii_lower(texts.slice(start, stop - start)))
+            found = list(map(self.number.get, words))
+            if None in found:
+                found = [-(hash_of(x) >> 1) - 1 if i is None else i for x, i in zip(words, found, strict=True)]
+            t = np.insert(np.array(found, np.int64)[place], cuts[1:], END)
+            yield t, cuts + np.arange(len(cuts))
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The identities of each text."""
+        for t, cuts in self.of(texts):
+            yield from np.split(t, cuts[1:-1])
 
 
 def signed(h: Column) -> Column:
@@ -162,14 +180,19 @@ def _parts(w: np.ndarray, c: list[np.ndarray], spread: np.ndarray, parts: int) -
 
 def _squeeze(*columns: np.ndarray) -> bytes:
     """Columns of one length as bytes, a plane for each byte of a number."""
-    n = len(columns[0])
-    planes = [x.astype("<i4").view(np.uint8).reshape(n, 4).T.tobytes() for x in columns]
-    return b"".join(planes)
+    return b"".join([(x >> shift).astype(np.uint8).tobytes() for x in (c.astype(np.int32) for c in columns) for shift in (0, 8, 16, 24)])
 
 
 def _expand(raw: memoryview, n: int, columns: int) -> list[np.ndarray]:
     flat = np.frombuffer(raw, np.uint8, 4 * n * columns).reshape(columns, 4, n)
-    return [x.T.copy().view("<i4").ravel() for x in flat]
+    out = []
+    for planes in flat:
+        x = planes[3].astype(np.int32)
+        for plane in planes[2::-1]:
+            x <<= 8
+            x |= plane
+        out.append(x)
+    return out
 
 
 def _blob(rows: list[np.ndarray], base: int, press: zstandard.ZstdCompressor) -> bytes:
@@ -206,14 +229,19 @@ class Chunk:
         self.docs: list[tuple] = []
         self.size = 0
 
-    def add(self, doc, held_out, text: bytes | None) -> None:
-        t = self.numbers.of(text)
-        seen = t[t >= 0]
-        known = int(np.count_nonzero(self.head.counts[seen]))
-        self.docs.append((doc, held_out, len(t), known, float(self.logs[seen].sum())))
+    def add(self, t: np.ndarray, doc=None, held_out: bool = False, known: int = 0, base: float = 0.0) -> None:
+        self.docs.append((doc, held_out, len(t), known, base))
         self.laid.append(t)
         self.size += len(t)
 
+    def told(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, int, float]]:
+        """(identities, numbered words that occur in learned texts, their log10 probability) of each text."""
+        for t, cuts in self.numbers.of(texts):
+            numbered = np.maximum(t, END)
+            known = np.add.reduceat((t >= 0) & (self.head.counts[numbered] > 0), cuts[:-1], dtype=np.int64)
+            base = np.add.reduceat(np.where(t >= 0, self.logs[numbered], 0.0), cuts[:-1])
+            yield from zip(np.split(t, cuts[1:-1]), known.tolist(), base.tolist(), strict=True)
+
     def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Tokens, each text led by DEPTH ends or by what a longer text had before; and their documents, -1 for the lead."""
         gap = np.zeros(DEPTH, np.int64)
@@ -294,8 +322,8 @@ def _asked(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         chunk.clear()
 
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            chunk.add(None, False, text.as_py())
+        for t in chunk.numbers.each(batch.column(0)):
+            chunk.add(t)
             if chunk.size >= CHUNK:
                 yield from out()
     yield from out()
@@ -338,8 +366,8 @@ def _deal(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         return _addressed([p for p, _ in rows], number, [b for _, b in rows])
 
     for batch in batches:
-        for doc, out_of, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
-            chunk.add(doc.as_py(), out_of.as_py(), text.as_py())
+        for doc, out_of, (t, known, base) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), chunk.told(batch.column(2)), strict=True):
+            chunk.add(t, doc, out_of, known, base)
             if chunk.size >= CHUNK:
                 yield from out()
     if chunk.docs:
@@ -380,8 +408,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
 
     size = 0
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            t = numbers.of(text.as_py())
+        for t in numbers.each(batch.column(0)):
             for start in range(0, len(t), CHUNK):  # a later piece is led by the two words before it
                 lead = 2 if start else 0
                 texts.append(t[start - lead : start + CHUNK])
@@ -447,7 +474,7 @@ def _told(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[pa.RecordBa
 # ---- a part ----------------------------------------------------------------------------------------------------------
 def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and the place of each key among them; a part has less than 2^31 rows."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     fresh = np.ones(len(key), bool)
     np.not_equal(key[1:], key[:-1], out=fresh[1:])

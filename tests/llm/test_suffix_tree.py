@@ -1,14 +1,19 @@
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from docs import ODD, frame
 from pyspark.sql import functions as F
 
+from readlake.llm import queries as Q
 from readlake.llm import suffix_tree as S
-from readlake.llm.common import learning, words_of
+from readlake.llm.common import learning, slices, split, words_of
 
 
 def corpus(n=300, seed=9):
@@ -129,3 +134,46 @@ def test_nothing_to_learn(spark):
     assert S.score(frame(spark, []), F.lit(True)).collect() == []
     got = S.score(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.score, 6)) for r in got) == [(1, 0, 0, 0.0), (3, 0, 0, 0.0)]
+
+
+def test_split_is_words_of():
+    texts = [*(t for _, t in ODD), None, "", " ", "a  b\x0b\x0cc\rd\te\x1cf\x85g ", " AÉ aÉ\n", "x" * 50, "b a b"]
+    low = pc.ascii_lower(pa.array(["cut off", *texts], pa.string()).slice(1))
+    words, place, cuts = split(low)
+    assert [[words[i] for i in place[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] == [words_of(t and t.encode()) for t in texts]
+    for most in (1, 30, 1 << 20):
+        cut = list(slices(low, most))
+        assert [a for a, _ in cut] == [0, *(b for _, b in cut[:-1])] and cut[-1][1] == len(low)
+        assert all(b - a == 1 or sum(len((t or "").encode()) for t in texts[a:b]) <= most for a, b in cut)
+    assert list(slices(low.slice(0, 0))) == []
+
+
+def test_a_word_is_looked_up_once_for_many_texts():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    numbers = S.Numbers(S.Head([b"", b"a", b"b"], np.array([9, 5, 4]), 18, 3, {}, 1, "x", 0))
+    numbers.number = Counting(numbers.number)
+    got = list(numbers.each(pa.array(["a b " * 200, None, "B c A", ""] * 50)))
+    assert numbers.number.asked <= 4
+    c = -(S.hash_of(b"c") >> 1) - 1
+    assert [t.tolist() for t in got] == [[1, 2] * 200 + [S.END], [S.END], [2, c, 1, S.END], [S.END]] * 50
+
+
+def test_whole_query(spark):
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()
+    texts = lists([d["text"] for d in docs])
+    out_of = [zlib.crc32(str(d["doc_id"]).encode()) % 5 == 1 for d in docs]
+    slow = Slow([t for t, x in zip(texts, out_of, strict=True) if not x])
+    got = {r.doc_id: r for r in Q.op1_suffix_tree(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    for d, t, x in zip(docs, texts, out_of, strict=True):
+        r = got[d["doc_id"]]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (x, len(t), sum(slow.counts[w] > 0 for w in t), slow.total)
+        assert r.base_score == pytest.approx(sum(math.log10(slow.own(slow.counts[w])) for w in t), abs=1e-6)
+        if len(t) < 2000:
+            assert r.score == pytest.approx(sum(math.log10(slow.p(t[max(0, k - 3) : k], w)) for k, w in enumerate(t)), abs=1e-6)
