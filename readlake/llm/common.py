@@ -136,16 +136,16 @@ def slices(texts: pa.Array, most: int = SPLIT_BYTES) -> Iterator[tuple[int, int]
         start = stop
 
 
-def raw_values(values: pa.Array) -> list[bytes]:
-    """The values of a string array without nulls."""
-    kind = np.int64 if pa.types.is_large_string(values.type) else np.int32
+def raw_values(values: pa.Array, without: np.ndarray | int = 0) -> list[bytes]:
+    """The values of a string array without nulls; `without`: bytes to leave out at the end of each."""
     _, offsets, data = values.buffers()
-    at = np.frombuffer(offsets, kind)[values.offset : values.offset + len(values) + 1].tolist() if len(values) else [0]
+    kind = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    at = np.frombuffer(offsets, kind)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, kind)
     raw = data.to_pybytes() if data is not None else b""
-    return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [raw[a:b] for a, b in zip(at[:-1].tolist(), (at[1:] - without).tolist(), strict=True)]
 
 
-def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def split_coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words [^\\x20\\x09-\\x0D]+ of texts, the place of each word among them, and where the words of each text begin.
 
     The last beginning is the end of all. An empty word may be among the distinct ones, but no text has it.
@@ -153,8 +153,15 @@ def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     laid = pc.ascii_split_whitespace(texts)
     cuts = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(laid), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     coded = laid.flatten().dictionary_encode()
-    words, place = raw_values(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
-    if b"" in words:  # white space at an end of a text, or no word at all
-        real = place != words.index(b"")
+    words, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    none = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) == 0)
+    if len(none):  # white space at an end of a text, or no word at all
+        real = place != none[0]
         place, cuts = place[real], np.concatenate([[0], np.cumsum(real)])[cuts]
     return words, place, cuts
+
+
+def split(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """split_coded with the words as bytes."""
+    words, place, cuts = split_coded(texts)
+    return raw_values(words), place, cuts

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,15 +207,14 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> I
     enc, end, part = tokens.encoder(tokenizer, ROOM), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
     seen: dict[str | None, int] = {}
     for batch in batches:
-        ids = [enc.encode(x.as_py()) + end for x in batch.column(1).cast(pa.binary())]
-        before = []
-        for source, x in zip(batch.column(2).to_pylist(), ids, strict=True):
-            before.append(seen.get(source, 0))
-            seen[source] = before[-1] + len(x) // 4
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-            ["doc_id", "source", "part", "before", "n", "ids"],
-        )
+        for start, stop, ids in enc.encoded(batch.column(1), end):
+            sizes = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), 4)
+            docs, sources = batch.column(0).slice(start, stop - start), batch.column(2).slice(start, stop - start)
+            before = []
+            for source, n in zip(sources.to_pylist(), sizes.to_pylist(), strict=True):
+                before.append(seen.get(source, 0))
+                seen[source] = before[-1] + n
+            yield pa.RecordBatch.from_arrays([docs, sources, pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), sizes, ids], ["doc_id", "source", "part", "before", "n", "ids"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:

@@ -59,8 +59,8 @@ def _fragments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -
     enc, end = tokens.encoder(tokenizer), end_id.to_bytes(4, "little")
     for batch in batches:
         out = []
-        for h, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            ids = enc.encode(text.as_py()) + end
+        whole = (x.as_py() for _, _, ids in enc.encoded(batch.column(1), end) for x in ids)
+        for h, ids in zip(batch.column(0).to_pylist(), whole, strict=True):
             start = 4 * (h % max(1, len(ids) // 4 - FRAGMENT + 1))
             out.append(ids[start : start + 4 * FRAGMENT])
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
@@ -78,12 +78,12 @@ def _frames(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, cont
     enc, end = tokens.encoder(tokenizer), end_id.to_bytes(4, "little")
     press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(content), write_content_size=True)
     for batch in batches:
-        frames, counts = [], []
-        for x in batch.column(1).cast(pa.binary()):
-            ids = enc.encode(x.as_py()) + end
-            frames.append(press.compress(ids))
-            counts.append(len(ids) // 4)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
+        for start, stop, ids in enc.encoded(batch.column(1), end):
+            frames, counts = [], []
+            for x in ids:
+                frames.append(press.compress(x.as_buffer()))
+                counts.append(x.as_buffer().size // 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "frame"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from docs import ODD, frame
@@ -155,3 +156,37 @@ def test_pack(spark):
 
 def test_pack_none(spark):
     assert P.pack(frame(spark, []), PATH, 2).collect() == []
+
+
+def test_many_texts_as_one_by_one(monkeypatch):
+    words = ["ré", "İ", "x×", "5", "a.", "Ωa", "'S", "it's", "<|endoftext|>", "ǀ", "é", "Ñ÷", "ab_c", "\U0001f600", "\x1c", "ß", "ß1"]
+    texts = [" ".join(w + m for m in ["", *".,;:!?", "?!"] for w in words), *(t for _, t in TEXTS), "  x ", "b, b b,", " "]
+    end = (7).to_bytes(4, "little")
+    for size in (30, 1 << 20):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        enc = tokens.WordEncoder(PATH)
+        for cut in (pa.array(["left out", *texts], pa.string()).slice(1), pa.array(texts[::-1], pa.large_string())):
+            got, at = [], 0
+            for start, stop, ids in enc.encoded(cut, end):
+                assert start == at and stop - start == len(ids)
+                got, at = got + ids.to_pylist(), stop
+            assert [list(np.frombuffer(x, "<u4")) for x in got] == [ids_of(t, 7) for t in cut.to_pylist()]
+    assert list(enc.encoded(pa.array([], pa.string()), end)) == []
+    assert [ids.to_pylist() for _, _, ids in enc.encoded(pa.array([None, ""], pa.string()), end)] == [[end, end]]
+
+
+def test_a_piece_is_looked_up_once_for_many_texts():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    enc = tokens.WordEncoder(PATH)
+    enc.known = Counting()
+    texts = ["one two, two three. " * 200, "two; one!"] * 50
+    for k in range(2):
+        got = [x for _, _, ids in enc.encoded(pa.array(texts)) for x in ids.to_pylist()]
+        assert got[:2] == [np.array(ids_of(t, 0)[:-1], "<u4").tobytes() for t in texts[:2]] and got == got[:2] * 50
+        assert enc.known.asked <= 7 * (k + 1)  # six pieces, and none at the end of a text
